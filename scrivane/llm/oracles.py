@@ -27,4 +27,15 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND n_covered <= 0.3 * n_words AND NOT longest_over AS kept, n_covered, longest_over
 FROM v""",
+    "op6_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS h FROM pos),
+gone AS (SELECT doc_id, i FROM win QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+spans AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM gone),
+n AS (SELECT doc_id, count(*) AS n_removed, list(p) AS ps FROM spans GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN spans USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }

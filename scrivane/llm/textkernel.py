@@ -105,6 +105,21 @@ class Words:
     def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
         return range_hash(LOWER[self.texts.data] if lower else self.texts.data, self.starts, self.ends, seed)
 
+    def join(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kept words of each text joined by one space: bytes and n + 1 offsets."""
+        d = self.texts.data.copy()
+        out = IS_WORD[d]
+        gone = ~keep
+        if gone.any():
+            out &= ~cover(len(d), self.starts[gone], self.ends[gone] - self.starts[gone])
+        k = np.flatnonzero(keep)
+        text = self.text_of()[k]
+        gap = self.ends[k[:-1][text[1:] == text[:-1]]]
+        d[gap], out[gap] = 32, True
+        offsets = np.zeros(self.texts.n + 1, np.int64)
+        np.cumsum(self.texts.per_text(out), out=offsets[1:])
+        return d[out], offsets
+
     def windows(self, width: int) -> np.ndarray:
         """Indices of the words at which a window of `width` words of one text begins."""
         n = self.bounds[-1]
