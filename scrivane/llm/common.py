@@ -47,22 +47,15 @@ def blocks_for(spark: SparkSession, n_bytes: int, block_bytes: int) -> int:
     return max(shuffle_parts(spark), math.ceil(n_bytes / block_bytes))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, salt_by: str, chunk: int = 50_000) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, salt_by: str, chunk: int = 50_000) -> DataFrame:
     """Inner join of `many` with `one` (unique on key), where some key may hold a large share of `many`.
 
-    counts has (key, n): the rows of `many` per key. A key of more than `chunk` rows is spread over ceil(n / chunk)
-    salts, and its single row in `one` is repeated once for each; all other keys have the one salt 0.
+    counts has (key, n): the rows of `many` per key; total is the number of those rows. A key of more than
+    max(chunk, total / 2000) rows is spread over salts, and its row in `one` is repeated for each; all others have salt 0.
+    At most 2000 keys can be that frequent, which bounds the table that is broadcast.
     """
-    hot = counts.where(F.col("n") > chunk).select(key, F.ceil(F.col("n") / chunk).cast("int").alias("_salts"))
-    # Keys of more than `chunk` rows number at most rows / chunk; they still join by shuffle or broadcast as Spark finds fit.
-    left = (
-        many.join(hot, key, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int"))
-        .drop("_salts")
-    )
-    right = (
-        one.join(hot, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
+    least = max(chunk, total // 2000)
+    hot = F.broadcast(counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / chunk).cast("int").alias("_salts")))
+    left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")

@@ -11,10 +11,18 @@ from . import oracles
 from .common import table
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 
+TOKENIZER, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return token_counts(table(spark, sf_dir, "documents"), public.path(TOKENIZER), public.path(RANKS), public.PATTERN)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
