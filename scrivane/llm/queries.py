@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table
 from .quality_rules import quality_rules
+from .near_dedup import near_dedup
+from .piece_lattice import sampled_pieces
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -23,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public.path(TOKENIZER), public.path(RANKS), public.PATTERN)
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return sampled_pieces(table(spark, sf_dir, "documents"), public.path(PIECES))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -31,6 +39,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
