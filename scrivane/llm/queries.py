@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table
 from .quality_rules import quality_rules
+from .fingerprints import fingerprint_pairs
 from .near_dedup import near_dedup
 from .piece_lattice import sampled_pieces
 from .substring_dedup import substring_dedup
@@ -35,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
