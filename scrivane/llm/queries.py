@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import table
+from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .fingerprints import fingerprint_pairs
+from .mixing import mixing_rates
 from .near_dedup import near_dedup
 from .piece_lattice import sampled_pieces
 from .substring_dedup import substring_dedup
@@ -44,10 +46,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
