@@ -11,8 +11,8 @@ totals. These are summed over all documents in each pass; a document's rate is r
 and a lost executor costs its own tasks only. The passes read a small table of (doc_id, words, chances), not the texts.
 
 The classifier: quality by the additive model of style features; toxicity by an additive model of how many words of a lexicon a text
-has. The lexicon holds the words most over-represented in toxic rows of one half of the sample, counted once per group of near copies (one MinHash
-register names the group); the model is fitted on the other half. The sample has at most max_rows labelled rows; everything else covers
+has. The lexicon holds the words and beginnings of words most over-represented in toxic rows of one half of the sample, counted once per group of near copies (one MinHash
+register names the group); the model is fitted on the other half. Chances are corrected for wrong labels. The sample has at most max_rows labelled rows; everything else covers
 all documents.
 
 Null text: as empty, of no words: it weighs nothing in the totals and has a rate from its chances. A null doc_id keeps its row; its
@@ -31,53 +31,101 @@ from pyspark.sql import functions as F
 
 from .common import store
 from .quality_model import _LETTER, FEATURES, Additive, features, fit
-from .textkernel import Texts, Words, mix, range_hash, slices
+from .near_dedup import distinct
+from .textkernel import Texts, Words, mix, powers, slices
 
 DOMAINS = ("good", "good_toxic", "poor", "poor_toxic")
 #: Target totals as multiples of the expected totals of the corpus as it is.
 TARGETS = (1.0, 0.0, 0.25, 0.0)
 MAX_ROWS, LEXICON, LEAST_ROWS, LEAST_ODDS, STEPS, RIDGE, CLOSE = 20_000, 512, 8, 3.0, 60, 1e-4, 2e-4
 _U = np.uint64
+#: Prefixes of words, in bytes, that may stand in the lexicon: compounds are built on stems.
+PREFIXES = (3, 4, 5, 6, 7, 8)
+_BYTES = np.random.Generator(np.random.PCG64(0xB17E5)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def bare_words(words: Words) -> np.ndarray:
-    """Hashes of lower-cased words without up to six marks at either end; 0 for words of marks only."""
+def bare_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of words without the marks at either end."""
     d = words.texts.data
     a, b = words.starts.copy(), words.ends.copy()
-    for _ in range(6):
-        a += (a < b) & ~_LETTER[d[np.minimum(a, len(d) - 1)]] if len(d) else 0
-        b -= (a < b) & ~_LETTER[d[b - 1]] if len(d) else 0
-    h = range_hash(_LOWER[d], a, b, 0)
-    h[a >= b] = 0
-    return h
-
-
-def lexicon_hits(h: np.ndarray, text: np.ndarray, n: int, lexicon: np.ndarray) -> np.ndarray:
-    """How many different words of the lexicon each text has."""
-    if not len(lexicon) or not len(h):
+    at = np.arange(len(a))
+    while len(at := at[~_LETTER[d[a[at]]]]):
+        a[at] += 1
+        at = at[a[at] < b[at]]
+    at = np.flatnonzero(a < b)
+    while len(at := at[~_LETTER[d[b[at] - 1]]]):
+        b[at] -= 1
+    return a, b
+
+
+def word_parts(words: Words, lengths: tuple[int, ...] = PREFIXES) -> list[np.ndarray]:
+    """Hashes of lower-cased bare words and of their prefixes of some lengths in bytes; 0 where there is none."""
+    d = words.texts.data
+    a, b = bare_words(words)
+    up, down = powers(len(d) + 1)
+    total = np.zeros(len(d) + 1, np.uint64)
+    np.cumsum(_BYTES[_LOWER[d]] * up[: len(d)], out=total[1:])
+    out = []
+    for k in (0, *lengths):
+        e = b if k == 0 else np.minimum(a + k, b)
+        h = mix((total[e] - total[a]) * down[a])
+        # A prefix is shorter than its word and ends with a code point.
+        none = a >= b if k == 0 else (e >= b) | ((d[np.minimum(e, max(len(d) - 1, 0))] & 0xC0) == 0x80) if len(d) else np.zeros(0, bool)
+        h[none] = 0
+        out.append(h)
+    return out
+
+
+def lexicon_hits(parts: list[np.ndarray], text: np.ndarray, n: int, lexicon: np.ndarray) -> np.ndarray:
+    """How many different entries of the lexicon each text has."""
+    if not len(lexicon) or not len(text):
         return np.zeros(n, np.int64)
-    at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
-    hit = lexicon[at] == h
-    pairs = np.unique(text[hit] * len(lexicon) + at[hit])
+    maybe = np.zeros(1 << 16, bool)
+    maybe[lexicon >> _U(48)] = True
+    found = []
+    for h in parts:
+        few = np.flatnonzero(maybe[h >> _U(48)])
+        at = np.minimum(np.searchsorted(lexicon, h[few]), len(lexicon) - 1)
+        hit = lexicon[at] == h[few]
+        found.append(text[few[hit]] * len(lexicon) + at[hit])
+    pairs = np.unique(np.concatenate(found))
     return np.bincount(pairs // len(lexicon), minlength=n)[:n]
 
 
 def toxic_features(hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    return np.stack([hits, hits / np.sqrt(np.maximum(n_words, 1.0)), np.log1p(n_words)], 1).astype(float)
+    return np.stack([hits, hits / np.sqrt(np.maximum(n_words, 1.0))], 1).astype(float)
+
+
+class Cleaned:
+    """A fitted model whose chances are corrected for wrong labels.
+
+    The least and greatest chances that it gives in the sample, at the 1st and 99th percentile, are taken for those of rows that surely
+    are of one class: what they lack to 0 and 1 is the share of wrong labels (anchor points), and chances are stretched by it.
+    """
+
+    def __init__(self, model: Additive, x: np.ndarray):
+        self.model = model
+        seen = model.score(x)
+        self.low, self.high = (float(v) for v in np.quantile(seen, [0.01, 0.99])) if len(seen) else (0.0, 1.0)
+        if self.high - self.low < 0.2:  # the features say too little
+            self.low, self.high = 0.0, 1.0
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((self.model.score(x) - self.low) / (self.high - self.low), 0.0, 1.0)
 
 
 class Domains:
     """Chances of the four domains for texts."""
 
-    def __init__(self, quality: Additive, toxic: Additive, lexicon: np.ndarray):
+    def __init__(self, quality: Cleaned, toxic: Cleaned, lexicon: np.ndarray):
         self.quality, self.toxic, self.lexicon = quality, toxic, lexicon
 
     def chances(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Words, and n x 4 chances."""
         x, words = features(texts)
-        hits = lexicon_hits(bare_words(words), words.text_of(), texts.n, self.lexicon)
+        hits = lexicon_hits(word_parts(words), words.text_of(), texts.n, self.lexicon)
         q, t = self.quality.score(x), self.toxic.score(toxic_features(hits, words.counts))
         return words.counts.astype(np.int64), np.stack([q * (1 - t), q * t, (1 - q) * (1 - t), (1 - q) * t], 1)
 
@@ -93,14 +141,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
         for batch in batches:
             for part, texts in slices(batch):
                 x, words = features(texts)
-                h, text = bare_words(words), words.text_of()
-                order = np.lexsort((h, text))
-                h, text = h[order], text[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                h, bounds = h[new], np.searchsorted(text[new], np.arange(texts.n + 1))
+                parts = word_parts(words)
+                h, bounds = distinct(np.concatenate(parts), np.tile(words.text_of(), len(parts)), texts.n)
                 raw = h.tobytes()
-                group = [int(h[a:b].min() >> _U(1)) if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                group = [int(h[a : a + 2].max() >> _U(1)) if b > a else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(k) for k in (0, 2, 3)), pa.array(group, pa.int64()), pa.array(words.counts.astype(np.int64)), pa.array(list(x), pa.list_(pa.float64())), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
                     ["doc_id", "quality", "toxic", "group", "n_words", "x", "words"],
@@ -120,14 +164,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     n_toxic, n_clean = both["toxic"] or 0, (both["n"] or 0) - (both["toxic"] or 0)
     counts = once.select("toxic", "words").mapInArrow(spread, "h long, toxic long").where("h <> 0").groupBy("h").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (n_clean + 1.0))
-    chosen = counts.where(F.col("a") >= LEAST_ROWS).where(odds >= LEAST_ODDS).orderBy(odds.desc(), "h").limit(LEXICON).collect()
+    chosen = counts.where(F.col("a") >= max(LEAST_ROWS, n_toxic // 100)).where(odds >= LEAST_ODDS).orderBy(odds.desc(), "h").limit(LEXICON).collect()
     lexicon = np.sort(np.array([r["h"] for r in chosen], np.int64).view(np.uint64))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [np.frombuffer(b, np.uint64) for b in batch.column(0).to_pylist()]
             text = np.repeat(np.arange(len(words)), [len(w) for w in words])
-            n = lexicon_hits(np.concatenate([*words, np.zeros(0, np.uint64)]), text, len(words), lexicon)
+            n = lexicon_hits([np.concatenate([*words, np.zeros(0, np.uint64)])], text, len(words), lexicon)
             yield pa.RecordBatch.from_arrays([pa.array(n), *(batch.column(k) for k in range(1, 6))], ["hits", "quality", "toxic", "half", "n_words", "x"])
 
     rows = known.select("words", "quality", "toxic", half.cast("int").alias("half"), "n_words", "x").mapInArrow(hits, "hits long, quality int, toxic int, half int, n_words long, x array<double>").collect()
@@ -135,7 +179,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     x = np.array([r[0] for r in rows]).reshape(len(rows), len(FEATURES))
     quality, toxic, side, n_words, n_hits = (np.array([r[k] for r in rows], float) for k in range(1, 6))
     other = side == 1
-    return Domains(fit(x, quality), fit(toxic_features(n_hits, n_words)[other], toxic[other]), lexicon)
+    found = toxic_features(n_hits, n_words)[other]
+    return Domains(Cleaned(fit(x, quality), x), Cleaned(fit(found, toxic[other]), found), lexicon)
 
 
 def domain_chances(docs: DataFrame, model: Domains) -> DataFrame:

@@ -55,6 +55,10 @@ class _Powers:
 _POWERS = [_Powers(m) for m in _MULT]
 
 
+def powers(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    return _POWERS[seed].get(n)
+
+
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of values[s:e] for each range, by prefix sums of value * base**i modulo 2**64. uint8 values go through a random table.
 
