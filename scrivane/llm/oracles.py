@@ -49,4 +49,14 @@ link AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+five AS (SELECT page_id, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, (5 * k + 1)::INT, 5))::INT) AS v FROM p),
+b32 AS (
+  SELECT page_id, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') AS digest FROM five)
+SELECT p.page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN p.page_id = min(p.page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> min(p.page_id) OVER w THEN min(p.page_id) OVER w END AS refers_to
+FROM p JOIN b32 USING (page_id) WINDOW w AS (PARTITION BY html)""",
 }

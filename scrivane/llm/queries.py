@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .chat import repair_chats
 from .common import table
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
@@ -17,6 +18,7 @@ from .near_dedup import near_dedup
 from .piece_lattice import sampled_pieces
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .warc import archive_round_trip
 
 TOKENIZER, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,10 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces(table(spark, sf_dir, "documents"), public.path(PIECES))
 
 
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -50,6 +56,10 @@ def op7_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
