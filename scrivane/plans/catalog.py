@@ -1,14 +1,35 @@
-"""All queries of the library outside the corpus operators, with their DuckDB oracles."""
+"""All queries of the library outside the corpus operators, with their DuckDB oracles. Each reads whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import crf
+from ..operators import documents, evaluate, gbdt, images, prepare, regions, text
+from .oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+
+#: A small hand-made tagger: capitalised words and digits near street words.
+TAGGER = crf.Model.load(
+    '{"labels": ["O", "NAME", "ADDRESS", "ACCOUNT"], "featureIndex": {"w_is_name_word:1": 0, "w_digit:1": 1, "w_street_suffix:1": 2, "w_len:8": 3, "pos_bias:0": 4},'
+    ' "labelWeights": {"O": [0, 0, 0, 0, 1.0], "NAME": [1.5, -2, -3, 0, 0], "ADDRESS": [0.5, 1.2, 3, 0, 0], "ACCOUNT": [-3, 0.8, -3, 1.5, 0]},'
+    ' "transitions": [[0.5, 0, 0, 0], [0, 0.6, 0.2, -1], [0, -0.5, 1.0, -1], [0.2, -1, -1, 0]]}'
+)
+WEIGHTS = (("w:the", "O", 1.0), ("w:the", "NAME", -0.5), ("w_shape:Aaaa", "NAME", 0.75), ("w_shape:aaaa", "O", 0.25), ("w+1:of", "NAME", 0.5), ("w-1:the", "ADDRESS", 0.125), ("w_shape:aa", "O", 0.5))
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries() -> dict[str, Query]:
@@ -16,4 +37,483 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for k, v in SQL.items() if k in _QUERIES}
+
+
+# Text scanners
+
+
+@query
+def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.pii_hits(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def pii_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.pii_hits(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def _kind(df: DataFrame, key: str, *kinds: str) -> DataFrame:
+    return text.pii_hits(df, key, folded=False).where(F.col("kind").isin(*kinds)).select(key, "kind", "text", "start", "end")
+
+
+@query
+def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kind(table(spark, sf_dir, "documents"), "doc_id", "EMAIL")
+
+
+@query
+def pii_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kind(table(spark, sf_dir, "documents"), "doc_id", "PAN")
+
+
+@query
+def pii_pan_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers by built-in expressions only."""
+    runs = text.digit_runs(table(spark, sf_dir, "documents"), "doc_id")
+    return runs.where(F.length("run").between(13, 19)).where(F.expr("luhn_check(run)")).where(F.col("run").rlike("^(4|5[1-5]|3[4-8]|6011|644|65|30[0-5])")).select("doc_id", F.col("run").alias("text"), "start", "end")
+
+
+@query
+def pii_phone_international(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _kind(table(spark, sf_dir, "documents"), "doc_id", "PHONE")
+    return hits.where(F.col("text").startswith("+"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with valid and invalid numbers of all kinds, from customer keys."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.format_string(
+            "SSN: %03d-%02d-%04d or %03d%02d%04d; call %03d-%03d-%04d, (%03d) %03d-%04d or %03d%03d%04d. Zip %05d, A%05d. Name: %s, nr %d | Address: %d Main St\nSerial 4%015d",
+            k % 1000, k % 100, k % 10000, (k * 7) % 1000, (k * 3) % 100, (k * 11) % 10000, (k * 13) % 1000, (k * 17) % 1000, k % 10000, (k * 19) % 1000, (k * 23) % 1000, k % 10000,
+            (k * 29) % 1000, (k * 31) % 1000, k % 10000, k % 100000, k % 100000, F.col("c_name"), k % 7, k, k * 7919,
+        ).alias("text"),
+    )
+
+
+@query
+def pii_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kind(_customers(spark, sf_dir), "c_custkey", "SSN")
+
+
+@query
+def pii_phone_domestic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kind(_customers(spark, sf_dir), "c_custkey", "PHONE")
+
+
+@query
+def pii_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kind(_customers(spark, sf_dir), "c_custkey", "ZIP")
+
+
+@query
+def pii_name_and_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kind(_customers(spark, sf_dir), "c_custkey", "NAME", "ADDRESS")
+
+
+@query
+def pii_card_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security codes and expiry dates after a valid card number."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    made = F.format_string("Card 4111111111111111 exp %02d/%02d cvv %03d ref %d, paid", k % 15, k % 100, k % 1000, k)
+    return _kind(o.select("o_orderkey", made.alias("text")), "o_orderkey", "CVV", "EXPIRY")
+
+
+@query
+def pii_bill_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.initcap(F.lower("n_name"))
+    made = F.concat(F.lit("Bill to Ann "), name, F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" Oak Street Springfield, IL 62701 US Tel +(212)555-0199"))
+    return text.pii_hits(c.select("c_custkey", made.alias("text")), "c_custkey")
+
+
+@query
+def pii_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    made = F.format_string("Pay to bank account %d please", 10_000_000 + k)
+    return _kind(table(spark, sf_dir, "orders").select("o_orderkey", made.alias("text")), "o_orderkey", "ACCOUNT")
+
+
+@query
+def pii_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hits = text.pii_hits(docs, "doc_id", folded=False).where(F.col("kind").isin("EMAIL", "PAN"))
+    return evaluate.counts_by_kind(hits, "doc_id", docs.count())
+
+
+# Tokens and tagging
+
+
+@query
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.tokens(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = text.tokens(table(spark, sf_dir, "documents"), "doc_id")
+    return toks.groupBy(text.shape(F.col("word")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query
+def token_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.neighbours(text.tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id").select("doc_id", "i", "low", "before1", "before2", "after1", "after2")
+
+
+@query
+def crf_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse features joined with a broadcast table of weights and summed by label."""
+    t = text.neighbours(text.tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    names = F.array(*[F.concat(F.lit(p), F.col(c)) for p, c in (("w:", "low"), ("w_shape:", "shape"), ("w+1:", "after1"), ("w-1:", "before1"))])
+    feats = t.select(F.col("doc_id").alias("key"), "i", F.explode(names).alias("feature"))
+    weights = F.broadcast(spark.createDataFrame(WEIGHTS, "feature string, label string, w double"))
+    return text.emissions(feats, weights).groupBy("label").agg(F.count("*").alias("tokens"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query
+def crf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.tag_tokens(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", TAGGER)
+
+
+@query
+def crf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.pii_hits(_customers(spark, sf_dir), "c_custkey", model=TAGGER)
+
+
+# Images: kernels over generated images against SQL over the same pixels
+
+_PICTURES, _EDGE = 6, 32
+
+
+def _image_features(spark: SparkSession, groups: tuple[str, ...], **columns: int) -> DataFrame:
+    df = images.features(images.pattern_images(spark, _PICTURES, _EDGE), groups)
+    return df.select("id", *[F.round(f"f{k}", 6).alias(c) for c, k in columns.items()])
+
+
+@query
+def img_channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("color",), r_mean=0, r_std=1, g_mean=4, g_std=5, b_mean=8, b_std=9)
+
+
+@query
+def img_gray_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("color",), mean=12, median=13, std=14, entropy=15)
+
+
+@query
+def img_gray_stats_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = images.gray_summary(images.pixels(images.pattern_images(spark, _PICTURES, _EDGE)))
+    return g.select("id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "median", "std", "entropy")])
+
+
+@query
+def img_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("color",), colorfulness=16, saturation_mean=17, saturation_var=18)
+
+
+@query
+def img_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("edges",), laplacian_variance=19)
+
+
+@query
+def img_laplacian_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = images.laplacian_variance(images.pixels(images.pattern_images(spark, _PICTURES, _EDGE)))
+    return g.select("id", F.round("laplacian_variance", 6).alias("laplacian_variance"))
+
+
+@query
+def img_sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("edges",), sobel_mean=20, sobel_std=21, sobel_p90=22)
+
+
+@query
+def img_lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("texture",), **{f"bin{k}": 35 + k for k in range(10)})
+
+
+@query
+def img_fractal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("texture",), fractal=49)
+
+
+@query
+def img_blockiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("noise",), rows_blockiness=51, columns_blockiness=52)
+
+
+@query
+def img_cell_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("crumple",), cell_std=69)
+
+
+@query
+def img_tile_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("crumple",), peak=71)
+
+
+@query
+def img_anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_features(spark, ("crumple",), anisotropy=70)
+
+
+@query
+def img_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = images.run_lengths(images.pixels(images.pattern_images(spark, _PICTURES, _EDGE)), "gray <= 100")
+    return runs.groupBy("id").agg(F.count("*").alias("runs"), F.round(F.avg("length"), 6).alias("mean"), F.round(F.stddev_pop("length"), 6).alias("std"))
+
+
+@query
+def img_features81(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.feature_vector(images.features(images.pattern_images(spark, _PICTURES, 64)))
+
+
+@query
+def img_generated_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prepare.synthetic_images(spark, {k: (4, y) for k, (_, y) in (prepare.SETS | prepare.NEGATIVES).items()}, 64)
+    feats = images.features(made, ("color", "edges", "noise"))
+    return feats.join(made.select("id", *prepare.LABELS), "id")
+
+
+# Trees
+
+_TREE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TREES = gbdt.Model.load(
+    '{"is_document": [{"nodeid": 0, "split": "f0", "split_condition": 25.0, "children": [{"nodeid": 1, "leaf": -0.5}, {"nodeid": 2, "leaf": 0.5}]},'
+    ' {"nodeid": 0, "split": "f2", "split_condition": 0.05, "children": [{"nodeid": 1, "split": "f1", "split_condition": 30000.0, "children": [{"leaf": 0.25}, {"leaf": -0.25}]}, {"nodeid": 2, "leaf": 1.0}]}],'
+    ' "is_paper": [{"nodeid": 0, "split": "f3", "split_condition": 0.04, "children": [{"leaf": -1.0}, {"nodeid": 2, "split": "f0", "split_condition": 10.0, "children": [{"leaf": 2.0}, {"leaf": 0.125}]}]}]}'
+)
+
+
+@query
+def gbdt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = gbdt.score(table(spark, sf_dir, "lineitem"), TREES, _TREE_COLUMNS)
+    return s.select("l_orderkey", "l_linenumber", *[F.round(x, 9).alias(x) for x in TREES.trees])
+
+
+@query
+def gbdt_scores_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = gbdt.score(table(spark, sf_dir, "lineitem"), TREES, _TREE_COLUMNS, expressions=False)
+    return s.select("l_orderkey", "l_linenumber", *[F.round(x, 9).alias(x) for x in TREES.trees])
+
+
+# Regions
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items numbered within their order, as l_linenumber repeats."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("ln", F.row_number().over(w))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two recognisers' regions of an order from its line items; the second's boxes are shifted by a key-dependent offset."""
+    li = _lines(spark, sf_dir)
+    x0, y0 = (F.col("ln") * 10).cast("double"), (F.col("l_partkey") % 3 * 4).cast("double")
+    shift = (F.col("l_suppkey") % 7).cast("double")
+    box = lambda dx: F.struct((x0 + dx).alias("x0"), y0.alias("y0"), (x0 + dx + 4 + F.col("l_quantity") / 4).alias("x1"), (y0 + 8).alias("y1"))
+    base = [F.col("l_orderkey").alias("doc_id"), (F.col("ln") - 1).alias("pos")]
+    first = li.select(*base, F.concat(F.lit("a"), "ln").alias("text"), box(F.lit(0.0)).alias("bbox"), (F.col("l_discount") * 1000).cast("int").cast("double").alias("confidence"))
+    second = li.select(*base, F.concat(F.lit("b"), "ln").alias("text"), box(shift).alias("bbox"), (F.col("l_tax") * 1000).cast("int").cast("double").alias("confidence"))
+    return first, second
+
+
+@query
+def region_best_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = regions.best_overlaps(*_boxes(spark, sf_dir))
+    return m.select("doc_id", "gi", "ti", F.round("iou", 9).alias("iou"))
+
+
+@query
+def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.merge_regions(*_boxes(spark, sf_dir)).select("doc_id", "pos", "source", "text", "confidence", F.col("bbox.x0").alias("x0"))
+
+
+@query
+def region_merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.merge_stats(*_boxes(spark, sf_dir))
+
+
+@query
+def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.text_of(_boxes(spark, sf_dir)[0])
+
+
+@query
+def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _boxes(spark, sf_dir)[0].withColumn("id", F.concat(F.lit("r"), "pos")).withColumn("parent_id", F.when(F.col("pos") > 0, F.concat(F.lit("p"), (F.col("pos") % 2).cast("string"))))
+    return regions.lines(r).select("doc_id", "line", "text", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def region_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of one block a return flag, a paragraph a status, a line an item of two words."""
+    li = _lines(spark, sf_dir)
+    box = F.struct(F.col("ln").cast("double").alias("x0"), F.lit(0.0).alias("y0"), F.col("l_quantity").alias("x1"), F.lit(1.0).alias("y1"))
+    word = lambda t: F.struct(t.alias("text"), box.alias("bbox"), (F.col("l_discount") * 2000).alias("confidence"))
+    line = li.select("l_orderkey", "l_returnflag", "l_linestatus", "ln", F.array(word(F.col("l_returnflag")), word(F.lit(" ")), word(F.col("l_linestatus"))).alias("words"))
+    p = line.groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.array_sort(F.collect_list(F.struct("ln", "words"))).alias("lines"))
+    b = p.groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(F.struct("l_linestatus", "lines"))).alias("paragraphs"))
+    pages = b.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_returnflag", F.when(F.col("l_returnflag") == "A", "PT_TABLE").otherwise("odd").alias("blocktype"), "paragraphs"))).alias("blocks"))
+    return regions.flatten_tree(pages).select("doc_id", "id", "text", F.round("confidence", 6).alias("confidence"), "block_type", "parent_id")
+
+
+# Nested documents
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, _ = _boxes(spark, sf_dir)
+    r = first.select("doc_id", F.concat(F.lit("r"), "pos").alias("id"), "text", "bbox", "confidence")
+    o = table(spark, sf_dir, "orders")
+    o = o.join(r.select(F.col("doc_id").alias("o_orderkey")), "o_orderkey", "left_semi")
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.struct(F.lit(100).alias("width"), (F.col("o_orderkey") % 50).cast("int").alias("height")).alias("image"), F.struct(*[F.lit(0.5).alias(c) for c in documents.SCORES]).alias("classification"))
+    hits = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("NAME").alias("kind"), F.col("o_orderstatus").alias("text"))
+    return documents.build(docs, r, hits, now=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+@query
+def doc_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents.redact(documents.redact(_nested(spark, sf_dir), F.lit("r0")), F.lit("r0"))
+    return documents.redactions(d).select("id", F.explode("redactions").alias("r")).select("id", F.col("r.id").alias("region"), F.col("r.text").alias("text"))
+
+
+@query
+def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents.add_field(_nested(spark, sf_dir), F.lit("r0"), F.lit("total"), field_id=F.lit("f1"), stamp=F.lit("t"))
+    d = documents.remove_field(documents.add_field(d, F.lit("r0"), F.lit("date"), 0.5, F.lit("f2"), F.lit("t")), F.lit("f1"))
+    return d.select("id", F.explode("fields").alias("f")).select("id", F.col("f.id").alias("field"), F.col("f.fieldType").alias("type"), F.col("f.confidence").alias("confidence"))
+
+
+@query
+def doc_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.violations(_nested(spark, sf_dir))
+
+
+@query
+def doc_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _nested(spark, sf_dir)
+    back = documents.from_json(documents.to_json(d), d.schema)
+    return back.select("id", F.size("regions").alias("regions"), F.size("pii").alias("hits"), F.col("image.height").alias("height"))
+
+
+# Evaluation
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents with simple predictions: long texts are good, texts with a card number or an address sign are toxic."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("size"), (F.col("n_chars") > 300).cast("int").alias("pred_quality"), F.contains("text", F.lit("idiot")).cast("int").alias("pred_toxic"))
+    return table(spark, sf_dir, "labels").join(d, "doc_id")
+
+
+@query
+def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(evaluate.long_predictions(_predicted(spark, sf_dir), ["quality", "toxic"]), "label")
+
+
+@query
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = evaluate.confusion(evaluate.long_predictions(_predicted(spark, sf_dir), ["quality", "toxic"]), "label")
+    return evaluate.scores(c).select("label", "precision", "recall", "f1", "f5", "accuracy", "support")
+
+
+@query
+def eval_macro_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.macro_micro(evaluate.confusion(evaluate.long_predictions(_predicted(spark, sf_dir), ["quality", "toxic"]), "label"))
+
+
+@query
+def eval_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.auc(_predicted(spark, sf_dir), "quality", "size").select(F.round("auc", 9).alias("auc"))
+
+
+@query
+def eval_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.stratified_sample(table(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", 40).select("doc_id", "quality", "toxic")
+
+
+@query
+def eval_fold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.fold_ids(table(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", 5).select("doc_id", "fold")
+
+
+@query
+def eval_label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.label_shares(table(spark, sf_dir, "labels"), ["quality", "toxic"])
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of customers' orders: a tag from the priority's first digit."""
+    o = table(spark, sf_dir, "orders")
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    tag = (F.floor(i / 2) % 3).cast("int")
+    return evaluate.token_offsets(o.select("o_custkey", i.alias("i"), F.col("o_orderpriority").alias("token"), tag.alias("tag")), "o_custkey")
+
+
+@query
+def eval_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir)
+
+
+@query
+def eval_tag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.tag_runs(_tagged(spark, sf_dir), "o_custkey")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97).cast("int").alias("start"), (F.col("o_orderkey") % 97 + 9).cast("int").alias("end"))
+
+
+@query
+def eval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.overlaps(_spans(spark, sf_dir), evaluate.tag_runs(_tagged(spark, sf_dir), "o_custkey"), "o_custkey").select("o_orderkey", "b_tag", "b_start")
+
+
+@query
+def eval_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.overlaps(_spans(spark, sf_dir), evaluate.tag_runs(_tagged(spark, sf_dir), "o_custkey"), "o_custkey", "left_anti").select("o_orderkey")
+
+
+@query
+def eval_region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = evaluate.tag_runs(_tagged(spark, sf_dir), "o_custkey").select("o_custkey", F.col("first").alias("region"), "tag", "start", "end", F.when(F.col("tag") == 1, F.array(F.lit("NAME"))).otherwise(F.array(F.lit("ZIP"), F.lit("NAME"))).alias("kinds"))
+    hits = _spans(spark, sf_dir).select("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "NAME").otherwise("ZIP").alias("kind"), "start", "end")
+    return evaluate.region_scores(truth, hits, "o_custkey", exempt_tag=2)
+
+
+# Preparation
+
+
+@query
+def prep_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance"))
+
+
+@query
+def prep_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    found = F.transform(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), lambda w: F.regexp_replace(w, "[aeiou]", "o"))
+    return prepare.aligned(p.select("p_partkey", found.alias("found"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("truth")), "p_partkey")
+
+
+@query
+def prep_refined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.tokens(table(spark, sf_dir, "documents"), "doc_id")
+    tag = F.when(F.floor(F.col("i") / 4) % 3 == 1, prepare.SELLER).when(F.floor(F.col("i") / 4) % 3 == 2, prepare.PAYMENT).otherwise(0)
+    return prepare.refined_labels(t.select("doc_id", "i", F.col("word").alias("token"), tag.alias("tag")), "doc_id").groupBy("tag", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def prep_line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    words = li.select("l_orderkey", F.col("l_linenumber").alias("i"), (F.col("l_quantity").cast("int")).alias("y0"))
+    return prepare.line_positions(words, "l_orderkey").select("l_orderkey", "i", "line_pos", F.col("line_len").cast("long").alias("line_len"))
+
+
+@query
+def prep_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.noisy(_tagged(spark, sf_dir).select("o_custkey", "i", "token", F.lit("O").alias("label")), "o_custkey")
