@@ -12,7 +12,8 @@ bring similar sets into one bucket. 20 bands of 4 registers miss a pair of simil
    been compared leaves the bucket, and a bucket whose members are all connected is closed. The rounds end when no bucket is
    open: every pair that shares a bucket has been compared or is connected.
 3. A pair goes to confirmation unless the likelihood of its registers, given both set sizes, all but excludes the
-   threshold. Confirmation intersects the full sets.
+   threshold: 256 registers then make it e**10 times likelier that the similarity is their estimate, a chance of less than 1e-5
+   for a pair at the threshold and far less above it. Confirmation intersects the full sets.
 4. Links are contracted into components; all documents then take their set's component.
 
 Frequent keys (a set or a leader that a large share of rows has) are salted.
@@ -34,10 +35,10 @@ from pyspark.sql import functions as F
 from .common import salted_join, store
 from .textkernel import Texts, in_text, mix, range_hash, slices
 
-BANDS, ROWS, BASE, RATE, LIMIT = 20, 4, 1.001, 20.0, (1 << 16) - 2
+BANDS, ROWS, ESTIMATORS, BASE, RATE, LIMIT = 20, 4, 256, 1.001, 20.0, (1 << 16) - 2
 THRESHOLD = (85, 100)
 #: A pair is dropped unconfirmed if its registers are exp(DOUBT) times likelier at the best estimate than at the threshold.
-DOUBT = 16.0
+DOUBT = 10.0
 _U = np.uint64
 _seeds = np.random.Generator(np.random.PCG64(0x5E7)).integers(1, 1 << 32, size=(2, 4096), dtype=np.uint32) | np.uint32(1)
 
@@ -158,9 +159,9 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return best, log_likelihood(best, above, below, equal, u, v) - log_likelihood(at, above, below, equal, u, v)
 
 
-def confirmed(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, regs_a, regs_b, set_a, set_b) that reach the threshold on the full sets."""
-    num, den = threshold
+def plausible(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, regs_a, regs_b) whose registers don't all but exclude the threshold."""
+    level = threshold[0] / threshold[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,30 +170,45 @@ def confirmed(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             n_a, n_b = (c[x].to_numpy(zero_copy_only=False).astype(float) for x in ("n_a", "n_b"))
             ra, rb = (np.frombuffer(b"".join(c[x].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for x in ("regs_a", "regs_b"))
-            best, over = joint_estimate(ra, rb, n_a, n_b, num / den)
-            keep = ~((best < num / den) & (over > DOUBT))
-            for k in np.flatnonzero(keep):
-                x, y = (np.frombuffer(c[s][int(k)].as_py(), np.uint64) for s in ("set_a", "set_b"))
+            best, over = joint_estimate(ra, rb, n_a, n_b, level)
+            yield batch.filter(pa.array((best >= level) | (over <= DOUBT))).select(["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, set_a, set_b) that reach the threshold on the full sets."""
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 place = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 same = int((x[place] == y).sum())
                 keep[k] = den * same >= num * (len(x) + len(y) - same)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(rep, set): the sorted shingle hashes of each row, 8 bytes each."""
+def shingle_sets(docs: DataFrame, estimators: int) -> DataFrame:
+    """(rep, n, regs, set): size, registers for estimates, and the sorted shingle hashes of each row, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                sets, offsets = distinct(*shingles(texts), texts.n)
-                raw = sets.tobytes()
+                h, text = shingles(texts)
+                sets, offsets = distinct(h, text, texts.n)
+                raw, regs = sets.tobytes(), registers(h, text, texts.n, estimators).tobytes()
                 o = (offsets * 8).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x:y] for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["rep", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(offsets)), pa.array([regs[i : i + 2 * estimators] for i in range(0, len(regs), 2 * estimators)], pa.binary()), pa.array([raw[x:y] for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())],
+                    ["rep", "n", "regs", "set"],
+                )
 
-    return docs.mapInArrow(run, "rep long, set binary")
+    return docs.mapInArrow(run, "rep long, n long, regs binary, set binary")
 
 
 def contract(links: DataFrame) -> DataFrame | None:
@@ -222,7 +238,7 @@ def contract(links: DataFrame) -> DataFrame | None:
     return comp
 
 
-def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD, estimators: int = ESTIMATORS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = store(signatures(docs, bands, rows), "signatures")
@@ -239,16 +255,21 @@ def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold:
         members = store(salted_join(keys.select("bucket", "rep", F.col("n").alias("size")), shared.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_size")), "bucket", counts, entries, "rep"), "members")
         involved = members.select("rep").distinct()
         text = docs.join(involved, docs["doc_id"] == involved["rep"], "left_semi")
-        sets = store(shingle_sets(text.select("doc_id", "text")).distinct().join(reps.groupBy("rep").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "rep"), "sets")
+        sets = store(shingle_sets(text.select("doc_id", "text"), estimators).distinct(), "sets")
+
+        def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+            """Pairs with the columns of both sides; a document of very many pairs is salted."""
+            total = pairs.count()
+            for side, other in (("b", "a"), ("a", "b")):
+                one = sets.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+                counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+                out = salted_join(pairs if side == "b" else out, one, side, counts, total, other)
+            return out
 
         def check(pairs: DataFrame) -> DataFrame:
             pairs = store(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            total = pairs.count()
-            mine = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"), F.col("set").alias("set_b"))
-            lead = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"), F.col("set").alias("set_a"))
-            with_b = salted_join(pairs, mine, "b", pairs.groupBy("b").agg(F.count("*").alias("n")), total, "a")
-            full = salted_join(with_b, lead, "a", pairs.groupBy("a").agg(F.count("*").alias("n")), total, "b")
-            return confirmed(full.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "set_a", "set_b"), threshold)
+            likely = store(plausible(joined(pairs, "n", "regs"), threshold), "plausible")
+            return confirmed(joined(likely, "set"), threshold)
 
         num, den = threshold
         near_sizes = F.expr(f"{den} * least(size, lead_size) >= {num} * greatest(size, lead_size)")
