@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers.
 
-A k-mer of UTF-8 bytes is an anchor if the least of its s-mers (by hash; ties go to the first) stands at either end of
+A k-mer of UTF-8 bytes is an anchor if the least of its s-mers (by hash) stands at either end of
 it. Whether a k-mer is an anchor depends on its own bytes alone, so an edit moves or changes only the anchors that it
-touches. A fingerprint holds, as hexadecimal text, the length in bytes, how many distinct anchors there are, and a bottom-k sketch of
+touches. A fingerprint holds, as hexadecimal text, the length in bytes, how many anchors there are, and a bottom-k sketch of
 them with their first positions: the `size` least hashes (64 bits each) and positions (32 bits each).
 
 Two fingerprints are compared by position: of the least hashes of the union, those in both are matched; matches count if
@@ -140,7 +140,6 @@ class Sketches:
         n, size = self.hash.shape
         out = np.zeros(n)
         top = np.iinfo(np.uint64).max
-        row = np.repeat(np.arange(n), 2 * size)
         h = np.concatenate([self.hash, other.hash], 1)
         p = np.concatenate([self.at, other.at], 1).astype(np.int64)
         order = np.argsort(h, 1, kind="stable")
@@ -172,7 +171,6 @@ class Sketches:
         out = 2 * j / (1 + j)
         both = (self.used == 0) & (other.used == 0)
         out[both] = 1.0
-        del row
         return out
 
 
@@ -248,9 +246,9 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
         guest = F.col("doc_id").isin(ids)
     if -1 in heads:
         guest = guest | F.col("doc_id").isNull()
-    where = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None)
+    where = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("range")] if before else F.col("range")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
-    visit = F.struct(where[F.col("range")].alias("range"), F.lit(True).alias("guest"))
+    visit = F.struct(where.alias("range"), F.lit(True).alias("guest"))
     placed = ranged(docs).withColumn("_to", F.explode(F.when(guest, F.array(own, visit)).otherwise(F.array(own)))).select("doc_id", "text", F.col("_to.range").alias("range"), F.col("_to.guest").alias("guest"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

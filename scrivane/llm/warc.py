@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
                     if out is not None:
                         out.close()
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{n_files}.warc.gz"
-                    out, place, n_files = fs.open_output_stream(f"{base}/{name}"), 0, n_files + 1
+                    out, place, n_files = fs.open_output_stream(f"{base}/{name}", compression=None), 0, n_files + 1
                     info = _record("warcinfo", [("WARC-Date", date), ("WARC-Record-ID", record_id(None, name)), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     out.write(info)
                     place = len(info)
@@ -149,7 +149,7 @@ def read_archives(spark: SparkSession, folder: str, records: DataFrame) -> DataF
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 found: list[tuple] = []
-                with fs.open_input_stream(f"{base}/{name}") as f:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
                     for raw in members(f.read()):
                         fields, block = read_record(raw)
                         kind = fields["WARC-Type"]
@@ -191,7 +191,7 @@ def write_index(records: DataFrame, folder: str, block_lines: int = BLOCK_LINES,
         lines: list[str] = []
         blocks: list[tuple] = []
         place = 0
-        with fs.open_output_stream(f"{base}/{name}") as out:
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
 
             def flush() -> None:
                 nonlocal place
