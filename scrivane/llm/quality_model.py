@@ -1,7 +1,7 @@
 """A quality classifier: a generalised additive model with pairwise interactions, scored by table look-ups.
 
-Every whole text becomes a row of style features (counts and shares of words, lines, symbols, cases, repeats). Features are cut into at
-most 32 bins at training quantiles. Boosting goes around the features: each step fits a shallow tree to the gradient
+Every whole text becomes a row of style features (counts and shares of words, lines, symbols, cases, repeats). Features are cut into bins at
+31 training quantiles. Boosting goes around the features: each step fits a shallow tree to the gradient
 histogram of one feature and adds it, damped, to that feature's table. Pairs of features with the largest remaining gain
 then get two-dimensional tables in the same way. A score is the sum of a text's table entries through a sigmoid.
 
@@ -170,11 +170,19 @@ def _grid(grad: np.ndarray, hess: np.ndarray, least: float = 4.0, ridge: float =
     return best, out
 
 
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Quantiles; a value that fills several of them gets a bin of its own, so that rare values above it don't share its bin."""
+    if not len(values):
+        return np.zeros(0)
+    q, times = np.unique(np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1]), return_counts=True)
+    return np.unique(np.concatenate([q, np.nextafter(q[times > 1], np.inf)]))
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, pairs: int = PAIRS) -> Additive:
     """x: rows of features; y: labels 0 or 1."""
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     base = math.log(share / (1 - share))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) if len(y) else np.zeros(0) for f in range(x.shape[1])]
+    cuts = [_cuts(x[:, f]) for f in range(x.shape[1])]
     tables = [np.zeros(len(c) + 1) for c in cuts]
     if len(np.unique(y)) < 2:
         return Additive(base, cuts, tables, [])
