@@ -235,21 +235,21 @@ def decode(model: Model, text: str) -> list[tuple[str, str, int, int]]:
     for n, (kind, span, a, b) in enumerate(hits):
         if kind != "ADDRESS":
             continue
-        name, back = None, 0
+        name, place = None, (a, a)
         cut = name_prefix(span)
         if cut is not None:
             found = span.encode()[:cut].decode().rstrip()
             if found and has_name_signal(found):
-                name, back = found, cut
+                name, place = found, (a, a + len(found.encode()))
         if name is None and a:
             lo = _rise(raw, max(0, a - 40))
             lead = raw[lo:a].decode().rstrip()
             found = leading_name(lead)
             if found and has_name_signal(found):
-                name, back = found, a - lo - max(0, lead.encode().rfind(found.encode()))
+                name, place = found, (lo + max(0, lead.encode().rfind(found.encode())), a)
         if name is None:
             continue
-        names.append(("NAME", name, max(0, a - back), a))
+        names.append(("NAME", name, *place))
         if span.startswith(name):
             rest = span[len(name) :].lstrip()
             hits[n] = (kind, rest, a + len(span.encode()) - len(rest.encode()), b)
