@@ -12,7 +12,8 @@ text has in common with the other.
 
 `fingerprint_pairs` needs the next document, descending by doc_id. Documents go once, by ranges of doc_id that hold about
 `block_bytes`, to a task each; the first document of a range is also sent to the range before it. Only range bounds,
-a few numbers a range, pass through the driver.
+a few numbers a range, pass through the driver, for at most RANGES ranges; a task sorts outside memory and streams its
+range, so ranges may be larger than that.
 
 Null text: as empty; its fingerprint has no anchors. Texts shorter than k bytes: one anchor, the whole text. Equal texts have equal
 fingerprints; two empty ones have likeness 1, an empty and another 0. A null doc_id comes after all others. Rows with one
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import blocks_for, text_bytes
 from .textkernel import Texts, mix, range_hash, slices, texts_of
 
-K, S, SIZE, BLOCK_BYTES = 24, 8, 96, 16 << 20
+K, S, SIZE, BLOCK_BYTES, RANGES = 24, 8, 96, 16 << 20, 20_000
 _U = np.uint64
 
 
@@ -220,7 +221,7 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_ranges = blocks_for(spark, text_bytes(docs), block_bytes)
+    n_ranges = min(blocks_for(spark, text_bytes(docs), block_bytes), RANGES)
     cuts = _ranges(docs.select("doc_id"), n_ranges)
     # Range r holds the ids between the cuts; descending order runs from the last range to range 0, then to the nulls (range -1).
     edges = [-math.inf, *map(float, cuts), math.inf]

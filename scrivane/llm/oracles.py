@@ -59,4 +59,28 @@ SELECT p.page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_diges
   CASE WHEN p.page_id = min(p.page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id <> min(p.page_id) OVER w THEN min(p.page_id) OVER w END AS refers_to
 FROM p JOIN b32 USING (page_id) WINDOW w AS (PARTITION BY html)""",
+    "op3_chat_repair": r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE lower(trim(role)) WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS r,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+f AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS v0, 1000000000 AS v1, 1000000000 AS v2, 1000000000 AS v3, 0 AS b1, 0 AS b2, 0 AS b3 FROM t
+  UNION ALL
+  SELECT t.conv_id, t.k, 1000000000, least(v0, v1 + 1) + CASE WHEN r = 1 THEN 0 ELSE 2 END, least(v0, v1, v2 + 1, v3) + CASE WHEN r = 2 THEN 0 ELSE 2 END,
+    least(v0 + 3, v1 + 3, v2, v3 + 1) + CASE WHEN r = 3 THEN 0 ELSE 2 END,
+    CASE WHEN v0 <= v1 + 1 THEN 0 ELSE 1 END,
+    CASE least(v0, v1, v2 + 1, v3) WHEN v0 THEN 0 WHEN v1 THEN 1 WHEN v2 + 1 THEN 2 ELSE 3 END,
+    CASE least(v0 + 3, v1 + 3, v2, v3 + 1) WHEN v0 + 3 THEN 0 WHEN v1 + 3 THEN 1 WHEN v2 THEN 2 ELSE 3 END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1),
+g AS (
+  SELECT f.conv_id, f.k, CASE least(v1 + 3, v2, v3) WHEN v1 + 3 THEN 1 WHEN v2 THEN 2 ELSE 3 END AS e, b1, b2, b3 FROM f JOIN t USING (conv_id, k) WHERE f.k = t.n
+  UNION ALL
+  SELECT f.conv_id, f.k, CASE g.e WHEN 1 THEN g.b1 WHEN 2 THEN g.b2 ELSE g.b3 END, f.b1, f.b2, f.b3 FROM g JOIN f ON f.conv_id = g.conv_id AND f.k = g.k - 1 WHERE f.k > 0),
+h AS (SELECT t.*, e, CASE e WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END AS s, ['system', 'user', 'assistant'][e] AS name FROM g JOIN t USING (conv_id, k))
+SELECT conv_id, turn, role, name AS new_role, CASE WHEN r = e THEN 'keep' ELSE 'relabel' END || CASE WHEN s = e THEN '+merge' ELSE '' END AS action,
+  ((s < 2 AND e = 3)::INT + (k = n AND e = 1)::INT)::INT AS n_inserted,
+  CASE WHEN s = e THEN chr(10) ELSE CASE WHEN s > 0 THEN '<|im_end|>' || chr(10) ELSE '' END || CASE WHEN s < 2 AND e = 3 THEN '<|im_start|>user' || chr(10) || '<|im_end|>' || chr(10) ELSE '' END
+    || '<|im_start|>' || name || chr(10) END || text
+  || CASE WHEN k = n THEN '<|im_end|>' || chr(10) || CASE WHEN e = 1 THEN '<|im_start|>user' || chr(10) || '<|im_end|>' || chr(10) ELSE '' END ELSE '' END AS rendered
+FROM h""",
 }
