@@ -25,7 +25,7 @@ NOT_NAMES = frozenset(
     "account address bank branch code conditions courier date discount due email gstin http invoice logo note number order payment ship"
     " shipped site subtotal swift table tax terms thank total www.".split()
 )
-KINDS = {"ADDRESS", "NAME", "PHONE", "EMAIL", "ZIP", "ACCOUNT"}
+KINDS = frozenset("ACCOUNT ADDRESS EMAIL NAME PHONE ZIP".split())
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
@@ -75,7 +75,7 @@ def token_features(tokens: list[str], i: int) -> list[str]:
     for n in (2, 3):
         if size >= n:
             out += [f"w_prefix{n}:{low[:n]}", f"w_suffix{n}:{low[-n:]}"]
-    out.append("pos_bias:" + ("1" if i == 0 else "2" if i == len(tokens) - 1 else "0"))
+    out.append(f"pos_bias:{1 if not i else 2 * (i + 1 == len(tokens))}")
     for k in (-2, -1, 1, 2):
         j = i + k
         inside = 0 <= j < len(tokens)

@@ -289,7 +289,7 @@ class Image:
         q = quantise(thumb, 16)
         sums, seen = np.zeros(4), 0
         i, j = np.arange(16.0)[:, None], np.arange(16.0)[None, :]
-        for dx, dy in ((5, 0), (0, 5), (5, 5), (-5, 5)):
+        for dx, dy in zip((5, 0, 5, -5), (0, 5, 5, 5), strict=True):
             counts = co_occurrence(q, dx, dy)
             if counts.sum() < 50:
                 continue

@@ -27,7 +27,7 @@ _CARD = re.compile(rb"4|5[1-5]|3[4-8]|6011|644|65|30[0-5]")
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _NAME_MARKS = (b"name:", b"buyer:", b"customer:", b"contact:", b"ship to:")
 _BILL_MARKS = (b"bill to:", b"bill to ", b"bill_to", b"buyer ")
-_MONEY_MARKS = tuple(x.encode() for x in "gstin;gst;account;acct;bank;routing;swift;iban;bsb;sort code;account no;account number".split(";"))
+_MONEY_MARKS = (*b"gstin gst account acct bank".split(), *b"routing swift iban bsb".split(), b"sort code", *(b"account " + x for x in (b"no", b"number")))
 _ANY = re.compile(rb"@|\d{3}|\+|address:|name:|buyer|customer:|contact:|ship to:|bill.to", re.I)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELD = "struct<id: string, regionId: string, fieldType: string, confidence: double, manual: boolean, timestamp: string>"
-SCORES = ("is_document", "is_digital", "is_paper", "is_crumpled", "is_shadow")
+SCORES = tuple(f"is_{x}" for x in "document digital paper crumpled shadow".split())
 
 
 def build(docs: DataFrame, regions: DataFrame, hits: DataFrame, key: str = "doc_id", version: str = "1", now: Column | None = None) -> DataFrame:

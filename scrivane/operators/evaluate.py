@@ -95,7 +95,7 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFr
 
 
 #: Patterns of single tokens, the first that matches wins.
-TOKEN_KINDS = (("EMAIL", r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"), ("PHONE", r"^\+\(\d{3}\)\d{3}-\d{4}$"), ("ZIP", r"^\d{5}(-\d{4})?$"), ("ACCOUNT", r"^\d{6,12}$"))
+TOKEN_KINDS = (("EMAIL", r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"), ("PHONE", r"^[+]\([0-9]{3}\)[0-9]{3}-[0-9]{4}$"), ("ZIP", r"^[0-9]{5}(-[0-9]{4})?$"), ("ACCOUNT", r"^\d{6,12}$"))
 
 
 def type_tokens(tokens: DataFrame, key: str) -> DataFrame:
@@ -129,7 +129,7 @@ def region_scores(truth: DataFrame, hits: DataFrame, key: str, exempt_tag: int =
 
 ADDRESS_SIGNS = (
     r"(?i)\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|way|court|ct|place|pl)\b", r"\b[A-Z]{2}\s+\d{5}\b", r"(?i)\bp\.?\s?o\.?\s?box\b", r"(?i)\b(apt|suite|ste|unit)\b",
-    r"\b\d{1,5}\s+[A-Z][a-z]+", r"(?i)\b(north|south|east|west)\b", r"\bUS\b",
+    r"\b[0-9]{1,5}\s+\p{Lu}\p{Ll}+", r"(?i)\b(north|south|east|west)\b", r"\bUS\b",
 )
 
 

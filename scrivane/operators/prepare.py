@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import crf
 
-LABELS = ("is_document", "is_digital", "is_paper", "is_crumpled", "is_shadow")
+LABELS = tuple(f"is_{x}" for x in "document digital paper crumpled shadow".split())
 #: Labels of whole datasets, by the name of their directory.
-DATASETS = {"fatura2": (1, 1, 0, 0, 0), "cord-v2": (1, 0, 1, 0, 0), "srd": (1, 0, 1, 0, 0), "coco": (0,) * 5, "negatives": (0,) * 5}
+DATASETS = {k: tuple(map(int, bits)) for k, bits in {"fatura2": "11000", "cord-v2": "10100", "srd": "10100", "coco": "00000", "negatives": "00000"}.items()}
 TAGS = "O TABLE LOGO DATE NUMBER SELLER_ADDRESS TOTAL TITLE SELLER_NAME SUB_TOTAL BUYER DUE_DATE NOTE PAYMENT_DETAILS".split()
 SELLER, PAYMENT = 5, 13
-_KINDS = (("EMAIL", r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}"), ("PHONE", r"^\+\(\d{3}\)\d{3}-\d{4}"), ("ZIP", r"^\d{5}(-\d{4})?$"))
+_KINDS = (("EMAIL", r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}"), ("PHONE", r"^[+]\([0-9]{3}\)[0-9]{3}-[0-9]{4}"), ("ZIP", r"^[0-9]{5}(-[0-9]{4})?$"))
 
 
 def dataset_labels(files: DataFrame, spark: SparkSession) -> DataFrame:
@@ -147,7 +147,7 @@ def refined_labels(tokens: DataFrame, key: str) -> DataFrame:
     cut = F.when(F.col("tag") == SELLER, F.when(number, F.col("i")).when(suffix, F.col("i") + 1)).otherwise(F.when(bare_number, F.col("i")))
     # The first cutting token decides, not the least cut.
     df = df.withColumn("_cut", F.min_by(cut, F.when(cut.isNotNull(), F.col("i"))).over(run))
-    sign = suffix | (F.upper("_core").isin(sorted(crf.STATES)) & (F.length("_core") == 2)) | F.col("_core").isin(sorted(crf.DIRECTIONS)) | (F.col("_core").rlike(r"^\d{5}(-\d{4})?$") & (F.count("*").over(run) == 1))
+    sign = suffix | (F.upper("_core").isin(sorted(crf.STATES)) & (F.length("_core") == 2)) | F.col("_core").isin(sorted(crf.DIRECTIONS)) | (F.col("_core").rlike(r"^[0-9]{5}(-[0-9]{4})?$") & (F.count("*").over(run) == 1))
     df = df.withColumn("_signed", F.max(sign.cast("int")).over(run) == 1)
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(_KINDS):
@@ -182,12 +182,12 @@ def line_positions(words: DataFrame, key: str) -> DataFrame:
 def levenshtein(a: str, b: str) -> int:
     if len(a) < len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
+    cost = [*range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        corner, cost[0] = cost[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            corner, cost[j] = cost[j], min(cost[j] + 1, cost[j - 1] + 1, corner + (x != y))
+    return cost[-1]
 
 
 def align(found: list[str], truth: list[str], ahead: int = 5) -> list[tuple[int, int]]:
@@ -219,7 +219,7 @@ def aligned(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, "found", "truth").mapInArrow(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, truth_i int, found_i int, word string")
 
 
-_SWAPS = {"I": "l", "l": "I", "O": "0", "0": "O", "S": "5", "5": "S", "B": "8", "8": "B", "1": "l"}
+_SWAPS = dict(p for a, b in ("Il", "O0", "S5", "B8") for p in ((a, b), (b, a))) | {"1": "l"}
 
 
 def noisy(tokens: DataFrame, key: str, copies: int = 2, seed: int = 42, drop: float = 0.10, error: float = 0.15) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import crf
 from ..functions.image import N_FEATURES
 from ..operators import gbdt, images
 
-LABELS = ("is_document", "is_digital", "is_paper", "is_crumpled", "is_shadow")
+LABELS = tuple(f"is_{x}" for x in "document digital paper crumpled shadow".split())
 LABEL_SCHEMA = "filename string, " + ", ".join(f"{x} int" for x in LABELS)
 TRUTH_SCHEMA = "totalInvoices long, tag5Regions long, tag13Regions long, typeCounts map<string,long>, panPatternCount long, samples array<struct<tokens: array<string>, tags: array<int>>>"
 WORDS_SCHEMA = "filename string, ocrText string, words array<struct<text: string, bbox: array<int>, confidence: double>>, confidence double"
@@ -116,8 +116,8 @@ def tsv_words(df: DataFrame, key: str, tsv: str = "tsv") -> DataFrame:
 
 def image_number(filename) -> F.Column:
     """The number of a file named fatura2_train_12 or fatura2_test_12; test files follow the 8600 training files. Null for others."""
-    n = F.regexp_extract(filename, r"fatura2_(train|test)_(\d+)", 2)
-    part = F.regexp_extract(filename, r"fatura2_(train|test)_(\d+)", 1)
+    n = F.regexp_extract(filename, r"fatura2_(test|train)_([0-9]+)", 2)
+    part = F.regexp_extract(filename, r"fatura2_(test|train)_([0-9]+)", 1)
     return F.when(n != "", n.try_cast("int") + F.when(part == "test", 8600).otherwise(0))
 
 
