@@ -76,7 +76,7 @@ class Repair:
             live = live[size[live] > j]
         return v, back
 
-    def backward(self, back: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def backward(self, back: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """States before and after each turn, and before each piece. state: after each piece."""
         before, after = np.zeros(len(back), np.uint8), np.zeros(len(back), np.uint8)
         state = state.astype(np.uint8).copy()

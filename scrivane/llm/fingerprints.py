@@ -51,7 +51,7 @@ def _grams(data: np.ndarray, width: int, salt: int) -> np.ndarray:
     return mix(h)
 
 
-def anchors(texts: Texts, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(texts: Texts, k: int = K, s: int = S) -> tuple[np.ndarray, ...]:
     """Hashes, texts' numbers and byte positions within the text of all closed syncmers, in order of position."""
     d, o = texts.data, texts.offsets
     size = np.diff(o)
@@ -175,7 +175,7 @@ class Sketches:
         return out
 
 
-def half_starts(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def half_starts(texts: Texts) -> tuple[np.ndarray, ...]:
     """Code points of each text, and the byte and code point offset of all leads: n_chars, lead positions, lead bounds."""
     leads = np.flatnonzero((texts.data & 0xC0) != 0x80)
     bounds = np.searchsorted(leads, texts.offsets)
