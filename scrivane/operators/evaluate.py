@@ -13,7 +13,8 @@ def stratified_sample(df: DataFrame, labels: list[str], order: str, n: int) -> D
     strata = df.groupBy(*labels).agg(F.count("*").alias("_g"), F.min(order).alias("_first"))
     quota = F.greatest(F.lit(1), F.ceil(F.lit(n) * F.col("_g") / F.lit(max(total, 1))))
     ranked = df.join(F.broadcast(strata), labels).withColumn("_k", F.row_number().over(Window.partitionBy(*labels).orderBy(order)))
-    return ranked.where(F.col("_k") <= quota).orderBy("_first", "_k").limit(n).select(*df.columns)
+    # No quota exceeds n, and that constant lets tasks cut their strata before the shuffle.
+    return ranked.where((F.col("_k") <= n + 1) & (F.col("_k") <= quota)).orderBy("_first", "_k").limit(n).select(*df.columns)
 
 
 def long_predictions(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -60,15 +61,22 @@ def macro_micro(counts: DataFrame) -> DataFrame:
     return macro.unionByName(micro)
 
 
-def auc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, *by: str, buckets: int = 200) -> DataFrame:
     """Area under the ROC curve by key, ties counted half.
 
-    Scores are first counted, so that the running sums go over distinct scores a key and not over rows.
+    Scores are first counted. Running sums then go over distinct scores within a bucket of scores, and over at most `buckets` buckets a key, so
+    no task sees all distinct scores. The bounds of the buckets are approximate quantiles; they don't affect the result.
     """
     keys = list(by)
-    hist = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    part = hist.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
+    hist = df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    cuts = sorted(set(hist.agg(F.percentile_approx("_s", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []))
+    hist = hist.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("_s"))))
+    totals = hist.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    part = hist.join(totals, [*keys, "_b"]).withColumn("won", F.col("p") * (below + F.col("n") / 2))
     return part.groupBy(*keys).agg(_ratio(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 

@@ -403,7 +403,7 @@ def doc_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of documents with simple predictions: long texts are good, texts with a card number or an address sign are toxic."""
+    """Labels of documents with simple predictions: long texts are good, texts with one insult are toxic."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("size"), (F.col("n_chars") > 300).cast("int").alias("pred_quality"), F.contains("text", F.lit("idiot")).cast("int").alias("pred_toxic"))
     return table(spark, sf_dir, "labels").join(d, "doc_id")
 
