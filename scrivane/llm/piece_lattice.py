@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .textkernel import Texts, mix, range_hash, slices
 
-ALPHA = 2.0
+ALPHA, SLICE_BYTES = 2.0, 1 << 20
 _U = np.uint64
 _lattices: dict[tuple[str, float], Lattice] = {}
 
@@ -227,7 +227,7 @@ def sampled_pieces(docs: DataFrame, path: str, alpha: float = ALPHA) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, alpha)
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=SLICE_BYTES):
                 ids, offsets = model.sample(texts, row_keys(part.column(0), texts))
                 lossless = same_texts(texts, model.decode(ids, offsets))
                 pieces = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))

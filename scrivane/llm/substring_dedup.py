@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import blocks_for, shuffle_parts, text_bytes
-from .textkernel import Words, cover, texts_of, window_hash
+from .textkernel import Words, cover, release, texts_of, window_hash
 
 WIDTH, BLOCK_BYTES, DEPTH, CELLS_PER_WINDOW = 13, 8 << 20, 2, 4
 _U = np.uint64
@@ -60,6 +60,7 @@ class Block:
     """The windows of a block's documents. distinct: sorted hashes; of: for each window its place among them."""
 
     def __init__(self, rows: pa.Table, width: int):
+        release()
         self.ids = rows.column("doc_id").combine_chunks()
         self.words: Words = texts_of(rows.column("text")).words()
         self.width = width

@@ -5,6 +5,7 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D. These are ASCII, so splitti
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,11 @@ _TABLES = _rng.integers(0, 1 << 63, size=(4, 256), dtype=np.uint64) * _U(2) + _U
 _MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -173,6 +179,13 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(np.frombuffer(data, np.uint8, hi - lo, lo) if hi > lo else np.zeros(0, np.uint8), offsets - lo)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """The batch in runs of rows of about `limit` bytes of text; a longer text is a run of its own and stays whole."""
     whole = texts_of(batch.column(batch.schema.get_field_index(text)))
@@ -181,6 +194,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(o, o[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), Texts(whole.data[o[at] : o[to]], o[at : to + 1] - o[at])
         at = to
+    release()
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
