@@ -72,7 +72,7 @@ class Lattice:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(self.surface), np.uint8)
 
-    def edges(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def edges(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """All pieces in the chunks: first byte, end and piece. ends: for each byte, where its chunk ends."""
         at = np.arange(len(data))
         node = np.zeros(len(data), np.int32)
@@ -96,9 +96,9 @@ class Lattice:
         head = np.maximum.accumulate(np.where(is_lead, np.arange(len(data)), 0))
         spelled = np.flatnonzero(~single[head])
         found.append((spelled, spelled + 1, self.byte_piece[data[spelled]]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def filtered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def filtered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """For the chunks that make up data: pointers into the edges by end node, their starts, pieces and cumulative draws.
 
         Node p + 1 + c is the end of byte p of chunk c; node starts[c] + c is the chunk's begin.
@@ -128,10 +128,10 @@ class Lattice:
             with np.errstate(divide="ignore", invalid="ignore"):
                 alpha[dst[head[ga:gb]]] = top + np.log(total)
                 share[a:b] = part / np.repeat(total, s)
-        # Cumulated within each node, then laid out by node.
-        run = np.cumsum(share)
-        before = run[head] - share[head]
-        share = run - np.repeat(before, size)
+        # Cumulated within each node, one place at a time: sums don't depend on what else is in the slice.
+        for j in range(1, int(size.max(initial=1))):
+            at = head[size > j] + j
+            share[at] += share[at - 1]
         share[head + size - 1] = 2.0
         first = np.zeros(len(alpha) + 1, np.int64)
         first[dst[head]] = head
