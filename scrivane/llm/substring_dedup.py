@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import blocks_for, shuffle_parts, text_bytes
 from .textkernel import Words, cover, release, texts_of, window_hash
 
-WIDTH, BLOCK_BYTES, DEPTH, CELLS_PER_WINDOW = 13, 8 << 20, 2, 4
+WIDTH, BLOCK_BYTES, DEPTH, CELLS_PER_WINDOW = 13, 6 << 20, 2, 4
 _U = np.uint64
 _SALT = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 _MESSAGE = "shard int, block long, data binary"

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SEGMENT = 1 << 17
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(0x5C21))
@@ -28,6 +28,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _count_type(n: int) -> type:
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(32))
@@ -97,9 +101,9 @@ class Texts:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each text have the flag."""
-        c = np.zeros(len(flags) + 1, np.int64)
+        c = np.zeros(len(flags) + 1, _count_type(len(flags)))
         np.cumsum(flags, out=c[1:])
-        return c[self.offsets[1:]] - c[self.offsets[:-1]]
+        return (c[self.offsets[1:]] - c[self.offsets[:-1]]).astype(np.int64)
 
     def words(self) -> Words:
         d, o = self.data, self.offsets
@@ -160,10 +164,11 @@ def window_hash(word_hashes: np.ndarray, at: np.ndarray, width: int, seed: int =
 
 def cover(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Which of n items lie in any of the ranges."""
-    c = np.zeros(n + 1, np.int64)
+    c = np.zeros(n + 1, _count_type(n))
     np.add.at(c, starts, 1)
     np.add.at(c, starts + lengths, -1)
-    return np.cumsum(c[:n]) > 0
+    np.cumsum(c, out=c)
+    return c[:n] > 0
 
 
 def texts_of(column: pa.Array) -> Texts:
