@@ -243,7 +243,7 @@ def test_salted_join_splits_a_frequent_key(spark):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [*odd.texts(), *[(200 + k, odd.words(k % 150, 90)) for k in range(200)]]
+    rows = [*odd.texts(), *[(200 + k, odd.words(2000 + k % 150, 90)) for k in range(200)]]
     passage = odd.words(999, 60)
     rows += [(500 + k, odd.words(700 + k, 60) + " " + passage) for k in range(5)]
     rows = [(i, t) for i, t in rows if i is not None]
