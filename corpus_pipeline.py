@@ -36,8 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay whose fitted rate is one half or more: toxic and poor ones go, good ones keep their weight."""
-    return keep_mixed(docs, table(spark, sf_dir, "labels"))
+    """Documents are drawn by their fitted rates: good ones keep their weight, a quarter of the poor stays, toxic ones go. Few have two copies."""
+    return keep_mixed(docs, table(spark, sf_dir, "labels"), drawn=True)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

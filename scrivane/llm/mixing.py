@@ -38,6 +38,8 @@ DOMAINS = ("good", "good_toxic", "poor", "poor_toxic")
 #: Target totals as multiples of the expected totals of the corpus as it is.
 TARGETS = (1.0, 0.0, 0.25, 0.0)
 MAX_ROWS, LEXICON, LEAST_ROWS, LEAST_ODDS, STEPS, RIDGE, CLOSE = 20_000, 512, 8, 3.0, 60, 1e-4, 2e-4
+#: A drawn document whose rate is at least 1 - NEAR stays at least once.
+NEAR = 0.05
 _U = np.uint64
 #: Prefixes of words, in bytes, that may stand in the lexicon: compounds are built on stems.
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -267,6 +269,13 @@ def fit_rates(chances: DataFrame, targets: tuple[float, ...] = TARGETS, steps: i
     return Rates(past, step, momentum, ridge, natural, target * whole, reached * whole)
 
 
+def drawn_copies(ids: pa.Array, w: np.ndarray) -> np.ndarray:
+    """Rates rounded up or down by a hash of doc_id, so that the expected copies are the rate; without doc_id, rounded."""
+    u = (mix(ids.fill_null(0).to_numpy().astype(np.uint64) + _U(0x3C6EF372FE94F82B)) >> _U(11)).astype(float) * 2.0**-53
+    u[np.asarray(ids.is_null())] = 0.5
+    return np.floor(w + u).astype(np.int32)
+
+
 def document_rates(chances: DataFrame, rates: Rates) -> DataFrame:
     """Per document: doc_id, n_words, the four chances, its rate, and copies: the rate rounded up or down by a hash of doc_id."""
 
@@ -277,9 +286,7 @@ def document_rates(chances: DataFrame, rates: Rates) -> DataFrame:
             p = _matrix(batch, "p")
             w = rates.of(p)
             ids = batch.column(0)
-            u = (mix(ids.fill_null(0).to_numpy().astype(np.uint64) + _U(0x3C6EF372FE94F82B)) >> _U(11)).astype(float) * 2.0**-53
-            u[np.asarray(ids.is_null())] = 0.5
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), *(pa.array(p[:, j]) for j in range(4)), pa.array(w), pa.array(np.floor(w + u).astype(np.int32))], ["doc_id", "n_words", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), *(pa.array(p[:, j]) for j in range(4)), pa.array(w), pa.array(drawn_copies(ids, w))], ["doc_id", "n_words", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
 
     return chances.select("doc_id", "n_words", "p").mapInArrow(run, "doc_id long, n_words long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies int")
 
@@ -289,15 +296,24 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...]
     return document_rates(chances, fit_rates(chances, targets))
 
 
-def keep_mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs whose rate is at least one half, all columns: rates are rounded, not drawn, so that documents of a domain that
-    keeps its weight all stay. The texts are scanned again with the fitted model; nothing is joined."""
+def keep_mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rows: int = MAX_ROWS, drawn: bool = False) -> DataFrame:
+    """Rows of docs by their rates, all columns. drawn: each row as many times as document_rates has copies of it, so that the expected
+    totals of what is kept match the targets; rows of rates from 1 - NEAR on stay at least once, so that no clean document goes by
+    chance. Otherwise a threshold, which doesn't match them: the rows whose rate is at least one half, once each. The texts are
+    scanned again with the fitted model; nothing is joined."""
     model = fit_domains(docs, labels, max_rows)
     rates = fit_rates(store(domain_chances(docs, model), "domain-chances"), targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                yield part.filter(pa.array(rates.of(model.chances(texts)[1]) >= 0.5))
+                w = rates.of(model.chances(texts)[1])
+                if not drawn:
+                    yield part.filter(pa.array(w >= 0.5))
+                    continue
+                n = np.maximum(drawn_copies(part.column(at).cast(pa.int64()), w), w >= 1 - NEAR)
+                for k in range(int(n.max(initial=0))):
+                    yield part.filter(pa.array(n > k))
 
+    at = docs.columns.index("doc_id")
     return docs.mapInArrow(run, docs.schema)

@@ -229,6 +229,33 @@ def test_mixing_rates(spark):
     assert mixing.mixing_rates(df, lab.where("false")).count() == len(rows)
 
 
+def test_drawn_documents_match_the_targets(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    rows, labels = [], []
+    for k in range(2400):
+        toxic, poor = k % 5 == 0, k % 3 == 0
+        w = odd.words(k + 5000, 60).split()
+        if toxic:
+            for _ in range(3):
+                w[r.randrange(60)] = r.choice(["vilelot,", "Vileness", "vilely"])
+        rows.append((k, (" | " if poor else " ").join(w)))
+        labels.append((k, int(not poor), int(toxic)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    df = odd.frame(spark, rows)
+    rates = {x.doc_id: x for x in mixing.mixing_rates(df, lab).collect()}
+    kept = corpus_pipeline.mixing(spark, df, str(tmp_path))
+    assert kept.schema == df.schema
+    copies = Counter(x.doc_id for x in kept.select("doc_id").collect())
+    p = {i: x.n_words * np.array([x.p_good, x.p_good_toxic, x.p_poor, x.p_poor_toxic]) for i, x in rates.items()}
+    natural, got = sum(p.values()), sum(p[i] * n for i, n in copies.items())
+    assert np.abs(got / natural - mixing.TARGETS).max() < 0.06
+    assert {i for i, x in rates.items() if x.rate >= 0.95} <= set(copies)
+    assert copies == Counter(x.doc_id for x in corpus_pipeline.mixing(spark, df, str(tmp_path)).select("doc_id").collect())
+
+
 # Joins and the whole pipeline
 
 
