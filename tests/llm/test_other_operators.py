@@ -204,6 +204,20 @@ def test_rates_meet_targets_and_equal_a_dense_solver(spark):
     assert len(rows) == 201 and all(abs(r.copies - r.rate) <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("shares", [(0.69, 0.0001, 0.3099, 0.0), (0.9897, 0.0003, 0.01, 0.0)])
+def test_rare_domains_meet_their_targets(spark, shares):
+    rows = [(k, round(shares[k] * 1e6), np.eye(4)[k].tolist()) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, n_words long, p array<double>")
+    rates = mixing.fit_rates(df)
+    some = np.array(shares) > 0
+    assert np.abs(rates.of(np.eye(4)) - mixing.TARGETS)[some].max() < 1e-3
+    with pytest.raises(RuntimeError, match="settled"):
+        mixing.fit_rates(df, steps=1)
+    alike = spark.createDataFrame([(k, 10, [0.25] * 4) for k in range(9)], "doc_id long, n_words long, p array<double>")
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.fit_rates(alike)
+
+
 def test_mixing_rates(spark):
     r = random.Random(5)
     rows, labels = [*odd.texts()], []
