@@ -15,8 +15,9 @@ text has in common with the other.
 a few numbers a range, pass through the driver, for at most RANGES ranges; a task sorts outside memory and streams its
 range, so ranges may be larger than that.
 
-Null text: as empty; its fingerprint has no anchors. Texts shorter than k bytes: one anchor, the whole text. Equal texts have equal
-fingerprints; two empty ones have likeness 1, an empty and another 0. A null doc_id comes after all others. Rows with one
+Null text: as empty; its fingerprint has no anchors. Texts without a syncmer, as all shorter than k bytes and some shorter than
+2k - s - 1: one anchor, the whole text, so they are like equal texts only. Equal texts have equal fingerprints; two empty ones have
+likeness 1, an empty and another 0. A null doc_id comes after all others. Rows with one
 doc_id are ordered by text, descending; if all rows are one document, it is its own next document.
 """
 
@@ -52,7 +53,8 @@ def _grams(data: np.ndarray, width: int, salt: int) -> np.ndarray:
 
 
 def anchors(texts: Texts, k: int = K, s: int = S) -> tuple[np.ndarray, ...]:
-    """Hashes, texts' numbers and byte positions within the text of all closed syncmers, in order of position."""
+    """Hashes, texts' numbers and byte positions within the text of all closed syncmers, in order of position;
+    of a text without any, the whole text."""
     d, o = texts.data, texts.offsets
     size = np.diff(o)
     out = []
@@ -70,7 +72,10 @@ def anchors(texts: Texts, k: int = K, s: int = S) -> tuple[np.ndarray, ...]:
         inside = at + k <= o[text + 1]
         at, text = at[inside], text[inside]
         out.append((_kmer_hash(d, at, k), text, at - o[text]))
-    short = np.flatnonzero((size > 0) & (size < k))
+    none = size > 0
+    if out:
+        none[out[0][1]] = False
+    short = np.flatnonzero(none)
     if len(short):
         out.append((range_hash(d, o[short], o[short + 1], 3), short, np.zeros(len(short), np.int64)))
     if not out:

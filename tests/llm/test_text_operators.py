@@ -207,6 +207,21 @@ def test_closed_syncmers_are_context_free():
     assert later == list(zip(h1.tolist(), at1.tolist(), strict=True))
 
 
+def test_texts_without_a_syncmer_have_an_anchor():
+    rows = [odd.words(3000 + k, 30)[: 20 + k % 25] for k in range(400)] + ["x" * 30]
+    assert len(set(rows)) == len(rows)
+    fresh = lambda x: fingerprints.Sketches(texts_of(pa.array(x)), 24, 8, 96)
+    s = fresh(rows)
+    assert (s.used > 0).all() and len(set(s.encoded())) == len(rows)
+    assert (s.likeness(s) == 1).all() and (s.likeness(fresh([""] * len(rows))) == 0).all()
+    same_length = {}
+    for t in (t for t, n in zip(rows, s.used, strict=True) if n == 1 and len(t.encode()) >= 24):
+        same_length.setdefault(len(t.encode()), []).append(t)
+    pairs = [(g[0], t) for g in same_length.values() for t in g[1:]]
+    assert len(pairs) > 20 and (fresh([a for a, _ in pairs]).likeness(fresh([b for _, b in pairs])) < 1).all()
+    assert (fresh(["", ""]).likeness(fresh(["", "a"])) == [1, 0]).all()
+
+
 def test_likeness_follows_the_shared_part():
     base = odd.words(22, 800)
     cut = len(base) // 2
