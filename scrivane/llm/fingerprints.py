@@ -5,8 +5,9 @@ it. Whether a k-mer is an anchor depends on its own bytes alone, so an edit move
 touches. A fingerprint holds, as hexadecimal text, the length in bytes, how many anchors there are, and a bottom-k sketch of
 them with their first positions: the `size` least hashes (64 bits each) and positions (32 bits each).
 
-Two fingerprints are compared by position: of the least hashes of the union, those in both are matched; matches count if
-their shift (the difference of positions) is that of a run of matches, so that chance repeats at unrelated places don't. With
+Two fingerprints are compared by position: of the least hashes of the union, those in both are matched; a match counts if
+its shift (the difference of positions) is that of another match, or about that of a neighbour: the further apart the two, the more
+edits may lie between them. So chance repeats at unrelated places don't count. With
 the matched share j as an estimate of the Jaccard similarity, the likeness is 2j / (1 + j), the share of anchors that one
 text has in common with the other.
 
@@ -36,6 +37,8 @@ from .common import blocks_for, text_bytes
 from .textkernel import Texts, mix, range_hash, slices, texts_of
 
 K, S, SIZE, BLOCK_BYTES, RANGES = 24, 8, 96, 16 << 20, 20_000
+#: Two matches go together if their shifts differ by at most DRIFT bytes and SLOPE of their distance; a match is compared with NEXT on either side.
+DRIFT, SLOPE, NEXT = 8, 0.125, 2
 _U = np.uint64
 
 
@@ -161,17 +164,22 @@ class Sketches:
         inside = unique & (among <= full[:, None])
         hit = same & inside
         r, c = np.nonzero(hit)
-        shift = p[r, c] - p[r, c + 1]
-        # A shift counts if at least two matches share it, or if there are only few matches at all.
+        key = np.lexsort((p[r, c], r))
+        r, one, two = r[key], p[r, c][key], p[r, c + 1][key]
+        shift = one - two
+        few = np.bincount(r, minlength=n)[r] <= 4
+        good = few
+        # Edits move a shift little by little: a match counts if one of the NEXT matches on either side has about its shift,
+        for k in range(1, NEXT + 1):
+            ok = (r[k:] == r[:-k]) & (two[k:] > two[:-k]) & (np.abs(shift[k:] - shift[:-k]) <= DRIFT + SLOPE * (one[k:] - one[:-k]))
+            good[k:] |= ok
+            good[:-k] |= ok
+        # or if any other has exactly its shift.
         key = np.lexsort((shift, r))
-        rs, ss = r[key], shift[key]
-        new = np.ones(len(rs), bool)
-        new[1:] = (rs[1:] != rs[:-1]) | (ss[1:] != ss[:-1])
-        head = np.flatnonzero(new)
-        run = np.diff(np.append(head, len(rs)))
-        per_row = np.bincount(r, minlength=n)
-        good = (run >= 2) | (per_row[rs[head]] <= 4)
-        matched = np.bincount(rs[head][good], weights=run[good], minlength=n)
+        equal = (r[key][1:] == r[key][:-1]) & (shift[key][1:] == shift[key][:-1])
+        good[key[1:][equal]] = True
+        good[key[:-1][equal]] = True
+        matched = np.bincount(r[good], minlength=n)
         seen = np.maximum(inside.sum(1), 1)
         j = matched / seen
         out = 2 * j / (1 + j)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -232,6 +233,33 @@ def test_likeness_follows_the_shared_part():
     assert same_ == 1 and 0.35 < half < 0.65 and none < 0.1
 
 
+def test_likeness_of_long_texts_with_scattered_edits():
+    r = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    fresh = lambda n: "".join(r.choices(letters, k=n))
+    texts, new, kept = [], [], []
+    for n, edits in ((60_000, 150), (100_000, 250), (1_000_000, 2500)) * 3:
+        t, cuts = fresh(n), sorted(r.sample(range(n), edits))
+        parts = [t[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+        out = parts[0]
+        for k, part in enumerate(parts[1:]):
+            out += fresh(r.randint(1, 9)) + part if k % 4 else part[r.randint(1, 9) :]
+        texts.append(t)
+        new.append(out)
+        a, b = (set(fingerprints.anchors(texts_of(pa.array([x])))[0].tolist()) for x in (t, out))
+        kept.append(2 * len(a & b) / (len(a) + len(b)))
+    s, t = (fingerprints.Sketches(texts_of(pa.array(x)), 24, 8, 96) for x in (texts, new))
+    got = s.likeness(t)
+    assert np.abs(got - kept).max() < 0.1 and abs(np.mean(got - kept)) < 0.03
+    # Sentences that both texts have, in another order, are chance repeats; two halves that change places aren't.
+    some = [fresh(40) for _ in range(60)]
+    one, two = ("".join(fresh(900) + x for x in r.sample(some, 60)) for _ in range(2))
+    swapped = texts[0][30_000:] + texts[0][:30_000]
+    s, t = (fingerprints.Sketches(texts_of(pa.array(x)), 24, 8, 96) for x in ([one, texts[0]], [two, swapped]))
+    chance, halves = s.likeness(t)
+    assert chance < 0.05 and halves > 0.95
+
+
 # Substring dedup
 
 
