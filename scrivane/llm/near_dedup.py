@@ -12,7 +12,7 @@ bring similar sets into one bucket. 20 bands of 4 registers miss a pair of simil
    been compared leaves the bucket, and a bucket whose members are all connected is closed. The rounds end when no bucket is
    open: every pair that shares a bucket has been compared or is connected.
 3. A pair goes to confirmation unless the likelihood of its registers, given both set sizes, all but excludes the
-   threshold: 256 registers then make it e**10 times likelier that the similarity is their estimate, a chance of less than 1e-5
+   threshold: 256 registers then make it e**16 times likelier that the similarity is their estimate, a chance of less than 1e-8
    for a pair at the threshold and far less above it. Confirmation intersects the full sets.
 4. Links are contracted into components; all documents then take their set's component.
 
@@ -38,7 +38,7 @@ from .textkernel import Texts, in_text, mix, range_hash, slices
 BANDS, ROWS, ESTIMATORS, BASE, RATE, LIMIT = 20, 4, 256, 1.001, 20.0, (1 << 16) - 2
 THRESHOLD = (85, 100)
 #: A pair is dropped unconfirmed if its registers are exp(DOUBT) times likelier at the best estimate than at the threshold.
-DOUBT = 10.0
+DOUBT = 16.0
 _U = np.uint64
 _seeds = np.random.Generator(np.random.PCG64(0x5E7)).integers(1, 1 << 32, size=(2, 4096), dtype=np.uint32) | np.uint32(1)
 

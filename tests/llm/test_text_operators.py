@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -373,3 +374,8 @@ def test_registers_merge_and_estimate():
     assert (np.maximum(ra, rb) == both).all()
     best, over = near_dedup.joint_estimate(ra, rb, np.array([925.0]), np.array([925.0]), 0.85)
     assert abs(best[0] - 0.85) < 0.05 and over[0] < near_dedup.DOUBT
+
+
+def test_links_at_the_threshold_are_hardly_ever_dropped():
+    """Twice the log likelihood ratio is about chi-square with one degree; only estimates below the threshold are dropped."""
+    assert math.erfc(math.sqrt(near_dedup.DOUBT)) / 2 < 1e-8
