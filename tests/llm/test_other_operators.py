@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -119,8 +120,11 @@ def test_index_look_up(spark):
     folder = common.work_dir(spark, "warc-test")
     records = warc.write_archives(spark.createDataFrame(rows, PAGES), folder, file_bytes=4_000)
     directory = warc.write_index(records, f"{folder}-index", block_lines=10)
-    index = warc.Index(f"{folder}-index", [(r["first"], r["file"], r["place"], r["length"]) for r in directory.collect()])
-    assert directory.agg({"lines": "sum"}).first()[0] == len(rows) and len(index.blocks) > 40
+    index = warc.Index(f"{folder}-index", warc.Index.parts_of(directory), held=1)
+    assert directory.agg({"lines": "sum"}).first()[0] == len(rows) and directory.count() > 40 and len(index.files) > 1
+    for r in directory.collect():
+        first, places = index.directory(r["file"])
+        assert (r["first"], r["place"], r["length"]) in {(a, *b) for a, b in zip(first, places, strict=True)}
     for url in {u for _, u, _, _ in rows} | {"http://nowhere.org/"}:
         found = index.captures(url)
         assert Counter(c["page_id"] for c in found) == Counter(i for i, u, _, _ in rows if warc.surt(u) == warc.surt(url))
@@ -131,6 +135,37 @@ def test_index_look_up(spark):
                 assert warc.payload_digest(payload) == c["digest"]
     names = {r["file"] for r in records.collect()}
     assert len(names) > 1
+    # Some URLs only: their captures and no others.
+    some = spark.createDataFrame([("http://h3.example.net/p10",), ("https://h3.example.net:443/p10",), ("http://nowhere.org/",), (None,)], "url string")
+    got = warc.read_archives(some, folder, f"{folder}-index", directory).collect()
+    assert Counter(r.page_id for r in got) == Counter(i for i, u, _, _ in rows if warc.surt(u) in ("net,example,h3)/p10", "-"))
+
+
+def test_long_keys_and_a_key_of_a_third_of_all_rows(spark):
+    """Keys alike over more characters than a look-up holds, and one key over many blocks: every record is read back once, by several tasks."""
+    stem = "http://host.example.org/" + "x" * 200
+    rows = [(k, "http://hot.example.org/" if k % 3 == 0 else f"{stem}{k % 71}\u2028\r{k % 5}", f"body {k}", 1) for k in range(900)]
+    pages = spark.createDataFrame(rows, PAGES)
+    folder = common.work_dir(spark, "warc-test")
+    directory = warc.write_index(warc.write_archives(pages, folder), f"{folder}-index", block_lines=7)
+    out = warc.read_archives(pages.select("url"), folder, f"{folder}-index", directory)
+    assert sorted(r.page_id for r in out.collect()) == list(range(900))
+    tasks = Counter(r.part for r in out.selectExpr("spark_partition_id() AS part").collect())
+    assert len(tasks) > 1 and max(tasks.values()) < 600
+
+
+def test_reading_an_archive_takes_linear_time(spark):
+    def seconds(n):
+        folder = common.work_dir(spark, "warc-test")
+        records = warc.write_archives(spark.createDataFrame([(k, f"http://a.org/{k}", random.Random(k).randbytes(600).hex(), 1) for k in range(n)], PAGES).coalesce(1), folder)
+        captures = [r.asDict() for r in records.collect()]
+        fs, base = warc._filesystem(folder)
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_records(fs, base, captures)) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.02)
 
 
 def test_surt():
