@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir).
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
 
     Only a session without that setting, as in tests on one machine, gets a temporary folder.
     """
@@ -23,7 +23,22 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="scrivane-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
@@ -31,7 +46,16 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that store() wrote, when nothing that is still to run reads them."""
+    for df in tables:
+        fs, at = _file_system(df.sparkSession, df._stored_at)
+        fs.delete(at, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -47,15 +71,20 @@ def blocks_for(spark: SparkSession, n_bytes: int, block_bytes: int) -> int:
     return max(shuffle_parts(spark), math.ceil(n_bytes / block_bytes))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, salt_by: str, chunk: int = 50_000) -> DataFrame:
-    """Inner join of `many` with `one` (unique on key), where some key may hold a large share of `many`.
+def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None, total: int, salt_by: str, chunk: int = 50_000, how: str = "inner") -> DataFrame:
+    """Join of `many` with `one`, where some key may hold a large share of `many` but few rows of `one`; how: inner or left.
 
-    counts has (key, n): the rows of `many` per key; total is the number of those rows. A key of more than
-    max(chunk, total / 2000) rows is spread over salts, and its row in `one` is repeated for each; all others have salt 0.
-    At most 2000 keys can be that frequent, which bounds the table that is broadcast.
+    counts has (key, n): the rows of `many` per key (None: counted here); total is the number of those rows. A key of more than
+    max(chunk, total / 2000) rows is spread over salts, and its rows in `one` are repeated for each; all others have salt 0.
+    At most 2000 keys can be that frequent, which bounds the table that is broadcast. If all rows are no more than one chunk, no key
+    can be, and the join is a plain one.
     """
+    if total <= chunk:
+        return many.join(one, key, how)
+    if counts is None:
+        counts = many.groupBy(key).agg(F.count("*").alias("n"))
     least = max(chunk, total // 2000)
     hot = F.broadcast(counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / chunk).cast("int").alias("_salts")))
     left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

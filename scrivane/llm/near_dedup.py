@@ -6,9 +6,9 @@ and two sets' registers agree with about the probability of their Jaccard simila
 bring similar sets into one bucket. 20 bands of 4 registers miss a pair of similarity 0.85 with probability below 3e-6.
 
 1. Equal sets fold into one (partial aggregation by a 128-bit digest of the set; the least doc_id stands for it).
-2. Distinct sets meet in buckets. Pairs are never listed: in each round some leaders of a bucket are compared with its
-   members that aren't known to be connected with them, so a round's pairs are linear in the members. At first the
-   least member leads, later members from outside the bucket's largest component, twice as many each round. A leader that has
+2. Distinct sets meet in buckets. Pairs within a bucket are never all listed: in each round some leaders of a bucket are compared with its
+   members that aren't known to be connected with them, so that a round's pairs are at most its leaders times its members. At first the
+   least member leads, later members from outside the bucket's largest component, twice as many each round, until the bucket is one component. A leader that has
    been compared leaves the bucket, and a bucket whose members are all connected is closed. The rounds end when no bucket is
    open: every pair that shares a bucket has been compared or is connected.
 3. A pair goes to confirmation unless the likelihood of its registers, given both set sizes, all but excludes the
@@ -16,7 +16,7 @@ bring similar sets into one bucket. 20 bands of 4 registers miss a pair of simil
    for a pair at the threshold and far less above it. Confirmation intersects the full sets.
 4. Links are contracted into components; all documents then take their set's component.
 
-Frequent keys (a set or a leader that a large share of rows has) are salted.
+Frequent keys (a set, a leader, a bucket or a component that a large share of rows has) are salted. Work tables are deleted when their round is over.
 
 Null or empty text, or one without words: an empty set, linked with nothing, a component of its own. A null doc_id: linked with nothing,
 component null, kept. Rows with one doc_id are one node. Fewer than 3 words: the whole sequence is one shingle.
@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, store
+from .common import discard, salted_join, store
 from .textkernel import Texts, in_text, mix, range_hash, slices
 
 BANDS, ROWS, ESTIMATORS, BASE, RATE, LIMIT = 20, 4, 256, 1.001, 20.0, (1 << 16) - 2
 THRESHOLD = (85, 100)
 #: A pair is dropped unconfirmed if its registers are exp(DOUBT) times likelier at the best estimate than at the threshold.
 DOUBT = 16.0
+#: Keys of more rows than this are salted.
+CHUNK = 50_000
 _U = np.uint64
 _seeds = np.random.Generator(np.random.PCG64(0x5E7)).integers(1, 1 << 32, size=(2, 4096), dtype=np.uint32) | np.uint32(1)
 
@@ -211,34 +213,45 @@ def shingle_sets(docs: DataFrame, estimators: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, n long, regs binary, set binary")
 
 
-def contract(links: DataFrame) -> DataFrame | None:
+def contract(links: DataFrame, chunk: int = CHUNK) -> DataFrame | None:
     """Connected components of links (a, b): rows (node, comp), comp the least node of its component; None without links.
 
-    Each round maps every node to its least neighbour, follows that map a few steps, and contracts the links along it.
+    Each round maps every node to its least neighbour, follows that map a few steps, and contracts the links along it. Nodes that
+    very many others map to, or are linked with, are salted.
     """
     edges = store(links.where("a <> b").distinct(), "links")
     comp = None
-    while not edges.isEmpty():
+    while n_edges := edges.count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p"))
-        parent = store(parent, "parents")
+        nearest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p"))
+        nearest = parent = store(nearest, "parents")
+        n_nodes = nearest.count()
         for _ in range(2):
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p").select("node", F.col("pp").alias("p"))
+            parent = salted_join(parent, up, "p", None, n_nodes, "node", chunk).select("node", F.col("pp").alias("p"))
         parent = store(parent, "parents")
+        a = parent.select(F.col("node").alias("a"), F.col("p").alias("pa"))
+        b = parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        # Each node's link to its parent is contracted to nothing; links between one pair of parents fold into one.
+        moved = salted_join(salted_join(edges, a, "a", None, n_edges, "b", chunk), b, "b", None, n_edges, "a", chunk)
+        moved = store(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "links")
+        discard(nearest, edges)
+        edges = moved
         if comp is None:
             comp = parent.select("node", F.col("p").alias("comp"))
+            held = parent
         else:
             up = parent.select(F.col("node").alias("comp"), "p")
-            comp = store(comp.join(up, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "components")
-        a = parent.select(F.col("node").alias("a"), F.col("p").alias("pa"))
-        b = parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        edges = edges.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct()
-        edges = store(edges, "links")
+            comp = store(salted_join(comp, up, "comp", None, comp.count(), "node", chunk, "left").select("node", F.coalesce("p", "comp").alias("comp")), "components")
+            discard(held, parent)
+            held = comp
+    discard(edges)
+    if comp is not None:
+        comp._stored_at = held._stored_at
     return comp
 
 
-def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD, estimators: int = ESTIMATORS) -> DataFrame:
+def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD, estimators: int = ESTIMATORS, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = store(signatures(docs, bands, rows), "signatures")
@@ -252,7 +265,7 @@ def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold:
     comp = None
     if entries:
         counts = shared.select("bucket", F.col("n_members").alias("n"))
-        members = store(salted_join(keys.select("bucket", "rep", F.col("n").alias("size")), shared.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_size")), "bucket", counts, entries, "rep"), "members")
+        members = store(salted_join(keys.select("bucket", "rep", F.col("n").alias("size")), shared.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_size")), "bucket", counts, entries, "rep", chunk), "members")
         involved = members.select("rep").distinct()
         text = docs.join(involved, docs["doc_id"] == involved["rep"], "left_semi")
         sets = store(shingle_sets(text.select("doc_id", "text"), estimators).distinct(), "sets")
@@ -263,37 +276,50 @@ def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold:
             for side, other in (("b", "a"), ("a", "b")):
                 one = sets.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
                 counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
-                out = salted_join(pairs if side == "b" else out, one, side, counts, total, other)
+                out = salted_join(pairs if side == "b" else out, one, side, counts, total, other, chunk)
             return out
 
-        def check(pairs: DataFrame) -> DataFrame:
+        def linked(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
+            """The links so far and those among new pairs."""
             pairs = store(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
             likely = store(plausible(joined(pairs, "n", "regs"), threshold), "plausible")
-            return confirmed(joined(likely, "set"), threshold)
+            new = confirmed(joined(likely, "set"), threshold)
+            out = store(new if links is None else links.union(new), "links")
+            discard(pairs, likely, *([] if links is None else [links]))
+            return out
 
         num, den = threshold
         near_sizes = F.expr(f"{den} * least(size, lead_size) >= {num} * greatest(size, lead_size)")
-        links = store(check(members.where("rep <> lead").where(near_sizes).select(F.col("lead").alias("a"), F.col("rep").alias("b"))), "links")
+        links = linked(None, members.where("rep <> lead").where(near_sizes).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
         # The leader has been compared with all others of its bucket.
         left = members.where("rep <> lead").select("bucket", "rep", "size")
-        leaders = 16
+        leaders, old, n_left = 16, [members], entries
         while True:
-            comp = contract(links)
+            if comp is not None:
+                discard(comp)
+            comp = contract(links, chunk)
             left = left.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left") if comp is not None else left.withColumn("comp", F.lit(None).cast("long"))
             left = left.withColumn("comp", F.coalesce("comp", "rep"))
             sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main")
-            left = store(left.join(largest, "bucket"), "open-buckets")
+            largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.sum("k").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+            largest = store(largest, "largest")
+            left = store(salted_join(left, largest.select("bucket", "main"), "bucket", largest.select("bucket", "n"), n_left, "rep", chunk), "open-buckets")
             # Sampling the leaders by hash keeps this free of a sort within a bucket; all of few are taken.
-            outside = left.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("outside"))
-            lead = left.where("comp <> main").join(outside, "bucket").where(F.pmod(F.xxhash64("rep", F.lit(leaders)), F.greatest(F.ceil(F.col("outside") / leaders), F.lit(1))) == 0)
+            n_left = left.count()
+            beside = left.where("comp <> main")
+            outside = beside.groupBy("bucket").agg(F.count("*").alias("outside"))
+            lead = salted_join(beside, outside, "bucket", outside.withColumnRenamed("outside", "n"), n_left, "rep", chunk)
+            lead = lead.where(F.pmod(F.xxhash64("rep", F.lit(leaders)), F.greatest(F.ceil(F.col("outside") / leaders), F.lit(1))) == 0)
             lead = store(lead.select("bucket", F.col("rep").alias("a"), F.col("size").alias("lead_size"), F.col("comp").alias("lead_comp")), "leaders")
-            if left.isEmpty():
+            discard(*old)
+            old = [largest, left, lead]
+            if not n_left:
                 break
-            pairs = left.join(lead, "bucket").where("comp <> lead_comp").where(near_sizes).select("a", F.col("rep").alias("b"))
-            links = store(links.union(check(pairs)), "links")
+            pairs = salted_join(left, lead, "bucket", largest.select("bucket", "n"), n_left, "rep", chunk)
+            links = linked(links, pairs.where("comp <> lead_comp").where(near_sizes).select("a", F.col("rep").alias("b")))
             left = left.join(lead.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "size")
             leaders *= 2
+        discard(sets, links, shared, *old)
 
     named = reps.select("digest", "n", "rep")
     if comp is not None:
@@ -301,7 +327,7 @@ def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold:
     else:
         named = named.select("digest", "n", F.col("rep").alias("comp"))
     key = F.concat(F.col("digest"), F.encode(F.col("n").cast("string"), "utf-8")).alias("key")
-    of_set = salted_join(known.select("doc_id", "n", key), named.select(key, "comp"), "key", reps.select(key, F.col("copies").alias("n")), known.count(), "doc_id")
+    of_set = salted_join(known.select("doc_id", "n", key), named.select(key, "comp"), "key", reps.select(key, F.col("copies").alias("n")), known.count(), "doc_id", chunk)
     rest = sig.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("comp"))
     out = of_set.select("doc_id", "n", "comp").unionByName(rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
