@@ -1,31 +1,32 @@
 """Mixing to target weights with soft domain membership.
 
 Domains are the four cells of quality (good, poor) and toxicity of the table of labels. A classifier learned there gives every
-document the chances p[d, k] that it belongs to domain k; nothing is assigned for good. With t[d] words in document d, rates
+document the chances p[d, k] that it belongs to domain k; nothing is assigned for good. With t[d] tokens in document d, rates
 w[d] >= 0 are fitted by least squares so that the expected totals sum_d t[d] p[d, k] w[d] match the targets:
 
     minimise  1/2 sum_k (sum_d t p_k w / N - target_k)^2  +  ridge/2 sum_d t (w - 1)^2 / N,   w >= 0
 
-At the optimum w = max(0, 1 - sum_k p_k dual_k) with one number a domain, and these minimise a convex function of four variables:
+by projected gradient. A document's gradient is p[d] . g with one number g_k a domain, the residual of its total and ridge's share, so all
+rates move together: w[d] <- max(0, z[d] - p[d] . (S g)), where z is the rate before the projection. A plain step has S = s I and creeps along
+rare domains; here S is the inverse of the domains' Gram matrix over documents with w > 0, which every pass sums beside the totals, and
+steps that don't lower the objective enough are halved. As z = 1 - p . dual with dual the sum of all steps, that is also Newton's method on the problem's
+dual of four variables, so a handful of passes ends at the optimum, however rare a domain is. The ridge is small against the rarest
+domain's share, or it would hold that domain's rates at 1. A pass needs only sums over all documents; it writes no state and a lost executor costs its own tasks
+only. The passes read a small table of (doc_id, tokens, chances), not the texts.
 
-    1/2 sum_d t max(0, 1 - p . dual)^2 / N  +  ridge/2 |dual|^2  +  target . dual
-
-which Newton steps with halving solve to convergence, however rare a domain is. The ridge is small against the rarest domain's share, or it would
-hold that domain's rates at 1. A step needs only sums over all documents; no pass writes state and a lost executor costs its own tasks
-only. The passes read a small table of (doc_id, words, chances), not the texts.
+Tokens are counted by the token counter of a byte-level vocabulary, word by word; without a tokenizer, words stand in.
 
 The classifier: quality by the additive model of style features; toxicity by an additive model of how many words of a lexicon a text
-has. The lexicon holds the words and beginnings of words most over-represented in toxic rows of one half of the sample, counted once per group of near copies (one MinHash
-register names the group); the model is fitted on the other half. Chances are corrected for wrong labels. The sample has at most max_rows labelled rows; everything else covers
-all documents.
+has. The lexicon holds the words and beginnings of words over-represented in toxic rows of one half of the sample, counted once per group of near copies (one MinHash
+register names the group); the model is fitted on the other half. Chances are corrected for wrong labels. The sample has at most max_rows labelled rows, which also
+bounds the lexicon; everything else covers all documents.
 
-Null text: as empty, of no words: it weighs nothing in the totals and has a rate from its chances. A null doc_id keeps its row; its
+Null text: as empty, of no tokens: it weighs nothing in the totals and has a rate from its chances. A null doc_id keeps its row; its
 copies are its rate rounded. Repeated rows count each. Without labels all chances are equal and rates follow from these.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Iterator
 
@@ -35,14 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
-from .quality_model import _LETTER, FEATURES, Additive, features, fit
+from .quality_model import _LETTER, FEATURES, Additive, bounded, features, fit
 from .near_dedup import distinct
 from .textkernel import Texts, Words, mix, powers, slices
+from .token_counts import WordCounter, counter
 
 DOMAINS = ("good", "good_toxic", "poor", "poor_toxic")
 #: Target totals as multiples of the expected totals of the corpus as it is.
 TARGETS = (1.0, 0.0, 0.25, 0.0)
-MAX_ROWS, LEXICON, LEAST_ROWS, LEAST_ODDS, STEPS, RIDGE, CLOSE = 20_000, 512, 8, 3.0, 60, 1e-4, 1e-6
+MAX_ROWS, LEAST_ROWS, LEAST_ODDS, STEPS, RIDGE, CLOSE = 20_000, 8, 3.0, 60, 1e-4, 1e-6
+#: Path, rank table and pattern of a tokenizer, as counter() takes them.
+Tokenizer = tuple[str, str | None, str | None]
 #: A domain whose total is off its target by more than this share of its natural total is reported.
 MISSED = 0.01
 #: A drawn document whose rate is at least 1 - NEAR stays at least once.
@@ -111,15 +115,16 @@ class Cleaned:
     """A fitted model whose chances are corrected for wrong labels.
 
     The least and greatest chances that it gives in the sample, at the 1st and 99th percentile, are taken for those of rows that surely
-    are of one class: what they lack to 0 and 1 is the share of wrong labels (anchor points), and chances are stretched by it.
+    are of one class: what they lack to 0 and 1 is the share of wrong labels (anchor points), and chances are stretched by it. The closer
+    the two are, the less the features say and the less chances are stretched: by a share that falls from 1, where they are half apart, to 0.
     """
 
     def __init__(self, model: Additive, x: np.ndarray):
         self.model = model
         seen = model.score(x)
         self.low, self.high = (float(v) for v in np.quantile(seen, [0.01, 0.99])) if len(seen) else (0.0, 1.0)
-        if self.high - self.low < 0.2:  # the features say too little
-            self.low, self.high = 0.0, 1.0
+        sure = min(1.0, 2 * (self.high - self.low))
+        self.low, self.high = sure * self.low, 1 - sure * (1 - self.high)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip((self.model.score(x) - self.low) / (self.high - self.low), 0.0, 1.0)
@@ -131,19 +136,18 @@ class Domains:
     def __init__(self, quality: Cleaned, toxic: Cleaned, lexicon: np.ndarray):
         self.quality, self.toxic, self.lexicon = quality, toxic, lexicon
 
-    def chances(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    def chances(self, texts: Texts) -> tuple[Words, np.ndarray]:
         """Words, and n x 4 chances."""
         x, words = features(texts)
         hits = lexicon_hits(word_parts(words), words.text_of(), texts.n, self.lexicon)
         q, t = self.quality.score(x), self.toxic.score(toxic_features(hits, words.counts))
-        return words.counts.astype(np.int64), np.stack([q * (1 - t), q * t, (1 - q) * (1 - t), (1 - q) * t], 1)
+        return words, np.stack([q * (1 - t), q * t, (1 - q) * (1 - t), (1 - q) * t], 1)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Domains:
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     good = good.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)")
-    every = max(1, math.ceil(good.count() / max_rows))
-    sample = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = bounded(good, max_rows, "doc_id", "quality", "toxic")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +163,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
                     ["doc_id", "quality", "toxic", "group", "n_words", "x", "words"],
                 )
 
-    known = store(text.join(F.broadcast(sample), "doc_id").mapInArrow(measure, "doc_id long, quality int, toxic int, group long, n_words long, x array<double>, words binary"), "mixing-sample")
+    measured = (text.join(F.broadcast(sample), "doc_id").mapInArrow(measure, "doc_id long, quality int, toxic int, group long, n_words long, x array<double>, words binary"))
+    # Documents may repeat an id, so the bound holds again for what was measured.
+    known = bounded(store(measured, "mixing-sample"), max_rows, "doc_id", "quality", "toxic", "words")
     half = F.pmod(F.xxhash64("group"), F.lit(2))
     once = known.where(half == 0).groupBy("group", "toxic").agg(F.first("words").alias("words"))
 
@@ -173,7 +179,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     n_toxic, n_clean = both["toxic"] or 0, (both["n"] or 0) - (both["toxic"] or 0)
     counts = once.select("toxic", "words").mapInArrow(spread, "h long, toxic long").where("h <> 0").groupBy("h").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (n_clean + 1.0))
-    chosen = counts.where(F.col("a") >= max(LEAST_ROWS, n_toxic // 100)).where(odds >= LEAST_ODDS).orderBy(odds.desc(), "h").limit(LEXICON).collect()
+    chosen = counts.where(F.col("a") >= max(LEAST_ROWS, n_toxic // 100)).where(odds >= LEAST_ODDS).select("h").collect()
     lexicon = np.sort(np.array([r["h"] for r in chosen], np.int64).view(np.uint64))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +198,18 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     return Domains(Cleaned(fit(x, quality), x), Cleaned(fit(found, toxic[other]), found), lexicon)
 
 
-def domain_chances(docs: DataFrame, model: Domains) -> DataFrame:
-    """(doc_id, n_words, p): one scan."""
+def domain_chances(docs: DataFrame, model: Domains, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(doc_id, n_tokens, p): one scan. Without a tokenizer n_tokens counts words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = WordCounter(counter(*tokenizer)) if tokenizer else None
         for batch in batches:
             for part, texts in slices(batch):
-                n, p = model.chances(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(DOMAINS)).cast(pa.list_(pa.float64()))], ["doc_id", "n_words", "p"])
+                words, p = model.chances(texts)
+                n = tokens.of(texts, words) if tokens else words.counts.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(DOMAINS)).cast(pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, p array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -220,7 +228,7 @@ class Rates:
 
 
 def fit_rates(chances: DataFrame, targets: tuple[float, ...] = TARGETS, steps: int = STEPS, ridge: float | None = None, close: float = CLOSE) -> Rates:
-    """Targets are multiples of the natural totals; ridge is by default RIDGE times the least domain's share of all words.
+    """Targets are multiples of the natural totals; ridge is by default RIDGE times the least domain's share of all tokens.
 
     Stops when what the optimum's condition lacks is within `close` of its own natural total in every domain; raises if that isn't
     so after `steps` passes. Warns if the optimum itself misses a target by more than MISSED of the natural total.
@@ -239,7 +247,7 @@ def fit_rates(chances: DataFrame, targets: tuple[float, ...] = TARGETS, steps: i
                 out = np.concatenate([(t * w) @ p, ((p * (t * (w > 0))[:, None]).T @ p).ravel(), [(t * w) @ w]])
                 yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
 
-        parts = chances.select("n_words", "p").mapInArrow(run, "s array<double>")
+        parts = chances.select("n_tokens", "p").mapInArrow(run, "s array<double>")
         # One array of sums a batch; added on executors first, in the order of their values, so that the result doesn't depend on timing.
         got = parts.groupBy().agg(*[F.sum(F.col("s")[i].cast("decimal(38,9)")).alias(f"s{i}") for i in range(k * k + k + 1)]).first()
         sums = np.array([float(v or 0) for v in got])
@@ -258,11 +266,11 @@ def fit_rates(chances: DataFrame, targets: tuple[float, ...] = TARGETS, steps: i
     while (np.abs(lack := ridge * dual - reached / whole + target) > enough).any():
         slope = gram / whole + ridge * np.eye(k)
         scale = 1 / np.sqrt(np.diag(slope))
-        move = -scale * np.linalg.solve(slope * np.outer(scale, scale), scale * lack)
+        move = -scale * np.linalg.solve(slope * np.outer(scale, scale), scale * lack)  # the gradient, scaled by the domains' Gram matrix
         now, length = value(dual, square), 1.0
         while True:
             if passes >= steps:
-                raise RuntimeError(f"mixing rates aren't settled after {steps} passes: {np.abs(lack).tolist()} of all words, at most {enough.tolist()} asked")
+                raise RuntimeError(f"mixing rates aren't settled after {steps} passes: {np.abs(lack).tolist()} of all tokens, at most {enough.tolist()} asked")
             reached, gram, square = totals(dual + length * move)
             passes += 1
             if value(dual + length * move, square) <= now + 1e-4 * length * (lack @ move) + 1e-13 * abs(now):
@@ -271,7 +279,7 @@ def fit_rates(chances: DataFrame, targets: tuple[float, ...] = TARGETS, steps: i
         dual = dual + length * move
     missed = np.abs(reached / whole - target) > MISSED * share
     if missed.any():
-        warnings.warn(f"mixing targets {(target * whole)[missed].tolist()} are out of reach: {reached[missed].tolist()} of {natural[missed].tolist()} words", stacklevel=2)
+        warnings.warn(f"mixing targets {(target * whole)[missed].tolist()} are out of reach: {reached[missed].tolist()} of {natural[missed].tolist()} tokens", stacklevel=2)
     return Rates(dual, passes, natural, target * whole, reached)
 
 
@@ -283,7 +291,7 @@ def drawn_copies(ids: pa.Array, w: np.ndarray) -> np.ndarray:
 
 
 def document_rates(chances: DataFrame, rates: Rates) -> DataFrame:
-    """Per document: doc_id, n_words, the four chances, its rate, and copies: the rate rounded up or down by a hash of doc_id."""
+    """Per document: doc_id, n_tokens, the four chances, its rate, and copies: the rate rounded up or down by a hash of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,31 +300,27 @@ def document_rates(chances: DataFrame, rates: Rates) -> DataFrame:
             p = _matrix(batch, "p")
             w = rates.of(p)
             ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), *(pa.array(p[:, j]) for j in range(4)), pa.array(w), pa.array(drawn_copies(ids, w))], ["doc_id", "n_words", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), *(pa.array(p[:, j]) for j in range(4)), pa.array(w), pa.array(drawn_copies(ids, w))], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
 
-    return chances.select("doc_id", "n_words", "p").mapInArrow(run, "doc_id long, n_words long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies int")
+    return chances.select("doc_id", "n_tokens", "p").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies int")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rows: int = MAX_ROWS) -> DataFrame:
-    chances = store(domain_chances(docs, fit_domains(docs, labels, max_rows)), "domain-chances")
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rows: int = MAX_ROWS, tokenizer: Tokenizer | None = None) -> DataFrame:
+    chances = store(domain_chances(docs, fit_domains(docs, labels, max_rows), tokenizer), "domain-chances")
     return document_rates(chances, fit_rates(chances, targets))
 
 
-def keep_mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rows: int = MAX_ROWS, drawn: bool = False) -> DataFrame:
-    """Rows of docs by their rates, all columns. drawn: each row as many times as document_rates has copies of it, so that the expected
-    totals of what is kept match the targets; rows of rates from 1 - NEAR on stay at least once, so that no clean document goes by
-    chance. Otherwise a threshold, which doesn't match them: the rows whose rate is at least one half, once each. The texts are
-    scanned again with the fitted model; nothing is joined."""
+def keep_mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rows: int = MAX_ROWS, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Rows of docs, all columns, each as many times as document_rates has copies of it, so that the expected totals of what is kept
+    match the targets; rows of rates from 1 - NEAR on stay at least once, so that no clean document goes by
+    chance. The texts are scanned again with the fitted model; nothing is joined."""
     model = fit_domains(docs, labels, max_rows)
-    rates = fit_rates(store(domain_chances(docs, model), "domain-chances"), targets)
+    rates = fit_rates(store(domain_chances(docs, model, tokenizer), "domain-chances"), targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
                 w = rates.of(model.chances(texts)[1])
-                if not drawn:
-                    yield part.filter(pa.array(w >= 0.5))
-                    continue
                 n = np.maximum(drawn_copies(part.column(at).cast(pa.int64()), w), w >= 1 - NEAR)
                 for k in range(int(n.max(initial=0))):
                     yield part.filter(pa.array(n > k))

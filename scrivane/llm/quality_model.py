@@ -5,11 +5,11 @@ Every whole text becomes a row of style features (counts and shares of words, li
 histogram of one feature and adds it, damped, to that feature's table. Pairs of features with the largest remaining gain
 then get two-dimensional tables in the same way. A score is the sum of a text's table entries through a sigmoid.
 
-The fit uses a sample of at most `max_rows` labelled rows, chosen by a hash of doc_id; the sample's keys are broadcast, which that
-bound allows, and its features, 16 numbers a row, are fitted on the driver. Scoring is one scan without a shuffle.
+The fit uses a sample of at most `max_rows` labelled rows, chosen by a hash; the sample's keys are broadcast, which that
+bound allows, and its features, 16 numbers a row and again at most `max_rows` rows, are fitted on the driver. Scoring is one scan without a shuffle.
 
 Null text: as empty, which has a score like any text. A null doc_id is scored and never held out. Labels without a document, or with a
-null label, aren't used. Of several labels of one doc_id each counts. Without labelled rows, or with one class only, scores are the share of label 1
+null label, aren't used. Of several labels or documents of one doc_id each counts, within that bound. Without labelled rows, or with one class only, scores are the share of label 1
 (0.5 without rows).
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
 from .textkernel import IS_WORD, Texts, in_text, range_hash, slices, window_hash
 
 MAX_ROWS, BINS, ROUNDS, RATE, PAIRS, PAIR_BINS, PAIR_ROUNDS = 20_000, 32, 60, 0.15, 6, 8, 30
@@ -215,12 +216,20 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE,
     return Additive(base, cuts, tables, [(f, g, coarse[f], coarse[g], t) for f, g, t in chosen])
 
 
+def bounded(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most `most` rows, those of the least hashes of the columns `by`: alike in every run. Only hashes are put in order, and only that many
+    reach the driver; rows stay where they are. Of equal rows at the bound none stays."""
+    key = F.xxhash64(F.lit(1), *by)
+    every = max(1, rows.count() // max(1, 4 * most))
+    thin = rows.where(F.pmod(F.xxhash64(*by), F.lit(every)) == 0)
+    least = [r["k"] for r in thin.select(key.alias("k")).orderBy("k").limit(most + 1).collect()]
+    return thin if len(least) <= most else thin.where(key < least[most])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most about max_rows labelled documents that aren't held out."""
+    """(doc_id, text, label) of labelled documents that aren't held out: at most max_rows labels, and all documents that have these ids."""
     kept = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    kept = kept.where(~held_out(F.col("doc_id")))
-    every = max(1, math.ceil(kept.count() / max_rows))
-    sample = kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = bounded(kept.where(~held_out(F.col("doc_id"))), max_rows, "doc_id", "label")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text.join(F.broadcast(sample), "doc_id")  # bounded by max_rows
 
@@ -229,7 +238,9 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def sample_features(sample: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most max_rows rows: documents may repeat an id, so this bounds what reaches the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
@@ -237,14 +248,15 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
     # In a fixed order, so that sums of floats are the same in any run.
-    rows = sorted((tuple(r["x"]), r["label"]) for r in sample.select("doc_id", "text", "label").mapInArrow(run, "label int, x array<double>").collect())
+    measured = sample.select("doc_id", "text", "label").mapInArrow(run, "label int, x array<double>")
+    rows = sorted((tuple(r["x"]), r["label"]) for r in bounded(store(measured, "quality-sample"), max_rows, "x", "label").collect())
     if not rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Additive:
-    return fit(*sample_features(labelled_sample(docs, labels, label, max_rows)))
+    return fit(*sample_features(labelled_sample(docs, labels, label, max_rows), max_rows))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.3) -> DataFrame:

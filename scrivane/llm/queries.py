@@ -24,10 +24,14 @@ TOKENIZER, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counting_tokenizer() -> tuple[str, str, str]:
     import public_tokenizers as public
 
-    return token_counts(table(spark, sf_dir, "documents"), public.path(TOKENIZER), public.path(RANKS), public.PATTERN)
+    return public.path(TOKENIZER), public.path(RANKS), public.PATTERN
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), *counting_tokenizer())
 
 
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer=counting_tokenizer())
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +73,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline
-
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

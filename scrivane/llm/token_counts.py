@@ -1,8 +1,9 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table (version, digest, n_tokens): version is the SHA-256 of the tokenizer file, digest the SHA-256
+The cache is a Parquet table (version, digest, n_tokens), a folder a version: version is the SHA-256 of the tokenizer file, digest the SHA-256
 of the normalised text. Each distinct text whose digest is not in the cache is encoded once and appended; every document
-then takes its count from the cache.
+then takes its count from the cache. It lies in the shared folder and outlives a run. Files are appended by Spark's commit, so a
+run that dies adds nothing; two runs at once may both add a digest, with one count.
 
 Normalisation must not change counts, so it is the tokenizer's own: a byte-level model has none, and a text is then
 normalised by being itself. Copies are folded on the map side before the texts are shuffled by digest, so a text that a
@@ -26,14 +27,17 @@ import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, store
+from .common import salted_join, shared_dir, store, table_exists
+from .textkernel import Texts, Words, range_hash
 
 #: Characters over which both libraries split alike: up to Latin Extended-B, general punctuation and currency signs.
 _PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞₠-₿]*")
+CACHE, _CACHED = "token-cache", "digest binary, n_tokens long"
 _counters: dict[tuple[str, str | None], Callable[[list[str]], list[int]]] = {}
 
 
@@ -91,43 +95,92 @@ def counter(path: str, ranks_path: str | None = None, pattern: str | None = None
     return count
 
 
-def count_texts(distinct: DataFrame, version: str, path: str, ranks_path: str | None, pattern: str | None) -> DataFrame:
+def _blank_inside(texts: Texts) -> np.ndarray:
+    """Which texts have white space beyond ASCII."""
+    d = texts.data
+    at = np.flatnonzero(np.isin(d, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)))
+    far = np.concatenate([d, np.zeros(2, np.uint8)])
+    a, b, c = d[at], far[at + 1], far[at + 2]
+    wide = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    wide |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    out = np.zeros(texts.n, bool)
+    out[np.searchsorted(texts.offsets, at[wide], "right") - 1] = True
+    return out
+
+
+class WordCounter:
+    """Counts of a byte-level model word by word: much faster where words repeat, and used where counts are weights.
+
+    Pre-tokens never go on from a word into the white space after it, so a text's count is the sum over its words, each with the
+    white space before it, and the white space at its end. Each distinct one is encoded once a slice, and kept by its hash (64 bits) for later
+    slices, up to `most`. Texts with other white space than ASCII's are counted as wholes.
+    """
+
+    def __init__(self, count: Callable[[list[str]], list[int]], most: int = 1 << 20):
+        self.count, self.most = count, most
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, texts: Texts, words: Words) -> np.ndarray:
+        d, o = texts.data, texts.offsets
+        whole = _blank_inside(texts)
+        # Words with the white space before them, and what is left at the end of each text.
+        ends = np.sort(np.concatenate([words.ends, o[1:]]), kind="stable")
+        starts = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]]) if len(ends) else ends
+        some = ends > starts
+        starts, ends = starts[some], ends[some]
+        text = np.searchsorted(o, starts, "right") - 1
+        h = range_hash(d, starts, ends, 2)
+        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        n = np.zeros(len(distinct), np.int64)
+        if known.any():
+            n[known] = self.n[at[known]]
+        new = np.flatnonzero(~known)
+        raw = d.tobytes()
+        n[new] = self.count([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        if len(self.keys) + len(new) > self.most:
+            self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        elif len(new):
+            keys = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.n = keys[order], np.concatenate([self.n, n[new]])[order]
+        out = np.zeros(texts.n, np.int64)
+        np.add.at(out, text, n[of])
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self.count([raw[o[k] : o[k + 1]].decode()])[0]
+        return out
+
+
+def count_texts(distinct: DataFrame, path: str, ranks_path: str | None, pattern: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n = count(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), part.column(0), pa.array(n, pa.int64())], ["version", "digest", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    return distinct.mapInArrow(run, "version string, digest binary, n_tokens long")
+    return distinct.mapInArrow(run, _CACHED)
 
 
 def token_counts(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, limit: int = 512, cache: str | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens and whether these exceed `limit`.
 
-    cache: path of an existing cache table to read from and append to; without it the cache lives for this call.
+    cache: path of the cache table to read from and append to, by default CACHE in the shared folder.
     """
     spark = docs.sparkSession
-    version = tokenizer_version(path)
+    folder = f"{cache or shared_dir(spark) + '/' + CACHE}/version={tokenizer_version(path)}"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     # first() keeps one text a digest and is merged on the map side.
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    if cache:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(cache)
-        known = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        if known:
-            old = spark.read.parquet(cache).where(F.col("version") == version)
-            distinct = distinct.join(old.select("digest"), "digest", "left_anti")
-        count_texts(distinct.select("digest", "text"), version, path, ranks_path, pattern).write.mode("append").parquet(cache)
-        counted = spark.read.parquet(cache).where(F.col("version") == version)
-    else:
-        counted = store(count_texts(distinct.select("digest", "text"), version, path, ranks_path, pattern), "token-cache")
-    # Copies that raced into the cache from two runs have equal counts.
-    counted = counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    if table_exists(spark, folder):
+        distinct = distinct.join(spark.read.schema(_CACHED).parquet(folder).select("digest"), "digest", "left_anti")
+    count_texts(distinct.select("digest", "text"), path, ranks_path, pattern).write.mode("append").parquet(folder)
+    # Of the cache only this run's digests are kept; copies that raced into it from two runs have equal counts.
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    copies = rows.groupBy("digest").agg(F.count("*").alias("n"))
+    copies = store(rows.groupBy("digest").agg(F.count("*").alias("n")), "digests")
+    counted = spark.read.schema(_CACHED).parquet(folder).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     joined = salted_join(rows, counted, "digest", copies, docs.count(), "doc_id")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,6 +3,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,17 @@ def test_token_counts(spark, tmp_path):
     for _ in range(2):  # the second call finds all counts in the cache
         same(token_counts.token_counts(df, path, cache=cache).collect(), want)
         assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
+    more = [*rows, (32, "a text that is new")]
+    folder = cache + "/version=" + token_counts.tokenizer_version(path)
+    spark.createDataFrame([(bytearray(hashlib.sha256(b"one").digest()), 77)], token_counts._CACHED).write.parquet(str(tmp_path / "known") + "/version=" + token_counts.tokenizer_version(path))
+    files = len(list(Path(folder).glob("*.parquet")))
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(odd.frame(spark, more), path, cache=cache).collect()}
+    assert got[32] == 5 and spark.read.parquet(cache).count() == len({t or "" for _, t in more}) and len(list(Path(folder).glob("*.parquet"))) > files
+    # A stored count is taken as it is, so the join is what gives it; another tokenizer's isn't.
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, path, cache=str(tmp_path / "known")).collect()}
+    assert got[11] == 77 and got[12] == 2
+    other = public.path("word_bpe_49k.json")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, other, cache=str(tmp_path / "known")).collect()}[11] == 1
     assert token_counts.token_counts(odd.frame(spark, []), path).count() == 0
 
 
@@ -347,8 +359,10 @@ def test_near_dedup(spark):
     same([(r.doc_id, r.text) for r in kept.collect()], [(i, t) for (i, t), b in zip(rows, brute_near(rows), strict=True) if b[3]])
 
 
-def test_near_dedup_chains_and_false_friends(spark):
-    """Chains of small edits, members just under the threshold, and a group whose members aren't all alike."""
+@pytest.mark.parametrize("chunk", [50_000, 6])
+def test_near_dedup_chains_and_false_friends(spark, chunk):
+    """Chains of small edits, members just under the threshold, and a group whose members aren't all alike; with chunk 6 components,
+    buckets and leaders are salted."""
     rows, n = [], 100
     for g in range(3):
         w = odd.words(100 + g, 150).split()
@@ -360,11 +374,21 @@ def test_near_dedup_chains_and_false_friends(spark):
                 w[(k * 37 + len(w[0])) % 150] = f"e{k}{g}"
                 w[(k * 53) % 150] = f"f{k}{g}"
     rows = rows[::-1]
-    same(near_dedup.near_dedup(odd.frame(spark, rows)).collect(), brute_near(rows))
+    same(near_dedup.near_dedup(odd.frame(spark, rows), chunk=chunk).collect(), brute_near(rows))
     assert near_dedup.near_dedup(odd.frame(spark, [])).count() == 0
     assert near_dedup.near_dedup(odd.frame(spark, [(1, None), (2, "")])).where("kept").count() == 2
 
 
+def test_contraction_of_a_hot_component(spark):
+    """A star, a path and a ring, with and without salts."""
+    links = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 315)] + [(k, 400 + (k - 399) % 12) for k in range(400, 412)] + [(5, 5), (0, 1)]
+    want = {k: 0 for k in range(200)} | {k: 300 for k in range(300, 316)} | {k: 400 for k in range(400, 412)}
+    for chunk in (50_000, 20):
+        got = near_dedup.contract(spark.createDataFrame(links, "a long, b long"), chunk)
+        assert {r.node: r.comp for r in got.collect()} == want
+    assert near_dedup.contract(spark.createDataFrame([(1, 1)], "a long, b long")) is None
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     common = rng.integers(0, 1 << 63, 850, dtype=np.uint64)
