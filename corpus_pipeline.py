@@ -14,6 +14,7 @@ from scrivane.llm.mixing import keep_mixed
 from scrivane.llm.near_dedup import keep_one
 from scrivane.llm.piece_lattice import sampled_pieces
 from scrivane.llm.quality_rules import keep_good
+from scrivane.llm.queries import counting_tokenizer
 from scrivane.llm.substring_dedup import drop_repeats
 
 PIECES = "piece_bpe_32k.model"
@@ -37,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by their fitted rates: good ones keep their weight, a quarter of the poor stays, toxic ones go. Few have two copies."""
-    return keep_mixed(docs, table(spark, sf_dir, "labels"), drawn=True)
+    return keep_mixed(docs, table(spark, sf_dir, "labels"), tokenizer=counting_tokenizer())
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
