@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from .pii import _cut, _rise
 
@@ -56,9 +57,8 @@ def _word_key(token: str) -> str:
     return low if len(low.encode()) <= 20 else "__LONG__"
 
 
-def token_features(tokens: list[str], i: int) -> list[str]:
-    """The names of the indicator features of token i; training and decoding share them."""
-    t = tokens[i]
+def own_features(t: str) -> list[str]:
+    """The names of the features that a token has wherever it stands."""
     low, size, tail = t.lower(), len(t.encode()), _core(t).lower()
     state = len(t) == 2 and t in STATES
     alpha, first = t.isalpha(), t[:1]
@@ -75,8 +75,18 @@ def token_features(tokens: list[str], i: int) -> list[str]:
     for n in (2, 3):
         if size >= n:
             out += [f"w_prefix{n}:{low[:n]}", f"w_suffix{n}:{low[-n:]}"]
+    return out
+
+
+#: Places whose tokens' words and shapes are features.
+AROUND = (-2, -1, 1, 2)
+
+
+def token_features(tokens: list[str], i: int) -> list[str]:
+    """The names of the indicator features of token i; training and decoding share them."""
+    out = own_features(tokens[i])
     out.append(f"pos_bias:{1 if not i else 2 * (i + 1 == len(tokens))}")
-    for k in (-2, -1, 1, 2):
+    for k in AROUND:
         j = i + k
         inside = 0 <= j < len(tokens)
         out.append(f"w{k:+}:" + (_word_key(tokens[j]) if inside else "__BOS__" if j < 0 else "__EOS__"))
@@ -112,28 +122,73 @@ class Model:
         names = sorted(self.weights)
         return json.dumps({"labels": self.labels, "featureIndex": {n: i for i, n in enumerate(names)}, "labelWeights": {x: [float(self.weights[n][j]) for n in names] for j, x in enumerate(self.labels)}, "transitions": self.transitions.tolist()})
 
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), len(self.labels)), np.float32)
-        for i in range(len(tokens)):
-            for name in token_features(tokens, i):
-                if name in self.weights:
-                    out[i] += self.weights[name]
+    def _sum(self, names: list[str]) -> np.ndarray:
+        out = np.zeros(len(self.labels), np.float32)
+        for name in names:
+            if name in self.weights:
+                out += self.weights[name]
         return out
 
+    def emit(self, tokens: pa.Array, bounds: np.ndarray) -> np.ndarray:
+        """Summed weights of all tokens of some texts, whose tokens begin and end at bounds.
+
+        Features depend on one token each, so they are made once a distinct token; then they are added up in the order of token_features.
+        """
+        coded = tokens.dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        row = {name: k for k, name in enumerate(self.weights)}
+        known = np.zeros((len(row) + 1, len(self.labels)), np.float32)  # the last row is for features without weights
+        if row:
+            known[:-1] = list(self.weights.values())
+        table = lambda names: known[np.fromiter((row.get(n, -1) for n in names), np.int64, len(names))]
+        own = np.array([self._sum(own_features(w)) for w in words], np.float32).reshape(len(words), len(self.labels))
+        keys, shapes = [_word_key(w) for w in words], [shape(w)[:8] for w in words]
+        size = np.diff(bounds)
+        first, last = np.repeat(bounds[:-1], size), np.repeat(bounds[1:], size)
+        at = np.arange(len(code))
+        out = own[code]
+        out += table(["pos_bias:0", "pos_bias:1", "pos_bias:2"])[np.where(at == first, 1, np.where(at + 1 == last, 2, 0))]
+        for k in AROUND:
+            inside = (at + k >= first) & (at + k < last)
+            near = code[at[inside] + k]
+            out[inside] += table([f"w{k:+}:{x}" for x in keys])[near]
+            out[inside] += table([f"w{k:+}_shape:{x}" for x in shapes])[near]
+            out[~inside] += self._sum([f"w{k:+}:" + ("__BOS__" if k < 0 else "__EOS__")])
+        return out
+
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        return self.emit(pa.array(tokens, pa.string()), np.array([0, len(tokens)]))
+
+
+def viterbi_all(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The best label path of each of some sequences, end to end; the lower label wins ties. All take a step together, the longest
+    first in the arrays, so that those which go on are at the front."""
+    size = np.diff(bounds)
+    order = np.argsort(-size, kind="stable")
+    size, begin = size[order], bounds[:-1][order]
+    path = np.zeros(len(emissions), np.int64)
+    live = int((size > 0).sum())
+    if not live:
+        return path
+    back = np.zeros(emissions.shape, np.int16)
+    score, final = emissions[begin[:live]], np.empty((live, emissions.shape[1]), emissions.dtype)
+    going = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))]
+    for t in range(1, int(size[0])):
+        n = going[t]
+        final[n:live] = score[n:]
+        at = begin[:n] + t
+        ways = score[:n, :, None] + transitions[None] + emissions[at][:, None, :]
+        back[at], score, live = ways.argmax(1), ways.max(1), n
+    final[:live] = score
+    path[(begin + size - 1)[: len(final)]] = final.argmax(1)
+    for t in range(int(size[0]) - 1, 0, -1):
+        at = begin[: going[t]] + t
+        path[at - 1] = back[at, path[at]]
+    return path
+
 
 def viterbi(emissions: np.ndarray, transitions: np.ndarray) -> list[int]:
-    """The best label path; the lower label wins ties."""
-    if not len(emissions):
-        return []
-    score, back = emissions[0], []
-    for e in emissions[1:]:
-        ways = score[:, None] + transitions + e[None, :]
-        back.append(ways.argmax(0))
-        score = ways.max(0)
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
+    return viterbi_all(emissions, np.array([0, len(emissions)]), transitions).tolist()
 
 
 def has_address_signal(text: str) -> bool:
@@ -221,13 +276,23 @@ def spans(labels: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
+def decode_all(model: Model, texts: list[str | None]) -> list[list[tuple[str, str, int, int]]]:
+    """Hits of some texts, tagged together; nulls have none."""
+    tokens = [tokenize(t or "") for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens], dtype=np.int64)])
+    path = viterbi_all(model.emit(pa.array([w for t in tokens for w, _, _ in t], pa.string()), bounds), bounds, model.transitions).tolist()
+    return [_hits(t or "", toks, [model.labels[k] for k in path[a:b]]) for t, toks, a, b in zip(texts, tokens, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def decode(model: Model, text: str) -> list[tuple[str, str, int, int]]:
-    """Hits of a text: label runs that pass the checks, with names split from the addresses that follow them."""
-    tokens = tokenize(text)
+    return decode_all(model, [text])[0]
+
+
+def _hits(text: str, tokens: list[tuple[str, int, int]], labels: list[str]) -> list[tuple[str, str, int, int]]:
+    """Label runs that pass the checks, with names split from the addresses that follow them."""
     raw = text.encode()
-    path = viterbi(model.emissions([t[0] for t in tokens]), model.transitions)
     hits = []
-    for kind, i, j in spans([model.labels[k] for k in path]):
+    for kind, i, j in spans(labels):
         a, b = tokens[i][1], tokens[j][2]
         if kind in KINDS and _valid(kind, span := raw[a:b].decode()):
             hits.append((kind, span, a, b))
@@ -256,8 +321,4 @@ def decode(model: Model, text: str) -> list[tuple[str, str, int, int]]:
     return hits + names
 
 
-def tagger(model: Model):
-    return lambda text: decode(model, text)
-
-
-__all__ = ["Model", "decode", "leading_name", "name_prefix", "shape", "tagger", "token_features", "tokenize", "viterbi", "_cut"]
+__all__ = ["Model", "decode", "decode_all", "leading_name", "name_prefix", "shape", "token_features", "tokenize", "viterbi", "viterbi_all", "_cut"]

@@ -8,7 +8,7 @@ valid.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 Hit = tuple[str, str, int, int]
 
@@ -28,7 +28,7 @@ _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456
 _NAME_MARKS = (b"name:", b"buyer:", b"customer:", b"contact:", b"ship to:")
 _BILL_MARKS = (b"bill to:", b"bill to ", b"bill_to", b"buyer ")
 _MONEY_MARKS = (*b"gstin gst account acct bank".split(), *b"routing swift iban bsb".split(), b"sort code", *(b"account " + x for x in (b"no", b"number")))
-_ANY = re.compile(rb"@|\d{3}|\+|address:|name:|buyer|customer:|contact:|ship to:|bill.to", re.I)
+_ZEROS = bytes(48 if 48 <= c <= 57 else 46 for c in range(256))
 
 
 def _cut(raw: bytes, end: int) -> int:
@@ -227,19 +227,24 @@ def fold(hits: list[Hit]) -> list[Hit]:
     return out
 
 
+def _may_hit(raw: bytes) -> bool:
+    """Whether a text has anything a scanner looks for: plain searches, which are much faster than one regular expression."""
+    if b"@" in raw or b"+" in raw or b"000" in raw.translate(_ZEROS):
+        return True
+    low = raw.lower()
+    return any(mark in low for mark in (b"address:", *_NAME_MARKS, *_BILL_MARKS))
+
+
 def raw_hits(text: str | bytes | None) -> list[Hit]:
     """All scanners in their order, before the fold."""
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    if not _ANY.search(raw):
+    if not _may_hit(raw):
         return []
     hits = [*emails(raw), *phones(raw), *ssns(raw), *cards(raw), *zips(raw), *marked(raw)]
     hits.extend(accounts(raw, hits))
     return hits
 
 
-def scan(text: str | None, tagger: Callable[[str], list[Hit]] | None = None) -> list[Hit]:
-    """Hits of a text. tagger: a sequence labeller whose addresses, names and accounts join in."""
-    hits = raw_hits(text)
-    if tagger and text:
-        hits += [h for h in tagger(text) if h[0] in (ADDRESS, NAME, ACCOUNT)]
-    return fold(hits)
+def scan(text: str | None, tagged: list[Hit] | tuple = ()) -> list[Hit]:
+    """Hits of a text. tagged: those of a sequence labeller, whose addresses, names and accounts join in."""
+    return fold(raw_hits(text) + [h for h in tagged if h[0] in (ADDRESS, NAME, ACCOUNT)])

@@ -109,8 +109,8 @@ def redacted_png(df: DataFrame) -> DataFrame:
     return df.select("id", "width", "height", "rgb", "boxes").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, png binary")
 
 
-def pattern_images(spark: SparkSession, n: int, size: int, step: int = 12) -> DataFrame:
-    """Deterministic images with numbers as ids: r = (step x + id) & 255, g = step y & 255, b = step (x + y) / 2 & 255."""
+def pattern_images(ids: DataFrame, size: int, step: int = 12) -> DataFrame:
+    """A deterministic image for each number in the column id: r = (step x + id) & 255, g = step y & 255, b = step (x + y) / 2 & 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, x = np.mgrid[:size, :size]
@@ -119,4 +119,4 @@ def pattern_images(spark: SparkSession, n: int, size: int, step: int = 12) -> Da
             raw = [np.stack([(step * x + k) & 255, (step * y) & 255, (step // 2 * (x + y)) & 255], 2).astype(np.uint8).tobytes() for k in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size] * len(ids), pa.int32()), pa.array([size] * len(ids), pa.int32()), pa.array(raw, pa.binary())], ["id", "width", "height", "rgb"])
 
-    return spark.range(n).mapInArrow(run, "id long, width int, height int, rgb binary")
+    return ids.select(F.col("id").cast("long").alias("id")).mapInArrow(run, "id long, width int, height int, rgb binary")

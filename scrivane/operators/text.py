@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crf, pii
+from ..functions import crf, pii, runs
 
 HIT = "struct<kind: string, text: string, start: int, end: int>"
 _STRUCT = pa.struct([("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _scanner(model: crf.Model | None):
-    tag = crf.tagger(model) if model else None
-    return lambda text: pii.scan(text, tag)
+    """Hits of some texts at once."""
+    if model is None:
+        return lambda texts: map(pii.scan, texts)
+    return lambda texts: map(pii.scan, texts, crf.decode_all(model, texts))
 
 
 def pii_hits(df: DataFrame, key: str, text: str = "text", model: crf.Model | None = None, folded: bool = True) -> DataFrame:
@@ -25,13 +28,13 @@ def pii_hits(df: DataFrame, key: str, text: str = "text", model: crf.Model | Non
 
     Only the two columns reach Python, in Arrow batches; nothing is shuffled. Null texts have no hits.
     """
-    find = _scanner(model) if folded else pii.raw_hits
+    find = _scanner(model) if folded else lambda texts: map(pii.raw_hits, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, seq, hits = [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                for n, h in enumerate(find(t)):
+            for k, found in enumerate(find(batch.column(1).to_pylist())):
+                for n, h in enumerate(found):
                     at.append(k)
                     seq.append(n)
                     hits.append(h)
@@ -51,7 +54,7 @@ def with_hits(df: DataFrame, text: str = "text", column: str = "pii", model: crf
 
     @F.pandas_udf(f"array<{HIT}>")
     def scan(texts):
-        return pd.Series([[dict(zip(("kind", "text", "start", "end"), h, strict=True)) for h in find(t)] for t in texts])
+        return pd.Series([[dict(zip(("kind", "text", "start", "end"), h, strict=True)) for h in found] for found in find(list(texts))])
 
     return df.withColumn(column, scan(F.col(text)))
 
@@ -62,33 +65,34 @@ def register_functions(spark: SparkSession, model: crf.Model | None = None) -> N
 
     @F.pandas_udf(f"array<{HIT}>")
     def scan_pii(texts):
-        return pd.Series([[dict(zip(("kind", "text", "start", "end"), h, strict=True)) for h in find(t)] for t in texts])
+        return pd.Series([[dict(zip(("kind", "text", "start", "end"), h, strict=True)) for h in found] for found in find(list(texts))])
 
     spark.udf.register("scan_pii", scan_pii)
 
 
+def _runs(df: DataFrame, key: str, text: str, member: np.ndarray, number: str, said: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs.slices(batch, 1):
+                r = runs.Runs(part.column(1), member)
+                columns = [part.column(0).take(pa.array(r.row)), pa.array(r.place(), pa.int32()), r.said.cast(pa.string()), pa.array(r.start, pa.int32()), pa.array(r.end, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [key, number, said, "start", "end"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, {number} int, {said} string, start int, end int")
+
+
 def digit_runs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, n, run, start, end): maximal digit runs with byte offsets, by built-in expressions alone.
+    """(key, n, run, start, end): maximal digit runs with byte offsets, numbered within their row.
 
-    The text is cut into (gap, run) pairs by one regular expression, anchored at the last match so that it reads the text once; offsets
-    are running sums of byte lengths.
+    Whole batches are searched at once over their bytes; nothing is shuffled, and rows that share a key are numbered apart.
     """
-    pieces = F.expr(f"regexp_extract_all(`{text}`, '\\\\G([^0-9]*+)([0-9]++)', 1)")
-    runs = F.expr(f"regexp_extract_all(`{text}`, '\\\\G([^0-9]*+)([0-9]++)', 2)")
-    pairs = F.arrays_zip(pieces.alias("gap"), runs.alias("run"))
-    df = df.select(key, F.posexplode(pairs).alias("n", "p")).select(key, "n", F.col("p.gap").alias("gap"), F.col("p.run").alias("run"))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("gap") + F.octet_length("run")).over(w)
-    return df.select(key, "n", "run", (end - F.octet_length("run")).cast("int").alias("start"), end.cast("int").alias("end"))
+    return _runs(df, key, text, runs.DIGIT, "n", "run")
 
 
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, i, word, start, end): tokens between ASCII white space, with byte offsets."""
-    gap, word = (F.expr(rf"regexp_extract_all(`{text}`, '([ \\t\\n\\f\\r]*)([^ \\t\\n\\f\\r]+)', {k})") for k in (1, 2))
-    df = df.select(key, F.posexplode(F.arrays_zip(gap.alias("gap"), word.alias("word"))).alias("i", "p")).select(key, "i", F.col("p.gap").alias("gap"), F.col("p.word").alias("word"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("gap") + F.octet_length("word")).over(w)
-    return df.select(key, "i", "word", (end - F.octet_length("word")).cast("int").alias("start"), end.cast("int").alias("end"))
+    """(key, i, word, start, end): tokens between ASCII white space, with byte offsets, numbered within their row as in digit_runs."""
+    return _runs(df, key, text, runs.NOT_BLANK, "i", "word")
 
 
 def shape(word: Column) -> Column:
@@ -99,13 +103,17 @@ def shape(word: Column) -> Column:
     return s
 
 
-def neighbours(toks: DataFrame, key: str) -> DataFrame:
-    """Tokens with the lower-cased words one and two places away; ends are marked."""
-    w = Window.partitionBy(key).orderBy("i")
-    low = F.when(F.octet_length("word") <= 20, F.lower("word")).otherwise("__LONG__")
-    out = toks.withColumn("low", low)
-    for k in (2, 1):
-        out = out.withColumn(f"before{k}", F.coalesce(F.lag("low", k).over(w), F.lit("__BOS__"))).withColumn(f"after{k}", F.coalesce(F.lead("low", k).over(w), F.lit("__EOS__")))
+def neighbours(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, i, word, low, before1, before2, after1, after2, shape): tokens with the lower-cased words one and two places away; ends are marked.
+
+    All of a row's words are in one array, so that nothing is shuffled or put in order.
+    """
+    words = df.select(key, F.expr(rf"regexp_extract_all(`{text}`, '[^ \\t\\n\\f\\r]+', 0)").alias("_words"))
+    low = F.transform("_words", lambda w: F.when(F.octet_length(w) <= 20, F.lower(w)).otherwise("__LONG__"))
+    words = words.select(key, "_words", low.alias("_low"))
+    near = lambda i, k: F.coalesce(F.get("_low", i + k), F.lit("__BOS__" if k < 0 else "__EOS__")).alias(f"{'before' if k < 0 else 'after'}{abs(k)}")
+    rows = F.transform("_words", lambda w, i: F.struct(w.alias("word"), F.get("_low", i).alias("low"), *[near(i, k) for k in (-1, -2, 1, 2)]))
+    out = words.select(key, F.posexplode(rows).alias("i", "t")).select(key, "i", "t.*")
     return out.withColumn("shape", shape(F.col("word")))
 
 
@@ -134,19 +142,15 @@ def feature_names(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def tag_tokens(df: DataFrame, key: str, model: crf.Model, text: str = "text") -> DataFrame:
-    """(key, i, word, label): the best label path of each text, a row a token."""
+    """(key, i, word, label): the best label path of each text, a row a token. Texts of a batch are decoded together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(model.labels, pa.string())
         for batch in batches:
-            at, place, words, labels = [], [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                toks = [w for w, _, _ in crf.tokenize(t or "")]
-                path = crf.viterbi(model.emissions(toks), model.transitions)
-                at += [k] * len(toks)
-                place += range(len(toks))
-                words += toks
-                labels += [model.labels[x] for x in path]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(words, pa.string()), pa.array(labels, pa.string())], [key, "i", "word", "label"])
+            for part in runs.slices(batch, 1):
+                r = runs.Runs(part.column(1), runs.NOT_BLANK)
+                path = crf.viterbi_all(model.emit(r.said, r.bounds), r.bounds, model.transitions)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r.row)), pa.array(r.place(), pa.int32()), r.said.cast(pa.string()), names.take(pa.array(path))], [key, "i", "word", "label"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, i int, word string, label string")

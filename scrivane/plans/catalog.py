@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crf
 from ..operators import documents, evaluate, gbdt, images, prepare, regions, text
+from . import image_oracles
 from .oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +70,7 @@ def pii_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pii_pan_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card numbers by built-in expressions only."""
+    """Card numbers by expressions over digit runs."""
     runs = text.digit_runs(table(spark, sf_dir, "documents"), "doc_id")
     return runs.where(F.length("run").between(13, 19)).where(F.expr("luhn_check(run)")).where(F.col("run").rlike("^(4|5[1-5]|3[4-8]|6011|644|65|30[0-5])")).select("doc_id", F.col("run").alias("text"), "start", "end")
 
@@ -160,13 +161,13 @@ def token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.neighbours(text.tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id").select("doc_id", "i", "low", "before1", "before2", "after1", "after2")
+    return text.neighbours(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "i", "low", "before1", "before2", "after1", "after2")
 
 
 @query
 def crf_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse features joined with a broadcast table of weights and summed by label."""
-    t = text.neighbours(text.tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    t = text.neighbours(table(spark, sf_dir, "documents"), "doc_id")
     names = F.array(*[F.concat(F.lit(p), F.col(c)) for p, c in (("w:", "low"), ("w_shape:", "shape"), ("w+1:", "after1"), ("w-1:", "before1"))])
     feats = t.select(F.col("doc_id").alias("key"), "i", F.explode(names).alias("feature"))
     weights = F.broadcast(spark.createDataFrame(WEIGHTS, "feature string, label string, w double"))
@@ -183,92 +184,104 @@ def crf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.pii_hits(_customers(spark, sf_dir), "c_custkey", model=TAGGER)
 
 
-# Images: kernels over generated images against SQL over the same pixels
+# Images: kernels over generated images, one a supplier, against SQL over the same pixels
 
-_PICTURES, _EDGE = 6, 32
 
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.pattern_images(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), image_oracles.EDGE)
 
-def _image_features(spark: SparkSession, groups: tuple[str, ...], **columns: int) -> DataFrame:
-    df = images.features(images.pattern_images(spark, _PICTURES, _EDGE), groups)
+
+def _image_features(spark: SparkSession, sf_dir: str, groups: tuple[str, ...], **columns: int) -> DataFrame:
+    df = images.features(_pictures(spark, sf_dir), groups)
     return df.select("id", *[F.round(f"f{k}", 6).alias(c) for c, k in columns.items()])
 
 
 @query
 def img_channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("color",), r_mean=0, r_std=1, g_mean=4, g_std=5, b_mean=8, b_std=9)
+    return _image_features(spark, sf_dir, ("color",), r_mean=0, r_std=1, g_mean=4, g_std=5, b_mean=8, b_std=9)
 
 
 @query
 def img_gray_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("color",), mean=12, median=13, std=14, entropy=15)
+    return _image_features(spark, sf_dir, ("color",), mean=12, median=13, std=14, entropy=15)
 
 
 @query
 def img_gray_stats_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = images.gray_summary(images.pixels(images.pattern_images(spark, _PICTURES, _EDGE)))
+    g = images.gray_summary(images.pixels(_pictures(spark, sf_dir)))
     return g.select("id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "median", "std", "entropy")])
 
 
 @query
 def img_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("color",), colorfulness=16, saturation_mean=17, saturation_var=18)
+    return _image_features(spark, sf_dir, ("color",), colorfulness=16, saturation_mean=17, saturation_var=18)
 
 
 @query
 def img_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("edges",), laplacian_variance=19)
+    return _image_features(spark, sf_dir, ("edges",), laplacian_variance=19)
 
 
 @query
 def img_laplacian_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = images.laplacian_variance(images.pixels(images.pattern_images(spark, _PICTURES, _EDGE)))
+    g = images.laplacian_variance(images.pixels(_pictures(spark, sf_dir)))
     return g.select("id", F.round("laplacian_variance", 6).alias("laplacian_variance"))
 
 
 @query
 def img_sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("edges",), sobel_mean=20, sobel_std=21, sobel_p90=22)
-
-
-@query
-def img_lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("texture",), **{f"bin{k}": 35 + k for k in range(10)})
+    return _image_features(spark, sf_dir, ("edges",), sobel_mean=20, sobel_std=21, sobel_p90=22)
 
 
 @query
 def img_fractal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("texture",), fractal=49)
+    return _image_features(spark, sf_dir, ("texture",), fractal=49)
 
 
 @query
 def img_blockiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("noise",), rows_blockiness=51, columns_blockiness=52)
+    return _image_features(spark, sf_dir, ("noise",), rows_blockiness=51, columns_blockiness=52)
 
 
 @query
 def img_cell_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("crumple",), cell_std=69)
+    return _image_features(spark, sf_dir, ("crumple",), cell_std=69)
 
 
 @query
 def img_tile_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("crumple",), peak=71)
+    return _image_features(spark, sf_dir, ("crumple",), peak=71)
 
 
 @query
 def img_anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _image_features(spark, ("crumple",), anisotropy=70)
+    return _image_features(spark, sf_dir, ("crumple",), anisotropy=70)
 
 
 @query
 def img_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = images.run_lengths(images.pixels(images.pattern_images(spark, _PICTURES, _EDGE)), "gray <= 100")
+    runs = images.run_lengths(images.pixels(_pictures(spark, sf_dir)), "gray <= 100")
     return runs.groupBy("id").agg(F.count("*").alias("runs"), F.round(F.avg("length"), 6).alias("mean"), F.round(F.stddev_pop("length"), 6).alias("std"))
 
 
+def _image_query(name: str) -> None:
+    group, columns = image_oracles.COLUMNS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _image_features(spark, sf_dir, (group,), **columns)
+
+    run.__name__ = name
+    query(run)
+
+
+for _name in image_oracles.COLUMNS:
+    _image_query(_name)
+
+
 @query
 def img_features81(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.feature_vector(images.features(images.pattern_images(spark, _PICTURES, 64)))
+    df = images.feature_vector(images.features(_pictures(spark, sf_dir)))
+    return df.select("id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import image_oracles
+
 # Matches with byte offsets: the text is cut into (gap, match) pairs, whose lengths are summed.
 
 
@@ -25,17 +27,8 @@ t AS (SELECT c_custkey, printf('SSN: %03d-%02d-%04d or %03d%02d%04d; call %03d-%
   (k * 29) % 1000, (k * 31) % 1000, k % 10000, k % 100000, k % 100000, c_name, k % 7, k, k * 7919) AS text, k
   FROM (SELECT *, c_custkey AS k FROM customer))"""
 
-_PIXELS = """
-px AS (SELECT id, y, x, (12 * x + id) & 255 AS r, (12 * y) & 255 AS g, (6 * (x + y)) & 255 AS b,
-  0.299::DOUBLE * ((12 * x + id) & 255) + 0.587::DOUBLE * ((12 * y) & 255) + 0.114::DOUBLE * ((6 * (x + y)) & 255) AS v
-  FROM range(6) i(id), range(32) q(y), range(32) p(x))"""
-_NEAR = """
-nb AS (SELECT c.id, c.y, c.x, c.v, dy, dx, n.v AS w FROM px c, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx), px n
-  WHERE n.id = c.id AND n.y = least(greatest(c.y + dy, 0), 31) AND n.x = least(greatest(c.x + dx, 0), 31))"""
-_SLOPE = """
-slope AS (SELECT c.id, c.y, c.x, sqrt(power(r.v - l.v, 2) + power(d.v - u.v, 2)) AS s FROM px c
-  JOIN px l ON l.id = c.id AND l.y = c.y AND l.x = c.x - 1 JOIN px r ON r.id = c.id AND r.y = c.y AND r.x = c.x + 1
-  JOIN px u ON u.id = c.id AND u.x = c.x AND u.y = c.y - 1 JOIN px d ON d.id = c.id AND d.x = c.x AND d.y = c.y + 1)"""
+_PIXELS = image_oracles.PIXELS
+_SLOPE = image_oracles.INNER + ", slope AS (SELECT id, y, x, m AS s FROM inn)"
 _GRAY = f"""
 WITH {_PIXELS}, hist AS (SELECT id, floor(v)::INT AS bin, count(*) AS n FROM px GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY id) AS total FROM hist),
@@ -43,7 +36,7 @@ s AS (SELECT id, min(bin) FILTER (upto >= total // 2) AS median, -sum(n / total
 SELECT id, round(avg(v), 6) AS mean, round(any_value(median)::DOUBLE, 6) AS median, round(stddev_pop(v), 6) AS std, round(any_value(entropy), 6) AS entropy
 FROM px JOIN s USING (id) GROUP BY id"""
 _LAPLACE = f"""
-WITH {_PIXELS}, {_NEAR}, l AS (SELECT id, y, x, 4 * any_value(v) - sum(w) AS v FROM nb WHERE abs(dy) + abs(dx) = 1 GROUP BY ALL)
+WITH {_PIXELS}, {image_oracles.NINE}, l AS (SELECT id, 4 * v - l - e - n - s AS v FROM nine)
 SELECT id, round(var_pop(v), 6) AS laplacian_variance FROM l GROUP BY id"""
 
 _TREES = """
@@ -160,11 +153,10 @@ SELECT id, round(stddev_pop(r - g) + stddev_pop(0.5::DOUBLE * (r + g) - b), 6) A
     "img_laplacian": _LAPLACE,
     "img_laplacian_relational": _LAPLACE,
     "img_sobel": f"""
-WITH {_PIXELS}, {_NEAR}, s AS (SELECT id, y, x, sqrt(power(sum(w * dx * (2 - abs(dy))), 2) + power(sum(w * dy * (2 - abs(dx))), 2)) AS m FROM nb GROUP BY ALL),
-k AS (SELECT id, m, row_number() OVER (PARTITION BY id ORDER BY m) AS n FROM s)
+WITH {image_oracles.SOBEL}, k AS (SELECT id, len AS m, row_number() OVER (PARTITION BY id ORDER BY len) AS n FROM so)
 SELECT id, round(avg(m), 6) AS sobel_mean, round(stddev_pop(m), 6) AS sobel_std, round(max(m) FILTER (n = 922), 6) AS sobel_p90 FROM k GROUP BY id""",
     "img_fractal": f"""
-WITH {_PIXELS}, {_SLOPE}, e AS (SELECT id, y, x FROM slope WHERE s > 10),
+WITH {_SLOPE}, e AS (SELECT id, y, x FROM slope WHERE s > 10),
 c AS (SELECT id, z, count(DISTINCT (y // z, x // z)) AS n FROM e, (VALUES (2), (4), (8), (16), (32)) k(z) GROUP BY id, z)
 SELECT id, round(regr_slope(log2(n), -log2(z)), 6) AS fractal FROM c GROUP BY id""",
     "img_blockiness": f"""
@@ -174,7 +166,7 @@ WITH {_PIXELS}, d AS (
 m AS (SELECT id, k, avg(d) FILTER (edge) AS e, avg(d) FILTER (NOT edge) AS i FROM d GROUP BY id, k)
 SELECT id, round(max(greatest(e - i, 0) / i) FILTER (k = 'r'), 6) AS rows_blockiness, round(max(greatest(e - i, 0) / i) FILTER (k = 'c'), 6) AS columns_blockiness FROM m GROUP BY id""",
     "img_cell_density": f"""
-WITH {_PIXELS}, {_SLOPE}, c AS (SELECT px.id, px.y // 4 AS cy, px.x // 4 AS cx, avg((coalesce(s, 0) > 20)::INT) AS share FROM px LEFT JOIN slope USING (id, y, x) GROUP BY ALL)
+WITH {_SLOPE}, c AS (SELECT px.id, px.y // 4 AS cy, px.x // 4 AS cx, avg((coalesce(s, 0) > 20)::INT) AS share FROM px LEFT JOIN slope USING (id, y, x) GROUP BY ALL)
 SELECT id, round(stddev_pop(share), 6) AS cell_std FROM c GROUP BY id""",
     "img_tile_entropy": f"""
 WITH {_PIXELS}, h AS (SELECT id, y // 4 AS ty, x // 4 AS tx, floor(v) AS bin, count(*) / 16 AS p FROM px GROUP BY ALL),
@@ -250,4 +242,19 @@ SELECT kind, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp
 WITH w AS (SELECT l_orderkey, l_linenumber AS i, trunc(l_quantity)::INT // 20 AS band FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, band ORDER BY i) AS k, count(*) OVER (PARTITION BY l_orderkey, band) AS n FROM w)
 SELECT l_orderkey, i, CASE WHEN n = 1 THEN 'single' WHEN k = 1 THEN 'first' WHEN k = n THEN 'last' ELSE 'mid' END AS line_pos, n AS line_len FROM k""",
+} | image_oracles.SQL
+#: For each query of a few features, their places among the 81.
+_PLACES = {name: columns for name, (_, columns) in image_oracles.COLUMNS.items()} | {
+    "img_channel_stats": {"r_mean": 0, "r_std": 1, "g_mean": 4, "g_std": 5, "b_mean": 8, "b_std": 9},
+    "img_gray_stats": {"mean": 12, "median": 13, "std": 14, "entropy": 15},
+    "img_color": {"colorfulness": 16, "saturation_mean": 17, "saturation_var": 18},
+    "img_laplacian": {"laplacian_variance": 19},
+    "img_sobel": {"sobel_mean": 20, "sobel_std": 21, "sobel_p90": 22},
+    "img_fractal": {"fractal": 49},
+    "img_blockiness": {"rows_blockiness": 51, "columns_blockiness": 52},
+    "img_cell_density": {"cell_std": 69},
+    "img_anisotropy": {"anisotropy": 70},
+    "img_tile_entropy": {"peak": 71},
 }
+_AT = {k: f"q{n}.{column}" for n, columns in enumerate(_PLACES.values()) for column, k in columns.items()}
+SQL["img_features81"] = f"SELECT id, [{', '.join(f'({_AT[k]})::DOUBLE' for k in range(81))}] AS features FROM " + " JOIN ".join(f"({SQL[name]}) q{n}" + (" USING (id)" if n else "") for n, name in enumerate(_PLACES))

@@ -12,7 +12,7 @@ BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 
 
 def test_analysis_of_two_recognisers(spark):
-    pics = images.pattern_images(spark, 3, 24)
+    pics = images.pattern_images(spark.range(3), 24)
     w = lambda t, x, c: (t, (x, 0.0, x + 8.0, 8.0), c)
     trees = spark.createDataFrame(
         [(0, [("PT_FLOWING_TEXT", [([([w("mail", 0.0, 90.0), w("a@example.com", 10.0, 40.0), w(" ", 20.0, 1.0)],)],)])]), (1, [("odd", [([([w("only", 0.0, 50.0)],)],)])])],

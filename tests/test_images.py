@@ -121,7 +121,7 @@ def test_resize_keeps_small_images_and_flat_color():
 
 
 def test_groups_are_slices_of_the_whole(spark):
-    df = images.pattern_images(spark, 3, 24)
+    df = images.pattern_images(spark.range(3), 24)
     whole = {r.id: r for r in images.features(df).collect()}
     for r in images.features(df, ("noise", "document")).collect():
         assert all(r[c] == whole[r.id][c] for c in im.names(("noise", "document")))

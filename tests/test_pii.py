@@ -1,3 +1,4 @@
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,9 +79,42 @@ def test_expressions_agree_with_the_scanner(spark):
     assert [r.s for r in text.tokens(df, "id").where("id = 1").orderBy("i").select(text.shape(F.col("word")).alias("s")).collect()] == [crf.shape(w) for w, _, _ in crf.tokenize("é 4111111111111111 x 12")]
 
 
+def test_rows_of_one_key_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "aa bb 12"), (1, "cc dd 3 45"), (None, "x  \x0by\f7"), (2, None), (2, ""), (2, " \t"), (3, "é" * 5 + " 日本 9")], "id long, text string")
+    want = [(i, k, *t) for i, x in df.collect() for k, t in enumerate(crf.tokenize(x or ""))]
+    assert sorted(map(tuple, text.tokens(df, "id").collect()), key=str) == sorted(want, key=str)
+    runs = [(i, k, m.group().decode(), *m.span()) for i, x in df.collect() for k, m in enumerate(re.finditer(rb"\d+", (x or "").encode()))]
+    assert sorted(map(tuple, text.digit_runs(df, "id").collect()), key=str) == sorted(runs, key=str)
+    near = {(r.word, r.i): (r.before2, r.before1, r.low, r.after1, r.after2) for r in text.neighbours(df, "id").where("id = 1").collect()}
+    assert near["aa", 0] == ("__BOS__", "__BOS__", "aa", "bb", "12") and near["3", 2] == ("cc", "dd", "3", "45", "__EOS__") and len(near) == 7
+    assert text.tokens(df.where("false"), "id").count() == 0
+
+
 # Sequence labelling
 
 
+def test_emissions_of_a_batch_are_sums_of_token_features():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = "Cindy banks 0668 Oak St, TX 75001 é ABC-1 a@b.c the _ 12 Longwordlongwordlongword".split()
+    texts = [list(rng.choice(words, n)) for n in (0, 1, 2, 7, 3, 0, 20)]
+    names = sorted({f for t in texts for i in range(len(t)) for f in crf.token_features(t, i)})
+    model = crf.Model(["O", "A", "B"], {f: rng.normal(size=3).astype(np.float32) for f in names[::2]}, rng.normal(size=(3, 3)).astype(np.float32))
+    bounds = np.cumsum([0, *map(len, texts)])
+    got = model.emit(pa.array([w for t in texts for w in t], pa.string()), bounds)
+    path = crf.viterbi_all(got, bounds, model.transitions)
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        want = np.zeros((len(t), 3), np.float32)
+        for i in range(len(t)):
+            for f in crf.token_features(t, i):
+                if f in model.weights:
+                    want[i] += model.weights[f]
+        assert (got[a:b] == want).all()
+        assert path[a:b].tolist() == crf.viterbi(want, model.transitions)
+
+
 @pytest.mark.parametrize(("said", "name"), [("Bill to Cindy Banks", "Cindy Banks"), ("Buyer Christian Banks III", "Christian Banks"), ("Cindy Banks", "Cindy Banks"), ("Sarah", "Sarah"), ("Bill to", None), ("Invoice Number 12345", None)])
 def test_leading_name(said, name):
     assert crf.leading_name(said) == name
