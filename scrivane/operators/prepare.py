@@ -223,10 +223,10 @@ _SWAPS = dict(p for a, b in ("Il", "O0", "S5", "B8") for p in ((a, b), (b, a)))
 
 
 def noisy(tokens: DataFrame, key: str, copies: int = 2, seed: int = 42, drop: float = 0.10, error: float = 0.15) -> DataFrame:
-    """Variants of token rows (key, i, token, label): some tokens dropped, some with one wrong character. Draws are hashes of the row, so
-    they repeat in any run."""
+    """Variants of token rows (key, i, token, label): some tokens dropped, some with one wrong character. Draws are hashes of the row (the first 32
+    bits of an MD5 sum), so they repeat in any run and any engine."""
     df = tokens.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    draw = lambda k: F.pmod(F.xxhash64(F.col(key).cast("string"), "i", "variant", F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("i").cast("string"), F.col("variant").cast("string"), F.lit(str(seed)), F.lit(str(k)))), 1, 8), 16, 10).cast("double") / 2.0**32
     at = (F.floor(draw(2) * F.length("token")) + 1).cast("int")
     old = F.substr("token", at, F.lit(1))
     swap = F.create_map(*[F.lit(x) for p in _SWAPS.items() for x in p])

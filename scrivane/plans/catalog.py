@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crf
-from ..operators import documents, evaluate, gbdt, images, prepare, regions, text
+from ..operators import analyze, documents, evaluate, gbdt, images, prepare, regions, text
 from . import image_oracles
 from .oracles import SQL
 
@@ -313,6 +313,30 @@ def gbdt_scores_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("l_orderkey", "l_linenumber", *[F.round(x, 9).alias(x) for x in TREES.trees])
 
 
+@query
+def gbdt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed leaves, and the labels that chances of a half and more give."""
+    li = table(spark, sf_dir, "lineitem")
+    z = gbdt.score(li, TREES, _TREE_COLUMNS, logits=True).select("l_orderkey", "l_linenumber", *_TREE_COLUMNS, *[F.col(x).alias(f"logit_{x}") for x in TREES.trees])
+    return gbdt.predictions(gbdt.score(z, TREES, _TREE_COLUMNS), list(TREES.trees)).select("l_orderkey", "l_linenumber", *[f"{c}_{x}" for x in TREES.trees for c in ("logit", "pred")])
+
+
+#: Trees over image features: mean gray (f12) and the mean of red (f0).
+CLASSIFIER = gbdt.Model.load('{"is_document": [{"nodeid": 0, "split": "f12", "split_condition": 118.0, "children": [{"leaf": -0.75}, {"leaf": 0.5}]}], "is_paper": [{"nodeid": 0, "split": "f0", "split_condition": 120.0, "children": [{"leaf": 1.0}, {"leaf": -1.0}]}]}')
+
+
+@query
+def img_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.classify(_pictures(spark, sf_dir), CLASSIFIER).select("id", *[F.round(x, 9).alias(x) for x in CLASSIFIER.trees])
+
+
+@query
+def img_ranked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each picture, the likeliest first."""
+    ranked = regions.ranked_scores(analyze.classify(_pictures(spark, sf_dir), CLASSIFIER), list(CLASSIFIER.trees))
+    return ranked.select("id", F.posexplode("ranked").alias("place", "r")).select("id", "place", "r.label")
+
+
 # Regions
 
 
@@ -374,6 +398,52 @@ def region_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.flatten_tree(pages).select("doc_id", "id", "text", F.round("confidence", 6).alias("confidence"), "block_type", "parent_id")
 
 
+@query
+def region_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of a recogniser that gives boxes as arrays of four."""
+    li = _lines(spark, sf_dir)
+    box = F.array(F.col("ln").cast("double"), F.lit(1.0), F.col("l_quantity").cast("double"), F.lit(9.0))
+    one = F.struct("ln", F.concat(F.lit("w"), "ln").alias("text"), box.alias("bbox"), F.when(F.col("l_returnflag") != "A", (F.col("l_discount") * 2000).cast("double")).alias("confidence"))
+    docs = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("regions"))
+    return regions.normalise_list(docs).select("doc_id", "id", "text", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"), F.round("confidence", 6).alias("confidence"), "source")
+
+
+@query
+def region_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.merge_regions(*_boxes(spark, sf_dir)).where("reason IS NOT NULL").select("doc_id", "pos", "reason")
+
+
+@query
+def region_hit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("A"), (F.col("o_orderkey") % 4).cast("string")).alias("text"))
+    r = _boxes(spark, sf_dir)[0].select("doc_id", F.concat(F.lit("r"), "pos").alias("id"), "text")
+    return regions.hit_words(hits, r).select("doc_id", "text", "region_id")
+
+
+@query
+def region_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.in_rectangle(_boxes(spark, sf_dir)[1], 12.0, 3.0, 33.0, 11.0).select("doc_id", "pos")
+
+
+@query
+def region_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _lines(spark, sf_dir)
+    box = F.struct((F.col("l_quantity") * 30 - 100).cast("double").alias("x0"), (F.col("ln") * 90).cast("double").alias("y0"), (F.col("l_quantity") * 40).cast("double").alias("x1"), (F.col("ln") * 190).cast("double").alias("y1"))
+    task = F.element_at(F.array(*map(F.lit, ("text", "table", "formula", "figure"))), (F.col("ln") % 4 + 1).cast("int"))
+    placed = regions.to_pixels(li.select("l_orderkey", "ln", box.alias("bbox"), task.alias("task"), F.lit(640).alias("width"), F.lit(480).alias("height")))
+    return placed.select("l_orderkey", "ln", "task", *[F.col(f"bbox.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query
+def text_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in code fences, and those that aren't JSON wrapped into it."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    body = F.when(k == 0, F.concat(F.lit('{"n":'), F.col("p_partkey").cast("string"), F.lit("}"))).otherwise(F.col("p_name"))
+    said = F.when(k == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("  ```json\n"), body, F.lit("\n```  ")))
+    return p.select("p_partkey", regions.parse_or_wrap(regions.strip_fences(said)).alias("answer"))
+
+
 # Nested documents
 
 
@@ -393,6 +463,18 @@ def doc_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.redactions(d).select("id", F.explode("redactions").alias("r")).select("id", F.col("r.id").alias("region"), F.col("r.text").alias("text"))
 
 
+@query
+def doc_unredacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents.unredact(documents.redact(documents.redact(_nested(spark, sf_dir), F.lit("r0")), F.col("regions")[F.size("regions") - 1]["id"]), F.lit("r0"))
+    return documents.redactions(d).select("id", F.explode("redactions").alias("r")).select("id", F.col("r.id").alias("region"))
+
+
+@query
+def doc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One region by its id; documents without it have nulls."""
+    return _nested(spark, sf_dir).select("id", documents.region(F.lit("r2")).alias("r")).select("id", F.col("r.text").alias("text"), F.col("r.confidence").alias("confidence"))
+
+
 @query
 def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents.add_field(_nested(spark, sf_dir), F.lit("r0"), F.lit("total"), field_id=F.lit("f1"), stamp=F.lit("t"))
@@ -497,9 +579,57 @@ def eval_region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.region_scores(truth, hits, "o_custkey", exempt_tag=2)
 
 
+@query
+def eval_token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of customers' words, with numbers after a tax mark."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    mail, phone = F.concat(F.lit("a"), k.cast("string"), F.lit("@b.org")), F.format_string("+(212)555-%04d", k % 10000)
+    words = F.array(mail, phone, F.format_string("%05d", k % 100000), F.when(k % 2 == 0, F.lit("GSTIN:")).otherwise(F.lit("No.")), F.lit("x"), F.format_string("%07d", k), F.format_string("%08d", k), F.col("c_name"))
+    t = c.select("c_custkey", F.posexplode(words).alias("i", "token"))
+    return evaluate.type_tokens(t, "c_custkey").select("c_custkey", "i", "kind")
+
+
+@query
+def eval_address_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    said = F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("12 Oak Street")).when(F.col("p_partkey") % 3 == 1, F.lit("TX 75001")), "p_type")
+    at = (F.col("p_partkey") % 5).cast("int")
+    p = p.select("p_partkey", said.alias("said"), at.alias("at"))
+    return p.select("p_partkey", evaluate.has_address_sign(F.col("said"), F.col("at"), F.col("at") + 4, 12).alias("sign"))
+
+
+@query
+def eval_invoice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    lead = F.element_at(F.array(*map(F.lit, ("Invoice: ", "see ", "gstin and more ", "INV # ", "order no. "))), (k % 5 + 1).cast("int"))
+    return o.select("o_orderkey", evaluate.is_invoice_number(F.concat(lead, k.cast("string")), F.length(lead)).alias("invoice"))
+
+
+@query
+def eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three orders of each priority: a report."""
+    return evaluate.samples(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 3)
+
+
 # Preparation
 
 
+@query
+def prep_dataset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, [*sorted(prepare.DATASETS), "unknown"]))
+    files = table(spark, sf_dir, "part").select(F.concat(F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("filename"))
+    return prepare.dataset_labels(files, spark)
+
+
+@query
+def prep_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with any label, counted."""
+    t = _tagged(spark, sf_dir).withColumn("label", F.when((F.col("o_custkey") % 3 == 0) & (F.col("tag") == 1), "NAME").otherwise("O"))
+    return prepare.drop_unlabelled(t, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
 @query
 def prep_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import crf
+from ..operators import prepare
 from . import image_oracles
 
 # Matches with byte offsets: the text is cut into (gap, match) pairs, whose lengths are summed.
@@ -87,6 +89,26 @@ lo AS (SELECT *, CASE WHEN strlen(word) <= 20 THEN lower(word) ELSE '__LONG__' E
 nei AS (SELECT *, coalesce(lag(low) OVER w, '__BOS__') AS before1, coalesce(lag(low, 2) OVER w, '__BOS__') AS before2, coalesce(lead(low) OVER w, '__EOS__') AS after1, coalesce(lead(low, 2) OVER w, '__EOS__') AS after2
   FROM lo WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
+_SET = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+_CORE = "regexp_replace({0}, '[,.]+$', '')"
+#: A token's weights for the labels of the catalogue's tagger, summed in single precision in the order of the features.
+_WEIGHTS = (("strlen(word) = 8", (0, 0, 0, 1.5)), ("digits", (0, -2, 1.2, 0.8)), ("suffix", (0, -3, 3, -3)), ("name_word", (0, 1.5, 0.5, -3)), ("i > 0 AND i < n - 1", (1, 0, 0, 0)))
+_MOVES = ((0.5, 0, 0, 0), (0, 0.6, 0.2, -1), (0, -0.5, 1.0, -1), (0.2, -1, -1, 0))
+_EMIT = [" + ".join(f"(CASE WHEN {when} THEN {w[j]} ELSE 0 END)::FLOAT" for when, w in _WEIGHTS) for j in range(4)]
+_WAYS = [f"[{', '.join(f'v.s[{k + 1}] + {_MOVES[k][j]}::FLOAT + e.e[{j + 1}]' for k in range(4))}]" for j in range(4)]
+_VITERBI = rf"""
+txt AS (SELECT row_number() OVER () AS r, concat_ws('-', conv_id, turn) AS id, regexp_extract_all(text, '[^ \t\n\f\r]+') AS ws FROM conversations),
+tok AS (SELECT r, id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws)))::INT AS i FROM txt),
+flag AS (SELECT *, regexp_full_match(word, '[0-9]+') AS digits, lower({_CORE.format("word")}) IN {_SET(crf.SUFFIXES)} AS suffix,
+  regexp_full_match(word, '\p{{Lu}}\p{{L}}*') AND strlen(word) BETWEEN 2 AND 20 AND NOT (length(word) = 2 AND word IN {_SET(crf.STATES)})
+  AND lower({_CORE.format("word")}) NOT IN {_SET(crf.SUFFIXES | crf.DIRECTIONS | crf.TITLES | crf.BOXES)} AS name_word FROM tok),
+em AS MATERIALIZED (SELECT r, i, [{", ".join(_EMIT)}] AS e FROM flag),
+v(r, i, s, p) AS (SELECT r, i, e, [[0], [1], [2], [3]] FROM em WHERE i = 0 UNION ALL
+  SELECT r, i, [{", ".join(f"list_max(w{j})" for j in range(4))}], [{", ".join(f"list_append(p[list_position(w{j}, list_max(w{j}))], {j})" for j in range(4))}]
+  FROM (SELECT v.r, e.i, v.p, {", ".join(f"{w} AS w{j}" for j, w in enumerate(_WAYS))} FROM v JOIN em e ON e.r = v.r AND e.i = v.i + 1)),
+best AS (SELECT v.r, p[list_position(s, list_max(s))] AS path FROM v JOIN (SELECT r, max(i) AS i FROM em GROUP BY r) USING (r, i))"""
+
+
 SQL = {
     "pii_email": f"""
 WITH {_matches("documents", "doc_id", "text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*")}
@@ -243,6 +265,83 @@ WITH w AS (SELECT l_orderkey, l_linenumber AS i, trunc(l_quantity)::INT // 20 AS
 k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, band ORDER BY i) AS k, count(*) OVER (PARTITION BY l_orderkey, band) AS n FROM w)
 SELECT l_orderkey, i, CASE WHEN n = 1 THEN 'single' WHEN k = 1 THEN 'first' WHEN k = n THEN 'last' ELSE 'mid' END AS line_pos, n AS line_len FROM k""",
 } | image_oracles.SQL
+_KIND = r"CASE WHEN regexp_matches(token, '^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}') THEN 'EMAIL' WHEN regexp_matches(token, '^[+]\([0-9]{3}\)[0-9]{3}-[0-9]{4}') THEN 'PHONE' WHEN regexp_matches(token, '^[0-9]{5}(-[0-9]{4})?$') THEN 'ZIP' END"
+SQL |= {
+    "crf_decode": f"WITH RECURSIVE {_VITERBI} SELECT id, i, word, ['O', 'NAME', 'ADDRESS', 'ACCOUNT'][path[i + 1] + 1] AS label FROM tok JOIN best USING (r)",
+    "prep_refined_labels": rf"""
+WITH {_TOK}, t AS (SELECT doc_id, i, word AS token, CASE i // 4 % 3 WHEN 1 THEN 5 WHEN 2 THEN 13 ELSE 0 END AS tag, lower({_CORE.format("word")}) AS core FROM tk),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, tag ORDER BY i) AS run FROM t),
+v AS (SELECT *, core IN {_SET(crf.SUFFIXES)} AS suffix, count(*) OVER (PARTITION BY doc_id, tag, run) AS size,
+  CASE WHEN tag = 5 THEN CASE WHEN regexp_matches(core, '^[0-9]') AND length(core) <= 5 THEN i WHEN core IN {_SET(crf.SUFFIXES)} THEN i + 1 END
+    WHEN regexp_matches(token, '^[0-9]') AND length(token) <= 5 THEN i END AS cut FROM u),
+w AS (SELECT *, arg_min(cut, i) FILTER (cut IS NOT NULL) OVER r AS c,
+  bool_or(suffix OR (length(core) = 2 AND upper(core) IN {_SET(crf.STATES)}) OR core IN {_SET(crf.DIRECTIONS)} OR (size = 1 AND regexp_full_match(core, '[0-9]{{5}}(-[0-9]{{4}})?'))) OVER r AS signed
+  FROM v WINDOW r AS (PARTITION BY doc_id, tag, run)),
+k AS (SELECT *, {_KIND} AS kind, regexp_full_match(token, '[0-9]+') AS digits, regexp_full_match(token, '\p{{L}}{{2,}}') AS letters, c IS NULL OR i < c AS before_ FROM w),
+a AS (SELECT *, coalesce(kind, CASE WHEN digits AND length(token) BETWEEN 6 AND 20 THEN 'ACCOUNT' END) AS plain FROM k),
+l AS (SELECT tag, coalesce(CASE WHEN tag = 5 THEN CASE WHEN before_ THEN CASE WHEN letters THEN 'NAME' ELSE 'ADDRESS' END ELSE coalesce(kind, 'ADDRESS') END
+  WHEN tag = 13 THEN coalesce(CASE WHEN NOT signed THEN plain WHEN before_ THEN coalesce(plain, CASE WHEN letters THEN 'NAME' END) ELSE coalesce(plain, 'ADDRESS') END, CASE WHEN digits AND length(token) BETWEEN 4 AND 20 THEN 'ACCOUNT' END) END, 'O') AS label FROM a)
+SELECT tag, label, count(*) AS n FROM l GROUP BY ALL""",
+    "prep_noisy": f"""
+WITH {_TAGGED}, v AS (SELECT o_custkey, i, token, 'O' AS label, variant::INT AS variant FROM tok, range(2) k(variant)),
+d AS (SELECT *, {", ".join(f"('0x' || substr(md5(concat_ws(':', o_custkey, i, variant, '42', '{k}')), 1, 8))::BIGINT / 4294967296 AS d{k}" for k in range(4))} FROM v),
+a AS (SELECT *, floor(d2 * length(token))::INT + 1 AS cut FROM d WHERE d0 >= 0.1::DOUBLE), o AS (SELECT *, substr(token, cut, 1) AS old FROM a),
+n AS (SELECT *, CASE old {" ".join(f"WHEN '{x}' THEN '{y}'" for x, y in prepare._SWAPS.items())} ELSE CASE WHEN regexp_matches(old, '\\p{{L}}') THEN substr('aeiouAEIOU809', floor(d3 * 13)::INT + 1, 1) ELSE old END END AS new FROM o)
+SELECT o_custkey, i, label, variant, CASE WHEN d1 < 0.15::DOUBLE AND length(token) >= 3 THEN substr(token, 1, cut - 1) || new || substr(token, cut + 1) ELSE token END AS token FROM n""",
+    "prep_align": """
+WITH RECURSIVE p AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS truth FROM part), q AS (SELECT *, list_transform(truth, lambda w: regexp_replace(w, '[aeiou]', 'o', 'g')) AS found FROM p),
+s(p_partkey, k, nxt, hit) AS (SELECT p_partkey, 0, 0, -1 FROM q UNION ALL
+  SELECT p_partkey, k + 1, CASE WHEN near // 1000 <= greatest(3, length(truth[k + 1]) // 2) THEN near % 1000 + 1 ELSE nxt END, CASE WHEN near // 1000 <= greatest(3, length(truth[k + 1]) // 2) THEN near % 1000 ELSE -1 END
+  FROM (SELECT s.p_partkey, k, nxt, truth, list_min(list_transform(range(nxt, least(nxt + 5, len(found))), lambda j: levenshtein(lower(truth[k + 1]), lower(found[j + 1])) * 1000 + j)) AS near FROM s JOIN q USING (p_partkey) WHERE k < len(truth)))
+SELECT p_partkey, (k - 1)::INT AS truth_i, hit::INT AS found_i, found[hit + 1] AS word FROM s JOIN q USING (p_partkey) WHERE k > 0 AND hit >= 0""",
+    "pii_bill_to": """
+WITH n AS (SELECT c_custkey, list_aggregate(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS land FROM customer JOIN nation ON c_nationkey = n_nationkey),
+d AS (SELECT c_custkey, CASE WHEN regexp_matches(land, '[0-9]') THEN 'Ann' ELSE 'Ann ' || land END AS name, CASE WHEN regexp_matches(land, '[0-9]') THEN land || ' ' ELSE '' END AS lead FROM n),
+t AS (SELECT *, 8 + length(name) AS b, lead || c_custkey || ' Oak Street Springfield, IL 62701 US' AS place FROM d),
+h AS (SELECT c_custkey, 0 AS o, 'NAME' AS kind, name AS text, 8 AS start, b AS "end" FROM t UNION ALL SELECT c_custkey, 1, 'ADDRESS', place, b, b + 2 + length(place) FROM t
+  UNION ALL SELECT c_custkey, 2, 'ZIP', c_custkey::VARCHAR, b + 1 + length(lead), b + 6 + length(lead) FROM t WHERE length(c_custkey::VARCHAR) = 5 UNION ALL SELECT c_custkey, 3, 'ZIP', '62701', b + length(place) - 7, b + length(place) - 2 FROM t
+  UNION ALL SELECT c_custkey, 4, 'PHONE', '+(212)555-0199', b + length(place) + 6, b + length(place) + 20 FROM t)
+SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY o) - 1)::INT AS seq, kind, text, start::INT AS start, "end"::INT AS "end" FROM h""",
+    "gbdt_labels": """
+WITH z AS (SELECT l_orderkey, l_linenumber, (CASE WHEN l_quantity < 25 THEN -0.5 ELSE 0.5 END + CASE WHEN l_discount < 0.05 THEN CASE WHEN l_extendedprice < 30000 THEN 0.25 ELSE -0.25 END ELSE 1.0 END)::DOUBLE AS d,
+  (CASE WHEN l_tax < 0.04 THEN -1.0 WHEN l_quantity < 10 THEN 2.0 ELSE 0.125 END)::DOUBLE AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, d AS logit_is_document, (d >= 0)::INT AS pred_is_document, p AS logit_is_paper, (p >= 0)::INT AS pred_is_paper FROM z""",
+    "img_classify": f"WITH {_PIXELS} SELECT id, round(1 / (1 + exp(-CASE WHEN avg(v) < 118 THEN -0.75 ELSE 0.5 END::DOUBLE)), 9) AS is_document, round(1 / (1 + exp(-CASE WHEN avg(r) < 120 THEN 1.0 ELSE -1.0 END::DOUBLE)), 9) AS is_paper FROM px GROUP BY id",
+    "img_ranked_scores": f"""
+WITH {_PIXELS}, s AS (SELECT id, CASE WHEN avg(v) < 118 THEN -0.75 ELSE 0.5 END AS d, CASE WHEN avg(r) < 120 THEN 1.0 ELSE -1.0 END AS p FROM px GROUP BY id)
+SELECT id, (d < p)::INT AS place, 'is_document' AS label FROM s UNION ALL SELECT id, (d >= p)::INT, 'is_paper' FROM s""",
+    "region_lists": f"""
+WITH {_LINES} SELECT l_orderkey AS doc_id, 'glm-' || (ln - 1) AS id, 'w' || ln AS text, ln::DOUBLE AS x0, l_quantity::DOUBLE AS x1, round(CASE WHEN l_returnflag <> 'A' THEN least(greatest(l_discount * 2000, 0), 100) ELSE 75 END::DOUBLE, 6) AS confidence, 'glm-ocr' AS source FROM ll""",
+    "region_reasons": f"""
+WITH {_BOXES}, d AS (SELECT m.doc_id, m.ti, m.iou, m.ca, m.cb, f.winner FROM fate f JOIN matched m ON m.doc_id = f.doc_id AND m.ti = f.ti AND m.gi = coalesce(f.winner, list_min(f.gis)))
+SELECT doc_id, ti AS pos, 'won (' || printf('%.1f', CASE WHEN winner IS NULL THEN ca ELSE cb END) || ') over ' || CASE WHEN ca = cb THEN 'equal' ELSE printf('%.1f', CASE WHEN winner IS NULL THEN cb ELSE ca END) END || ', IoU=' || floor(iou * 100 + 0.5)::BIGINT || '%' AS reason FROM d""",
+    "region_hit_words": f"""
+WITH {_LINES} SELECT l_orderkey AS doc_id, 'A' || o_orderkey % 4 AS text, 'r' || (ln - 1) AS region_id FROM ll JOIN orders ON o_orderkey = l_orderkey WHERE contains('a' || ln, 'a' || o_orderkey % 4)""",
+    "region_rectangle": f"WITH {_BOXES} SELECT doc_id, pos FROM box WHERE x0 + dx < 33 AND x0 + dx + w > 12 AND y0 < 11 AND y0 + 8 > 3",
+    "region_pixels": f"""
+WITH {_LINES}, p AS (SELECT l_orderkey, ln, ['text', 'table', 'formula', 'figure'][ln % 4 + 1] AS task, (l_quantity * 30 - 100)::DOUBLE AS x0, (ln * 90)::DOUBLE AS y0, (l_quantity * 40)::DOUBLE AS x1, (ln * 190)::DOUBLE AS y1 FROM ll)
+SELECT l_orderkey, ln, task, {", ".join(f"least(greatest(trunc({c} / 1000 * {s})::INT, 0), {s}) AS {c}" for c, s in (("x0", 640), ("y0", 480), ("x1", 640), ("y1", 480)))} FROM p WHERE task <> 'figure'""",
+    "text_fences": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '{"n":' || p_partkey || '}' ELSE '{"text":"' || p_name || '"}' END AS answer FROM part""",
+    "doc_unredacted": f"WITH {_LINES} SELECT o_orderkey::VARCHAR AS id, max('r' || (ln - 1)) AS region FROM orders JOIN ll ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(*) > 1",
+    "doc_regions": f"""
+WITH {_LINES} SELECT o_orderkey::VARCHAR AS id, max('a3') FILTER (ln = 3) AS text, max(trunc(l_discount * 1000)::DOUBLE) FILTER (ln = 3) AS confidence FROM orders JOIN ll ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    "eval_token_types": """
+WITH c AS (SELECT c_custkey, c_name, c_custkey AS k FROM customer), t AS (
+  SELECT c_custkey, 0 AS i, 'EMAIL' AS kind FROM c UNION ALL SELECT c_custkey, 1, 'PHONE' FROM c UNION ALL SELECT c_custkey, 2, 'ZIP' FROM c UNION ALL SELECT c_custkey, 3, NULL FROM c UNION ALL SELECT c_custkey, 4, NULL FROM c
+  UNION ALL SELECT c_custkey, 5, CASE WHEN k % 2 = 1 THEN 'ACCOUNT' END FROM c UNION ALL SELECT c_custkey, 6, CASE WHEN k % 2 = 1 THEN 'ACCOUNT' END FROM c UNION ALL SELECT c_custkey, 7, NULL FROM c)
+SELECT c_custkey, i, kind FROM t""",
+    "eval_address_signs": r"""
+WITH p AS (SELECT p_partkey, concat_ws(' ', p_name, CASE p_partkey % 3 WHEN 0 THEN '12 Oak Street' WHEN 1 THEN 'TX 75001' END, p_type) AS said, p_partkey % 5 AS pos FROM part),
+n AS (SELECT p_partkey, substr(said, 1 + greatest(pos - 12, 0)::INT, 28) AS near FROM p)
+SELECT p_partkey, regexp_matches(near, '(?i)\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|way|court|ct|place|pl)\b') OR regexp_matches(near, '\b[A-Z]{2}\s+\d{5}\b') OR regexp_matches(near, '(?i)\bp\.?\s?o\.?\s?box\b')
+  OR regexp_matches(near, '(?i)\b(apt|suite|ste|unit)\b') OR regexp_matches(near, '\b[0-9]{1,5}\s+\p{Lu}\p{Ll}+') OR regexp_matches(near, '(?i)\b(north|south|east|west)\b') OR regexp_matches(near, '\bUS\b') AS sign FROM n""",
+    "eval_invoice_numbers": "SELECT o_orderkey, o_orderkey % 5 <> 1 AS invoice FROM orders",
+    "eval_samples": "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 3",
+    "prep_dataset_labels": f"""
+WITH d(i, dataset, {", ".join(prepare.LABELS)}) AS (VALUES {", ".join(f"({k}, '{name}', {', '.join(map(str, bits))})" for k, (name, bits) in enumerate(sorted(prepare.DATASETS.items())))})
+SELECT dataset || '/' || p_partkey || '.png' AS filename, {", ".join(prepare.LABELS)} FROM part JOIN d ON p_partkey % 6 = i""",
+    "prep_labelled": f"WITH {_TAGGED} SELECT o_custkey, count(*) AS n FROM tt WHERE o_custkey % 3 = 0 GROUP BY o_custkey HAVING count(*) FILTER (tag = 1) > 0",
+}
 #: For each query of a few features, their places among the 81.
 _PLACES = {name: columns for name, (_, columns) in image_oracles.COLUMNS.items()} | {
     "img_channel_stats": {"r_mean": 0, "r_std": 1, "g_mean": 4, "g_std": 5, "b_mean": 8, "b_std": 9},
