@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import crf
 from ..operators import prepare
 from . import image_oracles
@@ -23,6 +25,48 @@ _LUHN = "list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i
 _CARD = rf"length(s) BETWEEN 13 AND 19 AND regexp_matches(s, '^(4|5[1-5]|3[4-8]|6011|644|65|30[0-5])') AND {_LUHN}"
 _EMAIL_OK = r"strlen(text) - 5 > a + instr(s, '@') - 1 AND regexp_matches(s, '@[A-Za-z0-9.-]*[.][A-Za-z0-9.-]*$') AND regexp_matches(s, '[A-Za-z][A-Za-z]$') AND length(s) - instr(s, '@') >= 3"
 
+
+
+def _renamed(sql: str, k: int) -> str:
+    for name in ("cut", "ends", "m"):
+        sql = re.sub(rf"\b{name}\b(?= AS \(|\)|$)", f"{name}{k}", sql)
+    return sql
+
+
+def _scan(source: str, key: str, text: str) -> str:
+    """All hits of digits, addresses of mail and telephone numbers in the order of the scanners, and their fold. Hits after a marked word, expiry
+    dates and account numbers aren't expressed."""
+    base = f"{source}_t AS (SELECT {key}, {text} AS text FROM {source})"
+    digits = _renamed(_matches(f"{source}_t", key, "text", "[0-9]+"), 1)
+    mails = _renamed(_matches(f"{source}_t", key, "text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*"), 2)
+    plus = _renamed(_matches(f"{source}_t", key, "text", "[+](?:[0-9 -]|[(][0-9 -]*[)])*"), 3)
+    return rf"""
+WITH {base}, {digits}, {mails}, {plus},
+tail AS (SELECT {key}, any_value(substr(text, 1 + k)) AS rest FROM {source}_t JOIN (SELECT {key}, sum(length(gap) + length(s))::BIGINT AS k FROM cut1 GROUP BY {key}) USING ({key}) GROUP BY {key}),
+d AS (SELECT m1.*, length(s) AS l, gap, lead(gap) OVER w AS after1, lead(s) OVER w AS s1, lead(m1.a) OVER w AS a1, lead(gap, 2) OVER w AS after2, lead(s, 2) OVER w AS s2, lead(m1.a, 2) OVER w AS a2, coalesce(lead(gap) OVER w, rest) AS following
+  FROM m1 JOIN (SELECT {key}, n, gap FROM cut1) USING ({key}, n) JOIN tail USING ({key}) WINDOW w AS (PARTITION BY {key} ORDER BY n)),
+pan AS (SELECT * FROM d WHERE {_CARD}),
+raw AS (
+  SELECT {key}, 0 AS o, 'EMAIL' AS kind, s AS text, a, b FROM m2 JOIN {source}_t USING ({key}) WHERE {_EMAIL_OK.replace("text", f"{source}_t.text")}
+  UNION ALL SELECT x.{key}, 1, 'PHONE', '(' || x.s[1:3] || substr(x.s[4:] || x.following || y.s, 1, 2) || y.s[-3:] || '-' || y.s1[1:4], x.a - 1, y.a1 + 4 FROM d x JOIN d y ON x.{key} = y.{key} AND y.b = x.a + 8
+    WHERE x.gap LIKE '%(' AND x.l >= 3 AND x.s[1] >= '2' AND y.l >= 3 AND y.s[-3] >= '2' AND y.after1 = '-' AND length(y.s1) >= 4
+  UNION ALL SELECT {key}, 1, 'PHONE', s[-3:] || '-' || s1 || '-' || s2[1:4], b - 3, a2 + 4 FROM d WHERE l >= 3 AND s[-3] >= '2' AND after1 = '-' AND length(s1) = 3 AND s1 >= '2' AND after2 = '-' AND length(s2) >= 4
+  UNION ALL SELECT {key}, 2, 'PHONE', s, a, b FROM d WHERE regexp_full_match(s, '1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}')
+  UNION ALL SELECT {key}, 3, 'PHONE', s, a, b FROM m3 JOIN (SELECT {key}, strlen(text) AS size FROM {source}_t) USING ({key})
+    WHERE a < size - 6 AND strlen(s) >= 8 AND regexp_matches(s, '[-( ]') AND length(regexp_replace(s, '[^0-9]', '', 'g')) BETWEEN 7 AND 15
+  UNION ALL SELECT {key}, 4, 'SSN', s || '-' || s1 || '-' || s2, a, a2 + 4 FROM d WHERE l = 3 AND after1 = '-' AND length(s1) = 2 AND after2 = '-' AND length(s2) = 4 AND s BETWEEN '001' AND '899' AND s <> '666' AND s1 > '00' AND s2 > '0000'
+  UNION ALL SELECT {key}, 5, 'SSN', s, a, b FROM d WHERE l = 9 AND s[1:3] BETWEEN '001' AND '899' AND s[1:3] <> '666' AND s[4:5] > '00' AND s[6:9] > '0000'
+  UNION ALL SELECT {key}, 6, 'PAN', s, a, b FROM pan
+  UNION ALL SELECT d.{key}, 6, 'CVV', d.s, d.a, d.b FROM pan JOIN d ON d.{key} = pan.{key} AND d.a >= pan.b AND d.b <= pan.b + 80 WHERE d.l IN (3, 4)
+  UNION ALL SELECT {key}, 7, 'ZIP', s, a, b FROM d WHERE l = 5 AND NOT regexp_matches(gap, '[A-Za-z0-9]$') AND NOT regexp_matches(coalesce(following, ''), '^[A-Za-z0-9]')),
+each AS (SELECT {key}, list([{{'kind': kind, 'text': text, 'start': a, 'end': b}}] ORDER BY a, o, b) AS hits FROM raw GROUP BY {key}),
+kept AS (SELECT {key}, list_reduce(hits, lambda acc, x: CASE WHEN x[1].start >= acc[-1]."end" THEN list_concat(acc, x)
+  WHEN x[1].kind = acc[-1].kind THEN CASE WHEN strlen(x[1].text) > strlen(acc[-1].text) THEN list_concat(acc[1:len(acc) - 1], x) ELSE acc END
+  WHEN x[1].kind IN ('PAN', 'SSN') AND acc[-1].kind IN ('PAN', 'SSN') THEN CASE WHEN x[1].kind = 'PAN' THEN list_concat(acc[1:len(acc) - 1], x) ELSE acc END ELSE list_concat(acc, x) END) AS hits FROM each),
+one AS (SELECT {key}, unnest(hits) AS h, unnest(range(len(hits)))::INT AS seq FROM kept)
+SELECT {key}, seq, h.kind AS kind, h.text AS text, h.start AS start, h."end" AS "end" FROM one"""
+
+
 _CUSTOMERS = r"""
 t AS (SELECT c_custkey, printf('SSN: %03d-%02d-%04d or %03d%02d%04d; call %03d-%03d-%04d, (%03d) %03d-%04d or %03d%03d%04d. Zip %05d, A%05d. Name: %s, nr %d | Address: %d Main St' || chr(10) || 'Serial 4%015d',
   k % 1000, k % 100, k % 10000, (k * 7) % 1000, (k * 3) % 100, (k * 11) % 10000, (k * 13) % 1000, (k * 17) % 1000, k % 10000, (k * 19) % 1000, (k * 23) % 1000, k % 10000,
@@ -267,6 +311,8 @@ SELECT l_orderkey, i, CASE WHEN n = 1 THEN 'single' WHEN k = 1 THEN 'first' WHEN
 } | image_oracles.SQL
 _KIND = r"CASE WHEN regexp_matches(token, '^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}') THEN 'EMAIL' WHEN regexp_matches(token, '^[+]\([0-9]{3}\)[0-9]{3}-[0-9]{4}') THEN 'PHONE' WHEN regexp_matches(token, '^[0-9]{5}(-[0-9]{4})?$') THEN 'ZIP' END"
 SQL |= {
+    "pii_scan": _scan("documents", "doc_id", "text"),
+    "pii_scan_pages": _scan("pages", "page_id", "html"),
     "crf_decode": f"WITH RECURSIVE {_VITERBI} SELECT id, i, word, ['O', 'NAME', 'ADDRESS', 'ACCOUNT'][path[i + 1] + 1] AS label FROM tok JOIN best USING (r)",
     "prep_refined_labels": rf"""
 WITH {_TOK}, t AS (SELECT doc_id, i, word AS token, CASE i // 4 % 3 WHEN 1 THEN 5 WHEN 2 THEN 13 ELSE 0 END AS tag, lower({_CORE.format("word")}) AS core FROM tk),
