@@ -295,5 +295,7 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    sorted_ = placed.repartition(max(1, len(order)), "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    # Ranges go to tasks by their numbers: hashed, several could meet in one.
+    low = order[-1] if order else 0
+    sorted_ = placed.repartitionById((order[0] - low if order else 0) + 1, (F.col("range") - low).cast("int")).sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return sorted_.mapInArrow(run, schema)
