@@ -7,9 +7,10 @@ programming over the four states finds a repair of least total cost; among equal
 wins at each step. Every turn is then rendered: the pieces of a conversation, concatenated in order, are its text.
 
 One step of the programme is a min-plus product with one of four 4 x 4 matrices, so a conversation can be cut anywhere. Turns are
-range-partitioned by (conv_id, turn), which also cuts a conversation that holds a third of all rows. The driver sees only the pieces that
-touch a partition's edge, at most two a partition: their matrices give the costs with which each piece begins, then
-their trace-backs give the state in which each ends.
+range-partitioned by (conv_id, turn), which also cuts a conversation that holds a third of all rows. Pieces that touch a partition's edge, at most
+two a partition, are put together in a tree of tasks: the products of up to ARITY pieces of a conversation in one task, those of its
+groups in the next, and back down the costs with which each piece begins; then in the same way
+their trace-backs, as maps of states, and the state in which each ends. Nothing passes through the driver.
 
 Null role or one that isn't system, user or assistant (case and outer spaces aside): must be relabelled. Null text: empty. Turns without conv_id
 form one conversation. A null turn comes first; ties in turn are ordered by role, then text, then the order of equal rows doesn't
@@ -27,7 +28,7 @@ from .common import blocks_for, store
 
 ROLES = ("", "system", "user", "assistant")
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
-MERGE, RELABEL, INSERT, PART_BYTES = 1.0, 2.0, 3.0, 16 << 20
+MERGE, RELABEL, INSERT, PART_BYTES, ARITY = 1.0, 2.0, 3.0, 16 << 20, 4096
 OPEN, CLOSE, JOINT = "<|im_start|>{}\n", "<|im_end|>\n", "\n"
 
 
@@ -105,7 +106,92 @@ def _sorted(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(np.argsort(rows.column("pos").to_numpy(), kind="stable")))
 
 
-def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABEL, insert: float = INSERT, part_bytes: int = PART_BYTES) -> DataFrame:
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    """A table of Python rows, by a schema of simple types."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(names)})
+
+
+def _ordered(rows: pa.Table, by: str) -> list[dict]:
+    return sorted(rows.to_pylist(), key=lambda r: r[by])
+
+
+def _then(v: np.ndarray, m: list[float]) -> np.ndarray:
+    """Costs v, or a matrix of them, after a piece with matrix m."""
+    return (v[..., :, None] + np.array(m).reshape(4, 4)).min(-2)
+
+
+_START = (0.0, np.inf, np.inf, np.inf)
+_CONV = "none boolean, conv long"
+_PIECE = f"part int, piece int, {_CONV}, block int"
+
+
+def _begins(edges: DataFrame) -> DataFrame:
+    """Of pieces (part, piece, none, conv, block, m) those that are continued or continue: with v, the costs before them, and which they are."""
+    product, prefix, out = f"{_CONV}, block int, m array<double>", f"{_CONV}, block int, v array<double>, before boolean, after boolean", f"{_PIECE}, v array<double>, goes_on boolean"
+
+    def products(key, rows):
+        m = np.where(np.eye(4, dtype=bool), 0.0, np.inf)
+        for r in _ordered(rows, "part"):
+            m = _then(m, r["m"])
+        return _rows(product, [(*(k.as_py() for k in key), m.ravel().tolist())])
+
+    def prefixes(key, rows):
+        v, found = np.array(_START), _ordered(rows, "block")
+        done = []
+        for k, r in enumerate(found):
+            done.append((r["none"], r["conv"], r["block"], v.tolist(), k > 0, k + 1 < len(found)))
+            v = _then(v, r["m"])
+        return _rows(prefix, done)
+
+    def begins(key, pieces, above):
+        top, found = above.to_pylist()[0], _ordered(pieces, "part")
+        v, done = np.array(top["v"]), []
+        for k, r in enumerate(found):
+            before, after = top["before"] or k > 0, top["after"] or k + 1 < len(found)
+            if before or after:
+                done.append((r["part"], r["piece"], r["none"], r["conv"], r["block"], v.tolist(), after))
+            v = _then(v, r["m"])
+        return _rows(out, done)
+
+    by = ["none", "conv", "block"]
+    above = edges.groupBy(*by).applyInArrow(products, product).groupBy("none", "conv").applyInArrow(prefixes, prefix)
+    return edges.groupBy(*by).cogroup(above.groupBy(*by)).applyInArrow(begins, out)
+
+
+def _finishes(pieces: DataFrame) -> DataFrame:
+    """Of traced pieces (part, piece, none, conv, block, v, goes_on, best, ways) the states in which they end: (part, piece, v, goes_on, state)."""
+    whole, suffix, out = f"{_CONV}, block int, best int, ways array<int>", f"{_CONV}, block int, state int", "part int, piece int, v array<double>, goes_on boolean, state int"
+
+    def composed(key, rows):
+        found = _ordered(rows, "part")[::-1]
+        state = [0, 1, 2, 3]
+        for r in found:
+            state = [r["ways"][e] for e in state]
+        return _rows(whole, [(*(k.as_py() for k in key), found[0]["best"], state)])
+
+    def suffixes(key, rows):
+        found, done = _ordered(rows, "block")[::-1], []
+        state = found[0]["best"]
+        for r in found:
+            done.append((r["none"], r["conv"], r["block"], state))
+            state = r["ways"][state]
+        return _rows(suffix, done)
+
+    def finishes(key, rows, above):
+        state, done = above.to_pylist()[0]["state"], []
+        for r in _ordered(rows, "part")[::-1]:
+            done.append((r["part"], r["piece"], r["v"], r["goes_on"], state))
+            state = r["ways"][state]
+        return _rows(out, done)
+
+    by = ["none", "conv", "block"]
+    above = pieces.groupBy(*by).applyInArrow(composed, whole).groupBy("none", "conv").applyInArrow(suffixes, suffix)
+    return pieces.groupBy(*by).cogroup(above.groupBy(*by)).applyInArrow(finishes, out)
+
+
+def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABEL, insert: float = INSERT, part_bytes: int = PART_BYTES, arity: int = ARITY) -> DataFrame:
     """Per turn, in the order of (conv_id, turn): conv_id, turn, role, new_role, action, n_inserted (empty turns before it, and
     for the last turn of a conversation also one that may be needed after it), rendered."""
     spark, plan = turns.sparkSession, Repair(merge, relabel, insert)
@@ -120,8 +206,11 @@ def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABE
     placed = store(placed, "turns")
     small = placed.select("part", "pos", "conv_id", "code").groupBy("part")
 
+    edge = f"{_PIECE}, m array<double>"
+
     def edges(key, table):
         table = _sorted(table)
+        part = key[0].as_py()
         start, size, ids = _pieces(table.column("conv_id"))
         role = table.column("code").to_numpy()
         out = []
@@ -129,65 +218,46 @@ def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABE
             one = role[start[i] : start[i] + size[i]]
             v = np.where(np.eye(4, dtype=bool), 0.0, np.inf)
             m, _ = plan.forward(np.tile(one, 4), np.arange(4) * len(one), np.full(4, len(one)), v)
-            out.append((key[0].as_py(), i, i == len(start) - 1, ids[i], m.ravel().tolist()))
-        return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "piece": pa.array([o[1] for o in out], pa.int32()), "last": [o[2] for o in out], "conv_id": pa.array([o[3] for o in out], pa.int64()), "m": pa.array([o[4] for o in out], pa.list_(pa.float64()))})
-
-    found = sorted(small.applyInArrow(edges, "part int, piece int, last boolean, conv_id long, m array<double>").collect(), key=lambda r: (r["part"], r["piece"]))
-    # begin[part, piece]: costs with which a piece that continues a conversation begins. goes_on: pieces that are continued.
-    begin: dict[tuple[int, int], list[float]] = {}
-    goes_on: dict[tuple[int, int], tuple[int, int]] = {}
-    start_cost = [0.0, np.inf, np.inf, np.inf]
-    previous, v = None, np.array(start_cost)
-    for r in found:
-        at = (r["part"], r["piece"])
-        if previous is not None and previous["last"] and previous["part"] != r["part"] and r["piece"] == 0 and previous["conv_id"] == r["conv_id"]:
-            goes_on[previous["part"], previous["piece"]] = at
-            begin[at] = v.tolist()
-        else:
-            v = np.array(start_cost)
-        v = (v[:, None] + np.array(r["m"]).reshape(4, 4)).min(0)
-        previous = r
-    cut = set(begin) | set(goes_on)
-
-    def traced(key, table):
-        table = _sorted(table)
-        part = key[0].as_py()
-        start, size, _ = _pieces(table.column("conv_id"))
-        role = table.column("code").to_numpy()
+            out.append((part, i, ids[i] is None, ids[i] or 0, part // arity, m.ravel().tolist()))
+        return _rows(edge, out)
+
+    cut = store(_begins(store(small.applyInArrow(edges, edge), "chat-edges")), "chat-begins")
+    traced_ = f"{_PIECE}, v array<double>, goes_on boolean, best int, ways array<int>"
+
+    def traced(key, table, known):
         out = []
-        for i in sorted({0, len(start) - 1}):
-            if (part, i) in cut:
+        if table.num_rows and known.num_rows:
+            table = _sorted(table)
+            start, size, _ = _pieces(table.column("conv_id"))
+            role = table.column("code").to_numpy()
+            for r in known.to_pylist():
+                i = r["piece"]
                 one = role[start[i] : start[i] + size[i]]
-                v, back = plan.forward(one, np.zeros(1, int), size[i : i + 1], np.array([begin.get((part, i), start_cost)]))
+                v, back = plan.forward(one, np.zeros(1, int), size[i : i + 1], np.array([r["v"]]))
                 ways = [int(plan.backward(back, np.zeros(1, int), size[i : i + 1], np.array([e]))[2][0]) for e in range(4)]
-                out.append((part, i, (v[0] + plan.end).argmin(), ways))
-        return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "piece": pa.array([o[1] for o in out], pa.int32()), "best": pa.array([int(o[2]) for o in out], pa.int32()), "ways": pa.array([o[3] for o in out], pa.list_(pa.int32()))})
-
-    finish: dict[tuple[int, int], int] = {}
-    if cut:
-        for r in sorted(small.applyInArrow(traced, "part int, piece int, best int, ways array<int>").collect(), key=lambda r: (r["part"], r["piece"]), reverse=True):
-            at = (r["part"], r["piece"])
-            state = finish[at] = finish[at] if at in goes_on else r["best"]
-            before = next((p for p, q in goes_on.items() if q == at), None) if at in begin else None
-            if before is not None:
-                finish[before] = r["ways"][state]
-
-    def render(key, table):
+                out.append((r["part"], i, r["none"], r["conv"], r["block"], r["v"], r["goes_on"], int((v[0] + plan.end).argmin()), ways))
+        return _rows(traced_, out)
+
+    ends_at = store(_finishes(store(small.cogroup(cut.groupBy("part")).applyInArrow(traced, traced_), "chat-traces")), "chat-ends")
+
+    def render(key, table, known):
+        if not table.num_rows:
+            return _rendered([], [], [], table, np.zeros(0, np.uint8))
         table = _sorted(table)
-        part = key[0].as_py()
         start, size, _ = _pieces(table.column("conv_id"))
         role = table.column("code").to_numpy()
-        v0 = np.tile(start_cost, (len(start), 1))
-        for i in {0, len(start) - 1}:
-            v0[i] = begin.get((part, i), start_cost)
+        known = known.to_pylist()
+        v0 = np.tile(_START, (len(start), 1))
+        for r in known:
+            v0[r["piece"]] = r["v"]
         v, back = plan.forward(role, start, size, v0)
         state = (v + plan.end).argmin(1)
-        for i in {0, len(start) - 1}:
-            state[i] = finish.get((part, i), state[i])
+        for r in known:
+            state[r["piece"]] = r["state"]
         before, after, _ = plan.backward(back, start, size, state)
         ends = np.zeros(len(role), bool)
         ends[start + size - 1] = True
-        if (part, len(start) - 1) in goes_on:
+        if any(r["goes_on"] and r["piece"] == len(start) - 1 for r in known):
             ends[-1] = False
         actions, inserted, rendered = [], [], []
         for s, e, r, last, text in zip(before.tolist(), after.tolist(), role.tolist(), ends.tolist(), table.column("text").to_pylist(), strict=True):
@@ -204,8 +274,13 @@ def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABE
             actions.append(("relabel" if r != e else "keep") + ("+merge" if merged else ""))
             inserted.append(n)
             rendered.append(out)
-        names = np.array(ROLES, object)[after]
-        return pa.table({"conv_id": table.column("conv_id"), "turn": table.column("turn"), "role": table.column("role"), "new_role": pa.array(names.tolist(), pa.string()), "action": pa.array(actions, pa.string()), "n_inserted": pa.array(inserted, pa.int32()), "rendered": pa.array(rendered, pa.string())})
+        return _rendered(actions, inserted, rendered, table, after)
 
     schema = "conv_id long, turn long, role string, new_role string, action string, n_inserted int, rendered string"
-    return placed.select("part", "pos", "conv_id", "turn", "role", "code", "text").groupBy("part").applyInArrow(render, schema)
+    rows = placed.select("part", "pos", "conv_id", "turn", "role", "code", "text")
+    return rows.groupBy("part").cogroup(ends_at.groupBy("part")).applyInArrow(render, schema)
+
+
+def _rendered(actions: list[str], inserted: list[int], rendered: list[str], table: pa.Table, after: np.ndarray) -> pa.Table:
+    names = np.array(ROLES, object)[after]
+    return pa.table({"conv_id": table.column("conv_id"), "turn": table.column("turn"), "role": table.column("role"), "new_role": pa.array(names.tolist(), pa.string()), "action": pa.array(actions, pa.string()), "n_inserted": pa.array(inserted, pa.int32()), "rendered": pa.array(rendered, pa.string())})
