@@ -94,12 +94,34 @@ def tag_runs(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.withColumn("_island", island).where("tag <> 0").groupBy(key, "tag", "_island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+#: Width of the bins of positions by which intervals meet.
+BIN = 256
+
+
+def _binned(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """A row for each bin that [start, end) touches; an empty interval has its position's."""
+    return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / BIN))))
+
+
 def overlaps(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Rows of `a` with those of `b` of the same key whose [start, end) meets theirs. how: inner, left_semi or left_anti."""
-    b = b.select(*[F.col(c).alias(c if c == key else f"b_{c}") for c in b.columns])
-    touch = (a[key] == b[key]) & (a["start"] < b["b_end"]) & (a["end"] > b["b_start"])
-    joined = a.join(b, touch, how)
-    return joined.drop(b[key]) if how == "inner" else joined
+    """Rows of `a` with those of `b` of the same key whose [start, end) meets theirs. how: inner, left_semi or left_anti.
+
+    Pairs meet in bins of positions, each pair in that of the greater start, so that a long document isn't one quadratic task. For left_semi and
+    left_anti no pairs are made: in the order of positions, an interval is met if the greatest end among those that start before its own end
+    exceeds its start.
+    """
+    if how == "inner":
+        b = b.select(*[F.col(c).alias(c if c == key else f"b_{c}") for c in b.columns])
+        pairs = _binned(a, "start", "end", "_bin").join(_binned(b, "b_start", "b_end", "_bin"), [key, "_bin"])
+        touch = (F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start")) & (F.col("_bin") == F.floor(F.greatest("start", "b_start") / BIN))
+        return pairs.where(touch).select(*a.columns, *[c for c in b.columns if c != key])
+    row = F.struct(*a.columns)
+    one = a.select(F.col(key).alias("_key"), row.alias("_row"), F.col("end").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(b.schema["end"].dataType).alias("_end"))
+    two = b.where(F.col(key).isNotNull() & F.col("start").isNotNull()).select(F.col(key).alias("_key"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"), F.col("start").alias("_at"), F.lit(1).alias("_side"), F.col("end").alias("_end"))
+    reach = F.max("_end").over(Window.partitionBy("_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    met = F.coalesce(F.col("_reach") > F.col("_row.start"), F.lit(False))
+    found = one.unionByName(two).withColumn("_reach", reach).where("_side = 0")
+    return found.where(met if how == "left_semi" else ~met).select("_row.*")
 
 
 #: Patterns of single tokens, the first that matches wins.

@@ -132,7 +132,7 @@ def load_crf(text: str) -> crf.Model | None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small table of results as one JSON file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_diagnostics(hits: DataFrame, docs: DataFrame, key: str, path: str, cap: int = 200, reach: int = 60) -> None:
@@ -141,7 +141,7 @@ def write_diagnostics(hits: DataFrame, docs: DataFrame, key: str, path: str, cap
 
     context = F.substring("doc_text", F.greatest(F.col("start") - reach, F.lit(0)) + 1, F.col("end") - F.col("start") + 2 * reach)
     some = samples(hits, "kind", key, cap)
-    some.join(docs.select(key, F.col("text").alias("doc_text")), key).withColumn("context", context).drop("doc_text").coalesce(1).write.mode("overwrite").json(path)
+    some.join(docs.select(key, F.col("text").alias("doc_text")), key).withColumn("context", context).drop("doc_text").repartition(1).write.mode("overwrite").json(path)
 
 
 def dataset_catalogue(spark: SparkSession) -> DataFrame:

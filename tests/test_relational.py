@@ -243,3 +243,27 @@ def test_catalogue():
 
     names = entry.queries()
     assert set(catalog.queries()) <= set(names) and set(entry.oracle_sql()) <= set(names) and len(catalog.oracle_sql()) > 45
+
+
+def test_overlaps_meet_once_whatever_their_bins(spark):
+    """Long, short, empty and null intervals, hot keys and repeated rows, against the definition."""
+    import itertools
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+
+    def made(n):
+        out = []
+        for k in range(n):
+            start = r.randint(-300, 1200)
+            out.append((r.choice([1, 1, 1, 2, None]), k, start, start + r.choice([0, 0, 1, 5, 256, 700])))
+        return [*out, *out[:3], (1, -1, None, 5), (1, -2, 5, None)]
+
+    one, two = made(60), made(50)
+    a, b = (spark.createDataFrame(x, "doc long, id long, start int, end int") for x in (one, two))
+    touch = lambda x, y: None not in (*x, *y) and x[0] == y[0] and x[2] < y[3] and x[3] > y[2]
+    want = Counter((x[1], y[1]) for x, y in itertools.product(one, two) if touch(x, y))
+    assert Counter((p.id, p.b_id) for p in evaluate.overlaps(a, b, "doc").collect()) == want
+    for how, kept in (("left_semi", True), ("left_anti", False)):
+        assert Counter(map(tuple, evaluate.overlaps(a, b, "doc", how).collect())) == Counter(x for x in one if any(touch(x, y) for y in two) == kept)
