@@ -14,12 +14,15 @@ A block sends each distinct window once, however often it occurs, so a window th
 entry a block. All three steps read the same exchange of documents; its blocks are sized in bytes.
 
 Null text: no words. A null doc_id is neither smaller nor larger than another: such rows lose nothing and take nothing from
-others. Rows with one doc_id take nothing from each other. Repeated rows stay. Texts under 13 words have no window.
+others, and aren't shuffled. Rows with one doc_id take nothing from each other. Repeated rows stay. Texts under 13 words have no window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,13 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import blocks_for, shuffle_parts, text_bytes
-from .textkernel import Words, cover, release, texts_of, window_hash
+from .textkernel import Words, cover, release, slices, texts_of, window_hash
 
-WIDTH, BLOCK_BYTES, DEPTH, CELLS_PER_WINDOW = 13, 6 << 20, 2, 4
+WIDTH, BLOCK_BYTES, DEPTH, CELLS_PER_WINDOW = 13, 4 << 20, 2, 4
+#: Windows a shard of the sketch has; a shard's task decodes them at 8 bytes each.
+SHARD_WINDOWS = 4 << 20
 _U = np.uint64
 _SALT = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 _MESSAGE = "shard int, block long, data binary"
 _REPLY = "shard int, block long, data binary"
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -57,35 +63,43 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """The windows of a block's documents. distinct: sorted hashes; of: for each window its place among them."""
+    """The windows of a block's documents. distinct: sorted hashes; of: for each window its place among them.
+
+    What is kept is 32 bits a word or window wherever a block's size allows, and hashes go as soon as they are sorted.
+    """
 
     def __init__(self, rows: pa.Table, width: int):
         release()
         self.ids = rows.column("doc_id").combine_chunks()
         self.words: Words = texts_of(rows.column("text")).words()
         self.width = width
-        known = np.asarray(self.ids.is_valid())
-        self.doc = self.words.text_of()
-        at = self.words.windows(width)
-        self.at = at[known[self.doc[at]]] if len(at) else at
-        self.word_hash = self.words.hashes(0)
-        h = window_hash(self.word_hash, self.at, width)
-        self.owner = np.asarray(self.ids.fill_null(0)).astype(np.int64)[self.doc[self.at]]
-        self.order = np.argsort(h, kind="stable")
-        s = h[self.order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        self.head = np.flatnonzero(new)
-        self.distinct = s[self.head]
-        self.of = np.empty(len(s), np.int64)
-        self.of[self.order] = np.cumsum(new) - 1
-        if len(s):
-            o = self.owner[self.order]
+        narrow = np.int32 if len(self.words.texts.data) < 1 << 31 else np.int64
+        self.words.starts, self.words.ends = self.words.starts.astype(narrow), self.words.ends.astype(narrow)
+        known = np.repeat(np.asarray(self.ids.is_valid()), self.words.counts)
+        at = self.words.windows(width).astype(narrow)
+        self.at = at[known[at]] if len(at) else at
+        del at, known
+        h = window_hash(self.words.hashes(0), self.at, width)
+        self.order = np.argsort(h, kind="stable").astype(narrow)
+        h = h[self.order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        self.head = np.flatnonzero(new).astype(narrow)
+        self.distinct = h[self.head]
+        del h
+        self.of = np.empty(len(new), narrow)
+        self.of[self.order] = np.cumsum(new, dtype=narrow) - 1
+        if len(new):
+            o = self.owner()[self.order]
             self.least = np.minimum.reduceat(o, self.head)
             self.many = np.maximum.reduceat(o, self.head) > self.least
         else:
             self.least, self.many = np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def owner(self) -> np.ndarray:
+        """The doc_id of each window."""
+        return np.repeat(np.asarray(self.ids.fill_null(0)).astype(np.int64), self.words.counts)[self.at]
+
     def second(self, chosen: np.ndarray) -> np.ndarray:
         """A second hash of the chosen distinct windows, from another hash of their words."""
         at = self.at[self.order[self.head[chosen]]]
@@ -202,9 +216,10 @@ def _remove(width: int, texts: bool):
             want = np.concatenate(lists)
             found = np.minimum(np.searchsorted(block.distinct, want), len(always) - 1)
             always[found[block.distinct[found] == want]] = True
-        gone = always[block.of] | (block.owner > block.least[block.of]) if len(block.at) else np.zeros(0, bool)
-        words = block.words
-        removed = cover(len(words.starts), block.at[gone], width)
+        gone = always[block.of] | (block.owner() > block.least[block.of]) if len(block.at) else np.zeros(0, bool)
+        words, at = block.words, block.at[gone]
+        del block
+        removed = cover(len(words.starts), at, width)
         cuts = np.concatenate([[0], np.cumsum(removed)])
         n_removed = (cuts[words.bounds[1:]] - cuts[words.bounds[:-1]]).astype(np.int64)
         data, offsets = words.join(~removed)
@@ -221,23 +236,41 @@ def _remove(width: int, texts: bool):
 
 
 def _rounds(docs: DataFrame, n_bytes: int, width: int, depth: int, per_window: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Documents by block, and for each block the lists of windows that it must drop. docs: doc_id, text, row."""
+    """Documents by block, and for each block the lists of windows that it must drop. docs: doc_id (not null), text and others."""
     spark = docs.sparkSession
-    n_blocks = blocks_for(spark, n_bytes, block_bytes)
+    n_blocks, n_windows = blocks_for(spark, n_bytes, block_bytes), n_bytes // 6
     parts = shuffle_parts(spark) if n_blocks <= 4 * shuffle_parts(spark) else n_blocks // 2
-    sketch = Sketch(n_bytes // 6, parts, depth, per_window)
-    by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n_blocks)).cast("long")).repartition(parts, "block")
+    sketch = Sketch(n_windows, max(shuffle_parts(spark), math.ceil(n_windows / SHARD_WINDOWS)), depth, per_window)
+    # Rows with one doc_id may lie in several blocks; only the same row repeated lies in one.
+    by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("long")).repartition(parts, "block")
     cells = by_block.groupBy("block").applyInArrow(_sketches(sketch, width), _MESSAGE)
     replies = cells.groupBy("shard").applyInArrow(_merge(sketch), _REPLY)
     candidates = by_block.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_candidates(sketch, width), _MESSAGE)
     return by_block, candidates.groupBy("shard").applyInArrow(_group, _REPLY)
 
 
+def _untouched(docs: DataFrame) -> DataFrame:
+    """Results for rows with a null doc_id, which lose nothing: one scan, wherever the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                words = texts.words()
+                data, o = words.join(np.ones(len(words.starts), bool))
+                raw = memoryview(data)
+                digests = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+                n = pa.array(words.counts.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(np.zeros(len(n), np.int64)), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return docs.mapInArrow(run, _RESULT)
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, per_window: int = CELLS_PER_WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_block, gone = _rounds(docs, text_bytes(docs), width, depth, per_window, block_bytes)
-    return by_block.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(width, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    by_block, gone = _rounds(docs.where("doc_id IS NOT NULL"), text_bytes(docs), width, depth, per_window, block_bytes)
+    out = by_block.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(width, False), _RESULT)
+    return out.unionByName(_untouched(docs.where("doc_id IS NULL")))
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -246,11 +279,12 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_B
     there is such a column, follows the new text."""
     names = docs.columns
     rest = [c for c in names if c != "text"]
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
+    full = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
     by_block, gone = _rounds(full, text_bytes(docs), width, DEPTH, CELLS_PER_WINDOW, block_bytes)
     schema = StructType([StructField("row", full.schema["row"].dataType), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
     out = by_block.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(width, True), schema)
     new = {"text": F.col("kept_text")}
     if "n_chars" in names:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
+    out = out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
+    return out.unionByName(docs.where("doc_id IS NULL").withColumn("text", F.col("text").cast("string")))

@@ -22,8 +22,12 @@ IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim  # noqa: B018
+    # Arrays of 4 MB and more are mapped, so that they go back to the system as soon as they are freed; by default that bound grows.
+    _LIBC.mallopt(-3, 4 << 20)
 except (OSError, AttributeError):  # another C library
     _LIBC = None
+#: Arrow's own pools keep what they free; the system's gives it back in the same way.
+pa.set_memory_pool(pa.system_memory_pool())
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -78,7 +82,8 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     at, n = 0, len(starts)
     while at < n:
         lo = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
+        # The bound has the array's type: another would convert the whole array.
+        to = max(at + 1, int(np.searchsorted(ends, ends.dtype.type(min(lo + SEGMENT, np.iinfo(ends.dtype).max)), "right")))
         hi = int(ends[to - 1])
         up, down = _POWERS[seed].get(hi - lo + 1)
         v = values[lo:hi]
