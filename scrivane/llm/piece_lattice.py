@@ -62,11 +62,16 @@ class Lattice:
                         ends.append(-1)
                     at = to
                 ends[at] = k
-        self.next = np.zeros((len(nodes), 256), np.int32)
+        # Nodes with children come first, and all others share one empty row: a row is 256 node numbers, half as wide where these are few.
+        order = sorted(range(len(nodes)), key=lambda i: not nodes[i])
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        self.inner = sum(map(bool, nodes))
+        self.next = np.zeros((self.inner + 1, 256), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
         for i, m in enumerate(nodes):
             for b, to in m.items():
-                self.next[i, b] = to
-        self.ends = np.array(ends, np.int32)
+                self.next[place[i], b] = place[to]
+        self.ends = np.array(ends, np.int32)[order]
         self.weight = weight
         self.lengths = np.array([len(s) for s in self.surface], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -80,7 +85,7 @@ class Lattice:
         lead = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
         k = 0
         while len(at):
-            node = self.next[node, data[at + k]]
+            node = self.next[np.minimum(node, self.inner), data[at + k]]
             live = node > 0
             at, node = at[live], node[live]
             k += 1
