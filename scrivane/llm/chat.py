@@ -127,8 +127,9 @@ _CONV = "none boolean, conv long"
 _PIECE = f"part int, piece int, {_CONV}, block int"
 
 
-def _begins(edges: DataFrame) -> DataFrame:
-    """Of pieces (part, piece, none, conv, block, m) those that are continued or continue: with v, the costs before them, and which they are."""
+def _begins(edges: DataFrame, deep: bool) -> DataFrame:
+    """Of pieces (part, piece, none, conv, block, m) those that are continued or continue: with v, the costs before them, and which they are.
+    deep: a conversation may have pieces in several blocks."""
     product, prefix, out = f"{_CONV}, block int, m array<double>", f"{_CONV}, block int, v array<double>, before boolean, after boolean", f"{_PIECE}, v array<double>, goes_on boolean"
 
     def products(key, rows):
@@ -156,11 +157,14 @@ def _begins(edges: DataFrame) -> DataFrame:
         return _rows(out, done)
 
     by = ["none", "conv", "block"]
+    if not deep:
+        alone = pa.table({"v": [list(_START)], "before": [False], "after": [False]})
+        return edges.groupBy(*by).applyInArrow(lambda key, pieces: begins(key, pieces, alone), out)
     above = edges.groupBy(*by).applyInArrow(products, product).groupBy("none", "conv").applyInArrow(prefixes, prefix)
     return edges.groupBy(*by).cogroup(above.groupBy(*by)).applyInArrow(begins, out)
 
 
-def _finishes(pieces: DataFrame) -> DataFrame:
+def _finishes(pieces: DataFrame, deep: bool) -> DataFrame:
     """Of traced pieces (part, piece, none, conv, block, v, goes_on, best, ways) the states in which they end: (part, piece, v, goes_on, state)."""
     whole, suffix, out = f"{_CONV}, block int, best int, ways array<int>", f"{_CONV}, block int, state int", "part int, piece int, v array<double>, goes_on boolean, state int"
 
@@ -180,13 +184,16 @@ def _finishes(pieces: DataFrame) -> DataFrame:
         return _rows(suffix, done)
 
     def finishes(key, rows, above):
-        state, done = above.to_pylist()[0]["state"], []
-        for r in _ordered(rows, "part")[::-1]:
+        found, done = _ordered(rows, "part")[::-1], []
+        state = above.to_pylist()[0]["state"] if above is not None else found[0]["best"]
+        for r in found:
             done.append((r["part"], r["piece"], r["v"], r["goes_on"], state))
             state = r["ways"][state]
         return _rows(out, done)
 
     by = ["none", "conv", "block"]
+    if not deep:
+        return pieces.groupBy(*by).applyInArrow(lambda key, rows: finishes(key, rows, None), out)
     above = pieces.groupBy(*by).applyInArrow(composed, whole).groupBy("none", "conv").applyInArrow(suffixes, suffix)
     return pieces.groupBy(*by).cogroup(above.groupBy(*by)).applyInArrow(finishes, out)
 
@@ -201,7 +208,8 @@ def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABE
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long") + 32)).first()[0] or 0
     key = ["conv_id", "turn", "role", "text"]
     tie = F.xxhash64("role", "text")
-    in_order = rows.withColumn("tie", tie).repartitionByRange(blocks_for(spark, n_bytes, part_bytes), "conv_id", "turn", "tie").sortWithinPartitions(*key[:2], "tie", *key[2:])
+    n_parts = blocks_for(spark, n_bytes, part_bytes)
+    in_order = rows.withColumn("tie", tie).repartitionByRange(n_parts, "conv_id", "turn", "tie").sortWithinPartitions(*key[:2], "tie", *key[2:])
     placed = in_order.withColumn("code", code).withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()).drop("tie")
     placed = store(placed, "turns")
     small = placed.select("part", "pos", "conv_id", "code").groupBy("part")
@@ -221,7 +229,10 @@ def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABE
             out.append((part, i, ids[i] is None, ids[i] or 0, part // arity, m.ravel().tolist()))
         return _rows(edge, out)
 
-    cut = store(_begins(store(small.applyInArrow(edges, edge), "chat-edges")), "chat-begins")
+    # Up to ARITY partitions need one level of the tree; then each table of pieces is read once and isn't stored.
+    deep = n_parts > arity
+    kept = (lambda df, tag: store(df, tag)) if deep else (lambda df, tag: df)
+    cut = _begins(kept(small.applyInArrow(edges, edge), "chat-edges"), deep)
     traced_ = f"{_PIECE}, v array<double>, goes_on boolean, best int, ways array<int>"
 
     def traced(key, table, known):
@@ -238,7 +249,7 @@ def repair_chats(turns: DataFrame, merge: float = MERGE, relabel: float = RELABE
                 out.append((r["part"], i, r["none"], r["conv"], r["block"], r["v"], r["goes_on"], int((v[0] + plan.end).argmin()), ways))
         return _rows(traced_, out)
 
-    ends_at = store(_finishes(store(small.cogroup(cut.groupBy("part")).applyInArrow(traced, traced_), "chat-traces")), "chat-ends")
+    ends_at = _finishes(kept(small.cogroup(cut.groupBy("part")).applyInArrow(traced, traced_), "chat-traces"), deep)
 
     def render(key, table, known):
         if not table.num_rows:
