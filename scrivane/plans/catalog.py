@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crf
 from ..operators import analyze, documents, evaluate, gbdt, images, prepare, regions, text
+from ..sources import files
 from . import image_oracles
 from .oracles import SQL
 
@@ -179,6 +180,19 @@ def crf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.tag_tokens(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", TAGGER)
 
 
+@query
+def crf_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagger after a dump and a load."""
+    model = files.load_crf(TAGGER.dump())
+    return text.tag_tokens(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", model)
+
+
+@query
+def crf_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each feature name occurs."""
+    return text.feature_names(table(spark, sf_dir, "conversations"), "conv_id").groupBy("feature").agg(F.count("*").alias("n"))
+
+
 @query
 def crf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.pii_hits(_customers(spark, sf_dir), "c_custkey", model=TAGGER)
@@ -313,6 +327,14 @@ def gbdt_scores_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("l_orderkey", "l_linenumber", *[F.round(x, 9).alias(x) for x in TREES.trees])
 
 
+@query
+def gbdt_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees after a dump and a load."""
+    model = files.load_gbdt(TREES.dump())
+    s = gbdt.score(table(spark, sf_dir, "lineitem"), model, _TREE_COLUMNS)
+    return s.select("l_orderkey", "l_linenumber", *[F.round(x, 9).alias(x) for x in model.trees])
+
+
 @query
 def gbdt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed leaves, and the labels that chances of a half and more give."""
@@ -613,6 +635,54 @@ def eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.samples(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 3)
 
 
+@query
+def eval_hold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.hold_out(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
+# Files
+
+
+@query
+def src_label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as a table and read again."""
+    bits = [F.expr(f"CAST(shiftright(p_partkey, {k}) & 1 AS INT)").alias(x) for k, x in enumerate(files.LABELS)]
+    path = files.shared_folder(spark, "labels")
+    files.write_labels(table(spark, sf_dir, "part").select(F.concat(F.lit("set, "), F.col("p_partkey").cast("string"), F.lit('".png')).alias("filename"), *bits), path)
+    return files.read_labels(spark, path)
+
+
+@query
+def src_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised words written as JSON and read again."""
+    li = _lines(spark, sf_dir)
+    word = F.struct("ln", F.concat(F.lit('w"'), "ln").alias("text"), F.array(F.col("ln"), F.lit(1), F.lit(2), F.lit(3)).cast("array<int>").alias("bbox"), F.col("l_discount").cast("double").alias("confidence"))
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(word)).alias("words"), F.avg("l_tax").alias("confidence"))
+    rows = rows.select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("filename"), F.lit("é\n").alias("ocrText"), F.transform("words", lambda w: w.dropFields("ln")).alias("words"), F.round("confidence", 9).cast("double").alias("confidence"))
+    path = files.shared_folder(spark, "words")
+    files.write_words(rows, path)
+    back = files.read_words(spark, path, lines=True)
+    return back.select("filename", "ocrText", F.posexplode("words").alias("i", "w"), "confidence").select("filename", "ocrText", "i", F.col("w.text").alias("text"), F.col("w.bbox")[0].alias("x0"), F.col("w.confidence").alias("sure"), "confidence")
+
+
+@query
+def src_tsv_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of tab-separated reports, a line an item; other levels, blanks and short lines go."""
+    li = _lines(spark, sf_dir)
+    level, said = F.when(F.col("ln") % 4 == 0, "4").otherwise("5"), F.when(F.col("ln") % 5 == 0, " ").otherwise(F.concat(F.lit(" t"), "ln"))
+    cells = [level, *[F.lit("1")] * 5, F.col("ln") * 10, F.lit(7), F.col("l_quantity").cast("int"), F.lit(9), F.when(F.col("ln") % 3 == 0, "x").otherwise((F.col("l_discount") * 100).cast("int").cast("string")), said]
+    line = F.struct("ln", F.when(F.col("ln") % 7 == 0, "5\t1").otherwise(F.concat_ws("\t", *[c.cast("string") for c in cells])).alias("s"))
+    report = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["s"]), "\n").alias("tsv"))
+    return files.tsv_words(report, "l_orderkey").select("l_orderkey", "line", "text", F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1"), "confidence")
+
+
+@query
+def src_image_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("a/fatura2_train_", "fatura2_test_", "other_"))), (k % 3 + 1).cast("int")), k.cast("string"), F.lit(".jpg"))
+    return table(spark, sf_dir, "part").select("p_partkey", files.image_number(name).alias("number"))
+
+
 # Preparation
 
 

@@ -388,6 +388,41 @@ WITH d(i, dataset, {", ".join(prepare.LABELS)}) AS (VALUES {", ".join(f"({k}, '{
 SELECT dataset || '/' || p_partkey || '.png' AS filename, {", ".join(prepare.LABELS)} FROM part JOIN d ON p_partkey % 6 = i""",
     "prep_labelled": f"WITH {_TAGGED} SELECT o_custkey, count(*) AS n FROM tt WHERE o_custkey % 3 = 0 GROUP BY o_custkey HAVING count(*) FILTER (tag = 1) > 0",
 }
+_WORD_KEY = "CASE WHEN strlen(lower(word)) <= 20 THEN lower(word) ELSE '__LONG__' END"
+_FLAGS = {
+    "upper": r"regexp_full_match(word, '\p{Lu}+')", "title": r"regexp_full_match(word, '\p{Lu}\p{Ll}*')", "digit": "regexp_full_match(word, '[0-9]+')", "alpha": r"regexp_full_match(word, '\p{L}+')",
+    "has_digit": "regexp_matches(word, '[0-9]')", "has_at": "contains(word, '@')", "has_hyphen": "contains(word, '-')", "has_alpha": r"regexp_matches(word, '\p{L}')",
+    "punct": r"NOT regexp_matches(word, '[\p{L}\p{N}]')", "street_suffix": f"core IN {_SET(crf.SUFFIXES)}", "state_abbrev": f"length(word) = 2 AND word IN {_SET(crf.STATES)}", "direction": f"core IN {_SET(crf.DIRECTIONS)}",
+    "is_bldg_num": "regexp_matches(word, '^[0-9]') AND strlen(word) <= 5 AND NOT regexp_full_match(word, '[0-9]+')", "title_prefix": f"core IN {_SET(crf.TITLES)}", "po_box": f"core IN {_SET(crf.BOXES)}",
+    "is_name_word": rf"regexp_full_match(word, '\p{{Lu}}\p{{L}}*') AND strlen(word) BETWEEN 2 AND 20 AND NOT (length(word) = 2 AND word IN {_SET(crf.STATES)}) AND core NOT IN {_SET(crf.SUFFIXES | crf.DIRECTIONS | crf.TITLES | crf.BOXES)}",
+}
+_NAMES = [
+    "'w:' || key", "'w_shape:' || shape", "'w_len:' || least(strlen(word), 20)", r"'w_starts:' || CASE WHEN regexp_matches(word, '^[0-9]') THEN 'D' WHEN regexp_matches(word, '^\p{L}') THEN 'A' WHEN regexp_matches(word, '^[.,()/-]') THEN 'P' ELSE 'X' END",
+    *[f"'w_{k}:' || ({v})::INT" for k, v in _FLAGS.items()],
+    *[f"CASE WHEN strlen(word) >= {n} THEN 'w_{side}{n}:' || {cut} END" for n in (2, 3) for side, cut in (("prefix", f"left(lower(word), {n})"), ("suffix", f"right(lower(word), {n})"))],
+    "'pos_bias:' || CASE WHEN i = 0 THEN 1 WHEN i = n - 1 THEN 2 ELSE 0 END",
+    *[f"'w{k:+}:' || coalesce(key{k + 2}, '{'__BOS__' if k < 0 else '__EOS__'}')" for k in crf.AROUND], *[f"'w{k:+}_shape:' || left(shape{k + 2}, 8)" for k in crf.AROUND],
+]
+_NEAR_TOKENS = ", ".join(f"{'lag' if k < 0 else 'lead'}({c}, {abs(k)}) OVER w AS {c}{k + 2}" for k in crf.AROUND for c in ("key", "shape"))
+SQL |= {
+    "crf_feature_counts": rf"""
+WITH txt AS (SELECT row_number() OVER () AS r, regexp_extract_all(text, '[^ \t\n\f\r]+') AS ws FROM conversations),
+tok AS (SELECT r, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws)))::INT AS i FROM txt),
+one AS (SELECT *, {_WORD_KEY} AS key, {_SHAPE} AS shape, lower({_CORE.format("word")}) AS core FROM tok),
+two AS (SELECT *, {_NEAR_TOKENS} FROM one WINDOW w AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT unnest([{", ".join(_NAMES)}]) AS feature FROM two)
+SELECT feature, count(*) AS n FROM f WHERE feature IS NOT NULL GROUP BY feature""",
+    "crf_reloaded": SQL["crf_decode"],
+    "gbdt_reloaded": SQL["gbdt_scores"],
+    "eval_hold_out": "SELECT c_custkey, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT % 100 < 20 AS held_out FROM customer",
+    "src_label_table": f"SELECT 'set, ' || p_partkey || '\".png' AS filename, {', '.join(f'((p_partkey >> {k}) & 1)::INT AS {x}' for k, x in enumerate(prepare.LABELS))} FROM part",
+    "src_words": f"""
+WITH {_LINES} SELECT 'f' || l_orderkey AS filename, 'é' || chr(10) AS "ocrText", (ln - 1)::INT AS i, 'w"' || ln AS text, ln::INT AS x0, l_discount::DOUBLE AS sure, round(avg(l_tax) OVER (PARTITION BY l_orderkey), 9)::DOUBLE AS confidence FROM ll""",
+    "src_tsv_words": f"""
+WITH {_LINES} SELECT l_orderkey, (ln - 1)::INT AS line, 't' || ln AS text, (ln * 10)::INT AS x0, 7 AS y0, (ln * 10 + trunc(l_quantity))::INT AS x1, 16 AS y1, CASE WHEN ln % 3 = 0 THEN 0 ELSE trunc(l_discount * 100) END::DOUBLE AS confidence
+FROM ll WHERE ln % 4 <> 0 AND ln % 5 <> 0 AND ln % 7 <> 0""",
+    "src_image_numbers": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey + 8600 END::INT AS number FROM part",
+}
 #: For each query of a few features, their places among the 81.
 _PLACES = {name: columns for name, (_, columns) in image_oracles.COLUMNS.items()} | {
     "img_channel_stats": {"r_mean": 0, "r_std": 1, "g_mean": 4, "g_std": 5, "b_mean": 8, "b_std": 9},

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,15 @@ WORDS_SCHEMA = "filename string, ocrText string, words array<struct<text: string
 PICTURES = "*.{png,PNG,jpg,JPG,jpeg,JPEG,bmp,tif,tiff,webp}"
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir); only a session without that setting gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="scrivane-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABEL_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
 
@@ -96,11 +107,13 @@ def truth_tokens(truth: DataFrame, key: str = "doc") -> DataFrame:
     return truth.select(key, F.posexplode(F.arrays_zip("tokens", "tags")).alias("i", "p")).select(key, "i", F.col("p.tokens").alias("token"), F.col("p.tags").alias("tag"))
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WORDS_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_words(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Recognised words: files that are one JSON array each, or, as write_words makes them, a JSON object a line."""
+    return spark.read.schema(WORDS_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def write_words(df: DataFrame, path: str) -> None:
+    """A JSON object a line."""
     df.write.mode("overwrite").json(path)
 
 
