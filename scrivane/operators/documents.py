@@ -64,8 +64,8 @@ def from_json(rows: DataFrame, schema) -> DataFrame:
     return rows.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 
-def violations(docs: DataFrame) -> DataFrame:
-    """(id, problem): rows for every broken constraint; documents without rows are valid."""
+def _problems() -> Column:
+    """The names of the constraints that a document breaks."""
     score = lambda c: F.col(f"classification.{c}")
     checks = {
         "score outside 0 to 1": F.col("classification").isNotNull() & ~F.forall(F.array(*[score(c) for c in SCORES]), lambda x: x.between(0, 1)),
@@ -75,5 +75,17 @@ def violations(docs: DataFrame) -> DataFrame:
         "field confidence": F.exists("fields", lambda f: ~f["confidence"].between(0, 1)),
         "redaction of no region": F.exists("redactionIds", lambda i: ~F.exists("regions", lambda r: r["id"] == i)),
     }
-    found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
-    return docs.select("id", F.explode(found).alias("problem"))
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+
+
+def violations(docs: DataFrame) -> DataFrame:
+    """(id, problem): rows for every broken constraint; documents without rows are valid."""
+    return docs.select("id", F.explode(_problems()).alias("problem"))
+
+
+def replaced(docs: DataFrame, **values: Column) -> DataFrame:
+    """Documents with other values in some of their columns; an error at run time if one then breaks a constraint. Other columns go."""
+    known = [c for c in values if c in docs.columns]
+    out = docs.withColumns({c: values[c] for c in known})
+    checked = F.when(F.size("_problems") == 0, F.col("id")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("document"), "id", F.lit("is invalid:"), F.array_join("_problems", ", "))))
+    return out.withColumn("_problems", _problems()).withColumn("id", checked).select(*docs.columns)

@@ -504,6 +504,14 @@ def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.explode("fields").alias("f")).select("id", F.col("f.id").alias("field"), F.col("f.fieldType").alias("type"), F.col("f.confidence").alias("confidence"))
 
 
+@query
+def doc_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose picture got a border, checked again."""
+    grown = F.struct((F.col("image.width") + 2).alias("width"), (F.col("image.height") + 2).alias("height"))
+    d = documents.replaced(_nested(spark, sf_dir), image=grown, unknown=F.lit(1))
+    return d.select("id", F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.size("regions").alias("regions"))
+
+
 @query
 def doc_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.violations(_nested(spark, sf_dir))
@@ -652,6 +660,14 @@ def src_label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_labels(spark, path)
 
 
+@query
+def src_data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as base64 data URLs and back."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").cast("binary").alias("content"))
+    back = files.from_data_urls(files.data_urls(p).drop("content"))
+    return back.select("p_partkey", "url", F.col("content").cast("string").alias("said"))
+
+
 @query
 def src_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised words written as JSON and read again."""

@@ -416,6 +416,8 @@ SELECT feature, count(*) AS n FROM f WHERE feature IS NOT NULL GROUP BY feature"
     "gbdt_reloaded": SQL["gbdt_scores"],
     "eval_hold_out": "SELECT c_custkey, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT % 100 < 20 AS held_out FROM customer",
     "src_label_table": f"SELECT 'set, ' || p_partkey || '\".png' AS filename, {', '.join(f'((p_partkey >> {k}) & 1)::INT AS {x}' for k, x in enumerate(prepare.LABELS))} FROM part",
+    "doc_replaced": "SELECT o_orderkey::VARCHAR AS id, 102 AS width, (o_orderkey % 50 + 2)::INT AS height, count(*)::INT AS regions FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+    "src_data_urls": "SELECT p_partkey, 'data:image/png;base64,' || to_base64(encode(p_name)) AS url, p_name AS said FROM part",
     "src_words": f"""
 WITH {_LINES} SELECT 'f' || l_orderkey AS filename, 'é' || chr(10) AS "ocrText", (ln - 1)::INT AS i, 'w"' || ln AS text, ln::INT AS x0, l_discount::DOUBLE AS sure, round(avg(l_tax) OVER (PARTITION BY l_orderkey), 9)::DOUBLE AS confidence FROM ll""",
     "src_tsv_words": f"""

@@ -52,6 +52,16 @@ def read_bytes(spark: SparkSession, path: str, glob: str = PICTURES) -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
+def data_urls(df: DataFrame, content: str = "content", kind: str = "image/png") -> DataFrame:
+    """df with a column `url`: the bytes as a base64 data URL."""
+    return df.withColumn("url", F.concat(F.lit(f"data:{kind};base64,"), F.base64(content)))
+
+
+def from_data_urls(df: DataFrame, url: str = "url") -> DataFrame:
+    """df with a column `content`: the bytes of data URLs, or of bare base64; null for text that is neither."""
+    return df.withColumn("content", F.try_to_binary(F.regexp_replace(url, "^data:[^,]*,", ""), F.lit("base64")))
+
+
 def read_image_parquet(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """The picture bytes of Parquet files whose column `image` is binary or a struct with bytes; rows without any go."""
     df = spark.read.parquet(path)

@@ -267,3 +267,13 @@ def test_overlaps_meet_once_whatever_their_bins(spark):
     assert Counter((p.id, p.b_id) for p in evaluate.overlaps(a, b, "doc").collect()) == want
     for how, kept in (("left_semi", True), ("left_anti", False)):
         assert Counter(map(tuple, evaluate.overlaps(a, b, "doc", how).collect())) == Counter(x for x in one if any(touch(x, y) for y in two) == kept)
+
+
+def test_replaced_documents_are_checked(spark):
+    from pyspark.errors import PySparkException
+
+    d = catalog._nested(spark, "/root/testdata/sf0.001").limit(20)
+    with pytest.raises(PySparkException, match="image size"):
+        documents.replaced(d, image=F.struct(F.lit(0).alias("width"), F.lit(1).alias("height"))).collect()
+    urls = files.from_data_urls(spark.createDataFrame([("data:image/png;base64,aGk=",), ("aGk=",), (None,), ("???",)], "url string"))
+    assert [None if r.content is None else bytes(r.content) for r in urls.collect()] == [b"hi", b"hi", None, None]
