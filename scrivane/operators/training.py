@@ -1,4 +1,4 @@
-"""Training and validation: a conditional random field by gradient ascent, k-fold runs, reports."""
+"""Training and validation: a conditional random field by L-BFGS over a table or by gradient steps in one process, k-fold runs, reports."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,155 @@ def train_crf(sequences: list[Sequence], rounds: int = 60, l1: float = 1.0, l2:
     return crf.Model(labels, {f: w[k].astype(np.float32) for f, k in index.items() if w[k].any()}, trans.astype(np.float32))
 
 
+def batch_marginals(emissions: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """marginals() of some sequences end to end, summed; all take a step together, the longest first in the arrays."""
+    size = np.diff(bounds)
+    order = np.argsort(-size, kind="stable")
+    size, begin = size[order], bounds[:-1][order]
+    k = emissions.shape[1]
+    a, b, z, pairs = np.zeros_like(emissions), np.zeros_like(emissions), np.zeros(len(emissions)), np.zeros((k, k))
+    going = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) if len(size) else 0)]
+    for t, n in enumerate(going):
+        at = begin[:n] + t
+        a[at] = emissions[at] + (_log_sum(a[at - 1][:, :, None] + trans, 1) if t else 0)
+    for t in range(len(going) - 2, -1, -1):
+        at = begin[: going[t + 1]] + t
+        b[at] = _log_sum(trans + (emissions[at + 1] + b[at + 1])[:, None, :], 2)
+    some = size > 0
+    whole = _log_sum(a[(begin + size - 1)[some]], 1)
+    z = np.repeat(whole, size[some])
+    flat = np.concatenate([np.arange(x, x + n) for x, n in zip(begin[some], size[some], strict=True)]) if some.any() else np.zeros(0, int)
+    of = np.zeros(len(emissions))
+    of[flat] = z
+    for t in range(1, len(going)):
+        at = begin[: going[t]] + t
+        pairs += np.exp(a[at - 1][:, :, None] + trans + (emissions[at] + b[at])[:, None, :] - of[at][:, None, None]).sum(0)
+    return float(whole.sum()), np.exp(a + b - of[:, None]), pairs
+
+
+def owl_qn(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, c1: float, steps: int = 100, history: int = 6, close: float = 1e-5) -> np.ndarray:
+    """Minimises loss(w) + c1 |w|: limited-memory BFGS, orthant by orthant. loss gives its value and gradient."""
+
+    def steepest(w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.where(w > 0, g + c1, np.where(w < 0, g - c1, np.sign(g) * np.maximum(np.abs(g) - c1, 0)))
+
+    value, g = loss(w)
+    value += c1 * np.abs(w).sum()
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        slope = steepest(w, g)
+        if np.abs(slope).max(initial=0.0) <= close * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+        d, used = slope.copy(), []
+        for x, y in reversed(past):
+            r = (x @ d) / (x @ y)
+            used.append(r)
+            d -= r * y
+        if past:
+            x, y = past[-1]
+            d *= (x @ y) / (y @ y)
+        for (x, y), r in zip(past, reversed(used), strict=True):
+            d += x * (r - (y @ d) / (x @ y))
+        d = -np.where(d * slope > 0, d, 0.0)
+        orthant = np.where(w != 0, np.sign(w), -np.sign(slope))
+        length = 1.0 if past else 1.0 / max(np.linalg.norm(d), 1e-12)
+        for _ in range(30):
+            new = w + length * d
+            new = np.where(new * orthant > 0, new, 0.0) if c1 else new
+            after, h = loss(new)
+            after += c1 * np.abs(new).sum()
+            if after <= value + 1e-4 * slope @ (new - w):
+                break
+            length /= 2
+        else:
+            break
+        if (new - w) @ (h - g) > 1e-12:
+            past = [*past, (new - w, h - g)][-history:]
+        done = value - after <= close * max(1.0, abs(after))
+        w, value, g = new, after, h
+        if done:
+            break
+    return w
+
+
+def fit_crf(df: DataFrame, c1: float = 0.1, c2: float = 0.1, steps: int = 100, least: int = 1, max_features: int = 1_000_000, work: str | None = None) -> crf.Model:
+    """A tagger from sequences (tokens, labels), arrays of one length, of any number: L-BFGS on the penalised likelihood
+    -log p + c1 |w| + c2 w^2, with a weight for every pair of labels.
+
+    Features are counted and encoded once, into `work` (by default a fresh path in the shared folder). A step is one pass: each
+    task sums the gradient of its sequences, and the sums are added by weight. The driver holds the model, of at most max_features features
+    (the commonest, of at least `least` tokens), never the data. Rows with nulls or unequal lengths are left out.
+    """
+    from ..sources.files import shared_folder
+
+    spark = df.sparkSession
+    df = df.select("tokens", "labels").where("size(tokens) > 0 AND size(tokens) = size(labels)").where(~F.exists("tokens", F.isnull) & ~F.exists("labels", F.isnull))
+    labels = sorted(r[0] for r in df.select(F.explode("labels")).distinct().collect())
+    if not labels:
+        return crf.Model([], {}, np.zeros((0, 0), np.float32))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([f for i in range(len(tokens)) for f in crf.token_features(tokens, i)], pa.string())], ["feature"])
+
+    counts = df.select("tokens").mapInArrow(named, "feature string").groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    names = [r["feature"] for r in counts.orderBy(F.col("n").desc(), "feature").limit(max_features).select("feature").collect()]
+    index, place, k = {f: i for i, f in enumerate(sorted(names))}, {x: i for i, x in enumerate(labels)}, len(labels)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tokens, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = [[index[f] for f in crf.token_features(tokens, i) if f in index] for i in range(len(tokens))]
+                rows.append(([x for row in ids for x in row], [len(row) for row in ids], [place[x] for x in said]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.list_(pa.int32())) for c in range(3)], ["ids", "sizes", "y"])
+
+    path = work or shared_folder(spark, "sequences")
+    df.mapInArrow(encoded, "ids array<int>, sizes array<int>, y array<int>").write.mode("overwrite").parquet(path)
+    data = spark.read.schema("ids array<int>, sizes array<int>, y array<int>").parquet(path)
+    n = len(index) * k
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        table, trans = w[:n].reshape(-1, k), w[n:].reshape(k, k)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, grad, moves = 0.0, np.zeros((len(table), k)), np.zeros((k, k))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, sizes, y = (batch.column(c).flatten().to_numpy() for c in range(3))
+                bounds = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+                token = np.repeat(np.arange(len(y)), sizes)
+                e = np.stack([np.bincount(token, table[ids, c], len(y)) for c in range(k)], 1)
+                z, p, pairs = batch_marginals(e, bounds, trans)
+                inner = np.ones(len(y), bool)
+                inner[bounds[:-1]] = False
+                at = np.flatnonzero(inner)
+                total += z - e[np.arange(len(y)), y].sum() - trans[y[at - 1], y[at]].sum()
+                p[np.arange(len(y)), y] -= 1
+                for c in range(k):
+                    grad[:, c] += np.bincount(ids, p[token, c], len(table))
+                np.subtract.at(pairs, (y[at - 1], y[at]), 1)
+                moves += pairs
+            out = np.concatenate([grad.ravel(), moves.ravel()])
+            some = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(out[some], total))], ["i", "v"])
+
+        sums = data.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        g, value = np.zeros(len(w)), 0.0
+        for r in sums:
+            if r["i"] < 0:
+                value = r["v"]
+            else:
+                g[r["i"]] = r["v"]
+        return value + c2 * float(w @ w), g + 2 * c2 * w
+
+    w = owl_qn(loss, np.zeros(n + k * k), c1, steps)
+    table = w[:n].reshape(-1, k)
+    return crf.Model(labels, {f: table[i].astype(np.float32) for f, i in index.items() if table[i].any()}, w[n:].reshape(k, k).astype(np.float32))
+
+
 def token_scores(model: crf.Model, sequences: list[Sequence]) -> pd.DataFrame:
     """Precision, recall and F1 of each label over tokens."""
     pairs = [(a, model.labels[k]) for t, y in sequences for a, k in zip(y, crf.viterbi(model.emissions(t), model.transitions), strict=True)]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivane import streaming
+from scrivane.functions import crf
 from scrivane.operators import documents, evaluate, gbdt, prepare, regions, training
 from scrivane.plans import catalog
 from scrivane.sources import files
@@ -53,6 +54,53 @@ def test_crf_training_learns():
     assert scores.set_index("label").loc["NAME", "f1"] == 1.0
 
 
+def test_batch_marginals_are_sums_of_single_ones():
+    rng = np.random.default_rng(2)
+    sizes = [3, 0, 1, 7, 2]
+    bounds, trans = np.cumsum([0, *sizes]), rng.normal(size=(3, 3))
+    e = rng.normal(size=(bounds[-1], 3))
+    z, p, pairs = training.batch_marginals(e, bounds, trans)
+    one = [training.marginals(e[a:b], trans) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+    assert z == pytest.approx(sum(x[0] for x in one)) and np.allclose(p, np.concatenate([x[1] for x in one])) and np.allclose(pairs, sum(x[2] for x in one))
+
+
+def test_owl_qn_finds_the_optimum():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(40, 8)), rng.normal(size=40)
+    w = training.owl_qn(lambda w: (0.5 * float(((a @ w - b) ** 2).sum()), a.T @ (a @ w - b)), np.zeros(8), 5.0, steps=300, close=1e-10)
+    z = np.zeros(8)
+    for _ in range(20_000):  # proximal gradient steps to convergence
+        z = z - 0.005 * a.T @ (a @ z - b)
+        z = np.sign(z) * np.maximum(np.abs(z) - 0.025, 0)
+    assert np.abs(w - z).max() < 1e-5 and (w == 0).any()
+
+
+def test_a_tagger_fitted_by_tasks(spark):
+    """The distributed fit reaches a stationary point of the same objective: the gradient of a naive version is within the penalty there."""
+    rows = [(["pay", n, "now"], ["O", "NAME", "O"]) for n in ("Ann", "Bob", "Cid")] * 3 + [(["go", "home"], ["O", "O"])] * 2 + [(None, None), ([], []), (["x"], ["O", "O"]), (["a", None], ["O", "O"])]
+    df = spark.createDataFrame(rows, "tokens array<string>, labels array<string>").repartition(3)
+    model = training.fit_crf(df, c1=0.05, c2=0.1, steps=60)
+    good = [r for r in rows if r[0] and None not in r[0] and len(r[0]) == len(r[1])]
+    index = {x: i for i, x in enumerate(model.labels)}
+    grad, moves = {}, np.zeros((2, 2))
+    for t, y in good:
+        _, p, pairs = training.marginals(model.emissions(t).astype(float), model.transitions.astype(float))
+        for i, x in enumerate(y):
+            p[i, index[x]] -= 1
+            for f in set(crf.token_features(t, i)):
+                grad[f] = grad.get(f, 0) + p[i]
+        for a, b in zip(y[:-1], y[1:], strict=True):
+            pairs[index[a], index[b]] -= 1
+        moves += pairs
+    for f, g in [*grad.items(), *enumerate(moves)]:
+        w = model.transitions[f] if isinstance(f, int) else model.weights.get(f, np.zeros(2))
+        g = g + 0.2 * w
+        assert (np.where(w != 0, np.abs(g + 0.05 * np.sign(w)), np.maximum(np.abs(g) - 0.05, 0)) < 0.02).all(), f
+    scores = training.token_scores(model, [(["pay", "Dan", "soon"], ["O", "NAME", "O"])])
+    assert scores.set_index("label").loc["NAME", "f1"] == 1.0
+    assert training.fit_crf(df.where("false")).labels == []
+
+
 def test_crf_folds(spark):
     rows = [(["pay", n, "now"], ["O", "NAME", "O"], i % 2) for i, n in enumerate(["Ann", "Bob", "Cid", "Dan"])]
     out = training.crf_folds(spark.createDataFrame(rows, "tokens array<string>, labels array<string>, fold int"), 2, rounds=10).collect()
