@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import store
 from .quality_model import _LETTER, FEATURES, Additive, bounded, features, fit
 from .near_dedup import distinct
-from .textkernel import Texts, Words, mix, powers, slices
+from .textkernel import Texts, Words, classes, mix, powers, slices
 from .token_counts import WordCounter, counter
 
 DOMAINS = ("good", "good_toxic", "poor", "poor_toxic")
@@ -51,6 +51,8 @@ Tokenizer = tuple[str, str | None, str | None]
 MISSED = 0.01
 #: A drawn document whose rate is at least 1 - NEAR stays at least once.
 NEAR = 0.05
+#: Texts that are measured at once, in bytes: eight bytes for each are then less than what the system maps anew for every array.
+SLICE = 1 << 18
 _U = np.uint64
 #: Prefixes of words, in bytes, that may stand in the lexicon: compounds are built on stems.
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -93,8 +95,15 @@ def word_parts(words: Words, lengths: tuple[int, ...] = PREFIXES) -> list[np.nda
 
 def lexicon_hits(parts: list[np.ndarray], text: np.ndarray, n: int, lexicon: np.ndarray) -> np.ndarray:
     """How many different entries of the lexicon each text has."""
-    if not len(lexicon) or not len(text):
-        return np.zeros(n, np.int64)
+    row, entry = lexicon_entries(parts, lexicon)
+    pairs = np.unique(text[row] * len(lexicon) + entry)
+    return np.bincount(pairs // max(1, len(lexicon)), minlength=n)[:n]
+
+
+def lexicon_entries(parts: list[np.ndarray], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of parts and the entries of the lexicon that are found there."""
+    if not len(lexicon):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     maybe = np.zeros(1 << 16, bool)
     maybe[lexicon >> _U(48)] = True
     found = []
@@ -102,9 +111,27 @@ def lexicon_hits(parts: list[np.ndarray], text: np.ndarray, n: int, lexicon: np.
         few = np.flatnonzero(maybe[h >> _U(48)])
         at = np.minimum(np.searchsorted(lexicon, h[few]), len(lexicon) - 1)
         hit = lexicon[at] == h[few]
-        found.append(text[few[hit]] * len(lexicon) + at[hit])
-    pairs = np.unique(np.concatenate(found))
-    return np.bincount(pairs // len(lexicon), minlength=n)[:n]
+        found.append((few[hit], at[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def word_hits(words: Words, lexicon: np.ndarray) -> np.ndarray:
+    """As lexicon_hits over all words and their parts; equal words are looked up once."""
+    first, of = classes(words.hashes(0))
+    some = np.sort(first)
+    once = Words(words.texts, words.starts[some], words.ends[some], np.array([0, len(some)]))
+    row, entry = lexicon_entries(word_parts(once), lexicon)
+    # Words of the classes that have entries, each with all of them.
+    kind = of[some[row]]
+    order = np.argsort(kind, kind="stable")
+    kind, entry = kind[order], entry[order]
+    n_entries = np.bincount(kind, minlength=len(first))
+    at = np.flatnonzero(n_entries[of] > 0)
+    times = n_entries[of[at]]
+    begin = np.repeat(np.searchsorted(kind, of[at]) - np.cumsum(times) + times, times)
+    text = np.repeat(words.text_of()[at], times)
+    pairs = np.unique(text * len(lexicon) + entry[begin + np.arange(len(begin))])
+    return np.bincount(pairs // max(1, len(lexicon)), minlength=words.texts.n)[: words.texts.n]
 
 
 def toxic_features(hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -139,7 +166,7 @@ class Domains:
     def chances(self, texts: Texts) -> tuple[Words, np.ndarray]:
         """Words, and n x 4 chances."""
         x, words = features(texts)
-        hits = lexicon_hits(word_parts(words), words.text_of(), texts.n, self.lexicon)
+        hits = word_hits(words, self.lexicon)
         q, t = self.quality.score(x), self.toxic.score(toxic_features(hits, words.counts))
         return words, np.stack([q * (1 - t), q * t, (1 - q) * (1 - t), (1 - q) * t], 1)
 
@@ -152,7 +179,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=SLICE):
                 x, words = features(texts)
                 parts = word_parts(words)
                 h, bounds = distinct(np.concatenate(parts), np.tile(words.text_of(), len(parts)), texts.n)
@@ -204,7 +231,7 @@ def domain_chances(docs: DataFrame, model: Domains, tokenizer: Tokenizer | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordCounter(counter(*tokenizer)) if tokenizer else None
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=SLICE):
                 words, p = model.chances(texts)
                 n = tokens.of(texts, words) if tokens else words.counts.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(DOMAINS)).cast(pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
@@ -319,7 +346,7 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=SLICE):
                 w = rates.of(model.chances(texts)[1])
                 n = np.maximum(drawn_copies(part.column(at).cast(pa.int64()), w), w >= 1 - NEAR)
                 for k in range(int(n.max(initial=0))):

@@ -68,9 +68,10 @@ def features(texts: Texts) -> tuple[np.ndarray, object]:
 
     symbol = _SYMBOL[d]
     symbols = texts.per_text(symbol)
-    marked = np.concatenate([[0], np.cumsum(symbol)])
+    marked = np.zeros(len(d) + 1, np.int32 if len(d) < 1 << 31 else np.int64)
+    np.cumsum(symbol, out=marked[1:])
     letters = np.maximum(texts.per_text(_LETTER[d]), 1)
-    h = words.hashes(0)
+    h = words.hashes(0, keep=True)
     at = words.windows(3)
     grams = np.bincount(text[at], minlength=n)[:n] if len(at) else np.zeros(n, np.int64)
     lines = texts.per_text(d == 10) + 1

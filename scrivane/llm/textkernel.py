@@ -106,6 +106,9 @@ class Texts:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each text have the flag."""
+        if 128 * self.n < len(flags):
+            o = self.offsets.tolist()
+            return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(o[:-1], o[1:], strict=True)], np.int64)
         c = np.zeros(len(flags) + 1, _count_type(len(flags)))
         np.cumsum(flags, out=c[1:])
         return (c[self.offsets[1:]] - c[self.offsets[:-1]]).astype(np.int64)
@@ -131,12 +134,19 @@ class Words:
     def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray):
         self.texts, self.starts, self.ends, self.bounds = texts, starts, ends, bounds
         self.counts = np.diff(bounds)
+        self._hashes: dict[tuple[int, bool], np.ndarray] = {}
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts.n), self.counts)
 
-    def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
-        return range_hash(LOWER[self.texts.data] if lower else self.texts.data, self.starts, self.ends, seed)
+    def hashes(self, seed: int = 0, lower: bool = False, keep: bool = False) -> np.ndarray:
+        """keep: hold them for later calls."""
+        if (seed, lower) in self._hashes:
+            return self._hashes[seed, lower]
+        h = range_hash(LOWER[self.texts.data] if lower else self.texts.data, self.starts, self.ends, seed)
+        if keep:
+            self._hashes[seed, lower] = h
+        return h
 
     def join(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The kept words of each text joined by one space: bytes and n + 1 offsets."""
@@ -220,6 +230,22 @@ def dense(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+def classes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first index of each class of equal hashes, and every row's class. Hashes that agree in all bits but as many as a row's number takes
+    may have several classes of one hash; no class has two hashes."""
+    low = _U((1 << max(1, len(h).bit_length())) - 1)
+    key = h & ~low
+    key |= np.arange(len(h), dtype=np.uint64)
+    key.sort()  # several times as fast as sorting an index
+    order = (key & low).astype(np.int64)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    of = np.empty(len(s), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 def in_text(keys: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     """Keys that sort by text first: the text's number takes the high bits, the hash the rest."""
     bits = max(1, int(n_texts - 1).bit_length()) if n_texts else 1

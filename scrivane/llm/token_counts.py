@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import salted_join, shared_dir, store, table_exists
-from .textkernel import Texts, Words, range_hash
+from .textkernel import IS_WORD, Texts, Words, classes, range_hash
 
 #: Characters over which both libraries split alike: up to Latin Extended-B, general punctuation and currency signs.
 _PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞₠-₿]*")
+#: The first byte of characters from U+0240 on: texts without any such byte are plain.
+_WIDE = 0xC9
 CACHE, _CACHED = "token-cache", "digest binary, n_tokens long"
 _counters: dict[tuple[str, str | None], Callable[[list[str]], list[int]]] = {}
 
@@ -91,6 +93,21 @@ def counter(path: str, ranks_path: str | None = None, pattern: str | None = None
                     out[k] = n
                 return out
 
+            sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            sizes[list(ranks.values())] = [len(b) for b in ranks]
+
+            def joined(pieces: list[bytes]) -> np.ndarray | None:
+                """Counts of pieces by one call over all of them: no pre-token goes on from one into the next. None if that doesn't hold."""
+                text = b"".join(pieces).decode()
+                if any(s in text for s in specials):
+                    return None
+                ends = np.cumsum(sizes[fast.encode_to_numpy(text, disallowed_special=())])
+                to = np.cumsum([len(b) for b in pieces])
+                n = np.searchsorted(ends, to, "right")
+                return np.diff(n, prepend=0) if len(to) and np.array_equal(ends[n - 1], to) else None
+
+            count.joined = joined
+
     _counters[path, ranks_path] = count
     return count
 
@@ -113,13 +130,32 @@ class WordCounter:
 
     Pre-tokens never go on from a word into the white space after it, so a text's count is the sum over its words, each with the
     white space before it, and the white space at its end. Each distinct one is encoded once a slice, and kept by its hash (64 bits) for later
-    slices, up to `most`. Texts with other white space than ASCII's are counted as wholes.
+    slices, up to `most`. Those that begin with white space and have no characters but Latin ones are encoded by one call, where a token's length says
+    whose it is. Texts with other white space than ASCII's are counted as wholes.
     """
 
     def __init__(self, count: Callable[[list[str]], list[int]], most: int = 1 << 20):
         self.count, self.most = count, most
         self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def _encoded(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw, d = texts.data.tobytes(), texts.data
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        n = np.zeros(len(pieces), np.int64)
+        one = np.ones(len(pieces), bool)
+        if len(pieces) and (joined := getattr(self.count, "joined", None)):
+            wide = np.zeros(len(d) + 1, np.int32)
+            np.cumsum(d >= _WIDE, out=wide[1:])
+            one = IS_WORD[d[starts]] | ~IS_WORD[d[ends - 1]] | (wide[ends] > wide[starts])
+            at = np.flatnonzero(~one)
+            if (found := joined([pieces[k] for k in at.tolist()])) is None:
+                one[:] = True
+            else:
+                n[at] = found
+        at = np.flatnonzero(one)
+        n[at] = self.count([pieces[k].decode("utf-8", "replace") for k in at.tolist()])
+        return n
+
     def of(self, texts: Texts, words: Words) -> np.ndarray:
         d, o = texts.data, texts.offsets
         whole = _blank_inside(texts)
@@ -129,26 +165,28 @@ class WordCounter:
         some = ends > starts
         starts, ends = starts[some], ends[some]
         text = np.searchsorted(o, starts, "right") - 1
+        if whole.any():
+            some = ~whole[text]
+            starts, ends, text = starts[some], ends[some], text[some]
         h = range_hash(d, starts, ends, 2)
-        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+        first, of = classes(h)
+        distinct = h[first]
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         n = np.zeros(len(distinct), np.int64)
         if known.any():
             n[known] = self.n[at[known]]
         new = np.flatnonzero(~known)
-        raw = d.tobytes()
-        n[new] = self.count([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        n[new] = self._encoded(texts, starts[first[new]], ends[first[new]])
         if len(self.keys) + len(new) > self.most:
             self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         elif len(new):
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.n = keys[order], np.concatenate([self.n, n[new]])[order]
-        out = np.zeros(texts.n, np.int64)
-        np.add.at(out, text, n[of])
+            new = new[np.argsort(distinct[new], kind="stable")]
+            to = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.n = np.insert(self.keys, to, distinct[new]), np.insert(self.n, to, n[new])
+        out = np.bincount(text, weights=n[of], minlength=texts.n)[: texts.n].astype(np.int64)
         for k in np.flatnonzero(whole).tolist():
-            out[k] = self.count([raw[o[k] : o[k + 1]].decode()])[0]
+            out[k] = self.count([d[o[k] : o[k + 1]].tobytes().decode()])[0]
         return out
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scrivane.llm import chat, common, mixing, quality_model, token_counts, warc
+from scrivane.llm import chat, common, mixing, quality_model, textkernel, token_counts, warc
 from scrivane.llm.queries import counting_tokenizer
 from scrivane.llm.textkernel import texts_of
 
@@ -270,6 +270,61 @@ def test_tokens_counted_by_word_equal_the_library():
     assert len(by_word.of(texts_of(pa.array([], pa.string())), texts_of(pa.array([], pa.string())).words())) == 0
 
 
+def test_new_words_are_encoded_by_one_call():
+    """What is encoded one by one is a text's first word and what isn't Latin, whatever the number of new words."""
+    import pyarrow as pa
+
+    count = token_counts.counter(*counting_tokenizer())
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcdeé'9.,_~\x1c") for _ in range(r.randint(1, 12))) for _ in range(200)) + r.choice(["", " ", "\n\n"]) for _ in range(30)]
+    asked = []
+
+    def spy(some):
+        asked.extend(some)
+        return count(some)
+
+    spy.joined = getattr(count, "joined", None)
+    part = texts_of(pa.array(texts))
+    assert token_counts.WordCounter(spy).of(part, part.words()).tolist() == count(texts)
+    assert len(asked) <= 3 * len(texts)
+    # A special string is one token wherever it stands, also among words that are encoded together.
+    for more in (["a b<|endoftext|>c d", "x <|endoftext|> y"], ["日本 語 x y", "ж a ɐ b"], ["a\u00a0 b c", "a b c"], ["", " ", "\n"]):
+        part = texts_of(pa.array(texts[:3] + more))
+        assert token_counts.WordCounter(count).of(part, part.words()).tolist() == count(texts[:3] + more), more
+
+
+def test_lexicon_is_looked_up_once_a_distinct_word():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    some = ["".join(r.choice("abAB.é") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    for n in (0, 1, 40):
+        texts = texts_of(pa.array([" ".join(r.choices(some, k=r.randint(0, 50))) for _ in range(n)], pa.string()))
+        words = texts.words()
+        parts = mixing.word_parts(words)
+        every = np.unique(np.concatenate(parts))
+        every = every[every > 0]
+        for lexicon in (every[::3], every, every[:0]):
+            want = [len(set(np.concatenate([p[a:b] for p in parts]).tolist()) & set(lexicon.tolist())) for a, b in itertools.pairwise(words.bounds)]
+            assert mixing.word_hits(words, lexicon).tolist() == want == mixing.lexicon_hits(parts, words.text_of(), texts.n, lexicon).tolist()
+
+
+def test_classes_of_hashes():
+    r = np.random.Generator(np.random.PCG64(4))
+    for h in (np.zeros(0, np.uint64), r.integers(0, 1 << 63, 300, np.uint64)[r.integers(0, 300, 5_000)], np.arange(9, dtype=np.uint64) // np.uint64(2)):
+        first, of = textkernel.classes(h)
+        assert (h[first][of] == h).all() and all(of[first] == np.arange(len(first)))
+        assert len(h) < 100 or len(first) == len(np.unique(h))
+
+
+def test_flags_per_text_are_counted_alike_for_few_and_many_texts():
+    r = np.random.Generator(np.random.PCG64(9))
+    for n, size in ((0, 0), (1, 1), (3, 5_000), (2_000, 5_000), (1, 5_000)):
+        offsets = np.concatenate([np.zeros(min(n, 1), np.int64), np.sort(r.integers(0, size + 1, max(0, n - 1))), [size]])
+        flags = r.random(size) < 0.3
+        assert textkernel.Texts(np.zeros(size, np.uint8), offsets).per_text(flags).tolist() == [int(flags[a:b].sum()) for a, b in itertools.pairwise(offsets)]
+
+
 def test_a_repeated_id_does_not_outgrow_the_sample(spark):
     """One id with most labels and documents: the bound holds for rows, not ids."""
     docs = spark.createDataFrame([(1, f"text {k} here") for k in range(300)] + [(k, f"more {k}") for k in range(2, 60)], "doc_id long, text string")
