@@ -88,3 +88,17 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | N
     left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def possible(rows: DataFrame, column: str, ids: DataFrame, n_ids: int, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows whose id may be among `ids` (one column of longs): all that are, and few others, about one in 16 of these. For a join of large rows with ids too
+    many to be broadcast, so that only these rows are shuffled; the join itself must follow.
+
+    A bitmap of 16 bits an id is broadcast, as rows of 64 bits. It has at most `most_bits`; beyond, more rows stay, and the join is as exact.
+    """
+    bits = min(max(64, 1 << math.ceil(math.log2(16 * max(1, n_ids)))), most_bits)
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    at = ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits)).alias("_slot"))
+    words = at.groupBy(F.expr("_slot DIV 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_slot % 64 AS INT)))").alias("_bits"))
+    found = rows.withColumn("_slot", slot).withColumn("_word", F.expr("_slot DIV 64")).join(F.broadcast(words), "_word")
+    return found.where("bit_get(_bits, CAST(_slot % 64 AS INT)) = 1").select(*rows.columns)

@@ -16,6 +16,7 @@ bring similar sets into one bucket. 20 bands of 4 registers miss a pair of simil
    for a pair at the threshold and far less above it. Confirmation intersects the full sets.
 4. Links are contracted into components; all documents then take their set's component.
 
+Of texts and of sets only those that a join asks for are shuffled: a bitmap of their ids goes ahead of it.
 Frequent keys (a set, a leader, a bucket or a component that a large share of rows has) are salted. Work tables are deleted when their round is over.
 
 Null or empty text, or one without words: an empty set, linked with nothing, a component of its own. A null doc_id: linked with nothing,
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, salted_join, store
+from .common import discard, possible, salted_join, store
 from .textkernel import Texts, in_text, mix, range_hash, slices
 
 BANDS, ROWS, ESTIMATORS, BASE, RATE, LIMIT = 20, 4, 256, 1.001, 20.0, (1 << 16) - 2
@@ -266,9 +267,11 @@ def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold:
     if entries:
         counts = shared.select("bucket", F.col("n_members").alias("n"))
         members = store(salted_join(keys.select("bucket", "rep", F.col("n").alias("size")), shared.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_size")), "bucket", counts, entries, "rep", chunk), "members")
-        involved = members.select("rep").distinct()
-        text = docs.join(involved, docs["doc_id"] == involved["rep"], "left_semi")
+        involved = store(members.select("rep").distinct(), "involved")
+        text = possible(docs, "doc_id", involved, involved.count())
+        text = text.join(involved, text["doc_id"] == involved["rep"], "left_semi")
         sets = store(shingle_sets(text.select("doc_id", "text"), estimators).distinct(), "sets")
+        discard(involved)
 
         def joined(pairs: DataFrame, *columns: str) -> DataFrame:
             """Pairs with the columns of both sides; a document of very many pairs is salted."""
@@ -276,6 +279,7 @@ def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold:
             for side, other in (("b", "a"), ("a", "b")):
                 one = sets.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
                 counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+                one = possible(one, side, counts.select(side), total)
                 out = salted_join(pairs if side == "b" else out, one, side, counts, total, other, chunk)
             return out
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scrivane.llm import fingerprints, near_dedup, piece_lattice, quality_rules, substring_dedup, token_counts
+from scrivane.llm import common, fingerprints, near_dedup, piece_lattice, quality_rules, substring_dedup, token_counts
 from scrivane.llm.textkernel import mix, texts_of
 
 from . import odd
@@ -359,6 +359,40 @@ def test_near_dedup(spark):
     same([(r.doc_id, r.text) for r in kept.collect()], [(i, t) for (i, t), b in zip(rows, brute_near(rows), strict=True) if b[3]])
 
 
+def test_near_dedup_shuffles_few_texts(spark, monkeypatch):
+    """Of 2,000 texts, 100 have a copy but for one word: no more than these, and one in 16 of the others or so, go to the join by id."""
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(k, text(40)) for k in range(1900)]
+    rows += [(10_000 + k, t + " end") for k, t in rows[:100]]
+    seen = []
+    whole = near_dedup.possible
+
+    def spy(docs, column, ids, n_ids):
+        out = whole(docs, column, ids, n_ids)
+        seen.append((column, docs.count(), ids.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "possible", spy)
+    got = near_dedup.near_dedup(odd.frame(spark, rows)).collect()
+    assert sum(not x["kept"] for x in got) == 100 and len(got) == 2000
+    (column, n, some, out), *later = seen
+    assert column == "doc_id" and n == 2000 and 200 <= some <= 300 and some <= out <= some + 300
+    # Each round asks for the registers of both sides, then for the sets.
+    assert {c for c, *_ in later} == {"a", "b"} and all(k <= out <= k + n // 4 for _, n, k, out in later)
+
+
+def test_possible_rows_hold_all_that_are_asked(spark):
+    rows = odd.frame(spark, [(None, "x"), *[(k * 7919 - 5_000, f"t{k}") for k in range(3000)], (-5_000, "again")])
+    for asked in ([], [-5_000], [k * 7919 - 5_000 for k in range(0, 3000, 10)], [5]):
+        ids = spark.createDataFrame([(k,) for k in asked], "rep long")
+        want = Counter(r for r in rows.collect() if r["doc_id"] in set(asked))
+        for bits in (64, 1 << 26):
+            out = common.possible(rows, "doc_id", ids, len(asked), bits)
+            assert out.columns == rows.columns and want <= (got := Counter(out.collect())), (len(asked), bits)
+            assert bits == 64 or sum(got.values()) <= sum(want.values()) + 600
+
+
 @pytest.mark.parametrize("chunk", [50_000, 6])
 def test_near_dedup_chains_and_false_friends(spark, chunk):
     """Chains of small edits, members just under the threshold, and a group whose members aren't all alike; with chunk 6 components,
