@@ -122,25 +122,43 @@ def emissions(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.join(weights, "feature").groupBy("key", "i", "label").agg(F.sum("w").alias("score"))
 
 
+#: Bytes of text whose tokens' features are made at once: a token has some forty names.
+NAMED_BYTES = 64 << 10
+
+
 def feature_names(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, i, feature): all features of all tokens."""
+    """(key, i, feature): all features of all tokens. A batch has those of a few texts, so that a worker's memory is bounded by its longest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, place, names = [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                words = [w for w, _, _ in crf.tokenize(t or "")]
-                for i in range(len(words)):
-                    found = crf.token_features(words, i)
-                    at += [k] * len(found)
-                    place += [i] * len(found)
-                    names += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(names, pa.string())], ["key", "i", "feature"])
+            for part in runs.slices(batch, 1, NAMED_BYTES):
+                at, place, names = [], [], []
+                for k, t in enumerate(part.column(1).to_pylist()):
+                    words = [w for w, _, _ in crf.tokenize(t or "")]
+                    for i in range(len(words)):
+                        found = crf.token_features(words, i)
+                        at += [k] * len(found)
+                        place += [i] * len(found)
+                        names += found
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(names, pa.string())], ["key", "i", "feature"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, i int, feature string")
 
 
+def feature_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(feature, n): how often each feature name occurs. Slices of texts are counted as they come, so that names and counts are shuffled, not occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs.slices(batch, 0):
+                r = runs.Runs(part.column(0), runs.NOT_BLANK)
+                found = crf.count_features(r.said, r.bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
 def tag_tokens(df: DataFrame, key: str, model: crf.Model, text: str = "text") -> DataFrame:
     """(key, i, word, label): the best label path of each text, a row a token. Texts of a batch are decoded together."""
 

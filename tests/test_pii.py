@@ -115,6 +115,21 @@ def test_emissions_of_a_batch_are_sums_of_token_features():
         assert path[a:b].tolist() == crf.viterbi(want, model.transitions)
 
 
+def test_feature_names_are_counted_in_slices(spark):
+    """Counts are those of the names, and a slice gives a row a name, not one an occurrence."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    said = ["Cindy banks 0668 Oak St, TX", "é ABC-1 a@b.c", None, "", " \t", "one", "Longwordlongwordlongword the the"] * 40
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "id int, text string").coalesce(1)
+    names = Counter(f for t in said for w in [[x for x, _, _ in crf.tokenize(t or "")]] for i in range(len(w)) for f in crf.token_features(w, i))
+    assert {r.feature: r.n for r in text.feature_counts(df).collect()} == names
+    assert Counter(r.feature for r in text.feature_names(df, "id").collect()) == names
+    assert crf.count_features(pa.array(["the"] * 1000, pa.string()), np.array([0, 0, 999, 1000]))["w:the"] == 1000
+
+
 @pytest.mark.parametrize(("said", "name"), [("Bill to Cindy Banks", "Cindy Banks"), ("Buyer Christian Banks III", "Christian Banks"), ("Cindy Banks", "Cindy Banks"), ("Sarah", "Sarah"), ("Bill to", None), ("Invoice Number 12345", None)])
 def test_leading_name(said, name):
     assert crf.leading_name(said) == name
