@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import image as im
+from .parts import spread
 
+#: Numbers of which a task makes pictures.
+PATTERNS = 2000
 IMAGE = "id string, width int, height int, rgb binary"
 
 
@@ -31,16 +35,20 @@ def rgb_images(df: DataFrame, longest: int | None = 512) -> DataFrame:
 
 
 def features(images: DataFrame, groups: tuple[str, ...] = tuple(im.GROUPS), longest: int | None = None) -> DataFrame:
-    """(id, f0 ... f80) or the columns of some groups; groups that aren't asked for aren't computed."""
+    """(id, f0 ... f80) or the columns of some groups; groups that aren't asked for aren't computed. Images of one size in a batch are worked on together."""
     columns = im.names(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for w, h, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                rgb = np.frombuffer(raw, np.uint8).reshape(h, w, 3)
-                rows.append(im.extract(im.fit_within(rgb, longest) if longest else rgb, groups))
-            table = np.array(rows, float).reshape(len(rows), len(columns))
+            raw, sizes = batch.column(3), defaultdict(list)
+            for k, size in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                sizes[size].append(k)
+            table = np.empty((batch.num_rows, len(columns)))
+            for (h, w), of in sizes.items():
+                step = max(1, im.STACK_PIXELS // max(h * w, 1))
+                for at in (of[k : k + step] for k in range(0, len(of), step)):
+                    pictures = [np.frombuffer(raw[k].as_buffer(), np.uint8).reshape(h, w, 3) for k in at]
+                    table[at] = im.extract_all(np.stack([im.fit_within(x, longest) if longest else x for x in pictures]), groups)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(columns)))], ["id", *columns])
 
     kind = images.schema["id"].dataType.simpleString()
@@ -119,4 +127,4 @@ def pattern_images(ids: DataFrame, size: int, step: int = 12) -> DataFrame:
             raw = [np.stack([(step * x + k) & 255, (step * y) & 255, (step // 2 * (x + y)) & 255], 2).astype(np.uint8).tobytes() for k in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size] * len(ids), pa.int32()), pa.array([size] * len(ids), pa.int32()), pa.array(raw, pa.binary())], ["id", "width", "height", "rgb"])
 
-    return ids.select(F.col("id").cast("long").alias("id")).mapInArrow(run, "id long, width int, height int, rgb binary")
+    return spread(ids.select(F.col("id").cast("long").alias("id")), PATTERNS).mapInArrow(run, "id long, width int, height int, rgb binary")

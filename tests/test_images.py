@@ -130,6 +130,38 @@ def test_groups_are_slices_of_the_whole(spark):
     assert spark.sql("SELECT size(extract_features(rgb, width, height)) AS n FROM t_pictures").first().n == 81
 
 
+def test_a_stack_is_its_images():
+    """Images of one size are worked on together, over several slices, as each alone; flat and odd ones among them."""
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 7), (3, 3), (16, 24), (40, 33)):
+        stack = np.concatenate([rng.integers(0, 256, (3, h, w, 3)), np.full((1, h, w, 3), 9), np.zeros((1, h, w, 3)), (rng.random((3, h, w, 1)) < 0.5) * np.full(3, 255)]).astype(np.uint8)
+        step, im.STACK_PIXELS = im.STACK_PIXELS, 3 * h * w
+        try:
+            got = im.extract_all(stack)
+        finally:
+            im.STACK_PIXELS = step
+        assert np.allclose(got, [im.extract(x) for x in stack], rtol=1e-9, atol=1e-9)
+
+
+def test_small_rows_of_much_work_are_spread(spark):
+    """A small table of numbers is one split of its file: its pictures still go to as many tasks as there are cores, and to more as rows grow."""
+    from scrivane.operators.parts import spread
+
+    assert images.pattern_images(spark.range(0, 40, 1, 1), 8).rdd.getNumPartitions() == 4
+    assert [spread(spark.range(0, n, 1, 1), 10).rdd.getNumPartitions() for n in (0, 2, 40, 95)] == [1, 2, 4, 10]
+    assert spread(spark.range(0, 95, 1, 1), 10).count() == 95
+
+
+def test_images_of_several_sizes_in_a_batch(spark):
+    sizes = [(5, 9), (20, 18), (5, 9), (9, 5), (20, 18)]
+    pics = [np.random.default_rng(k).integers(0, 256, (h, w, 3)).astype(np.uint8) for k, (h, w) in enumerate(sizes)]
+    df = spark.createDataFrame([(k, x.shape[1], x.shape[0], bytearray(x.tobytes())) for k, x in enumerate(pics)], "id int, width int, height int, rgb binary").coalesce(1)
+    for longest in (None, 10):
+        for r in images.features(df, longest=longest).collect():
+            x = pics[r.id]
+            assert [r[c] for c in im.names()] == pytest.approx(im.extract(im.fit_within(x, longest) if longest else x), rel=1e-9, abs=1e-9)
+
+
 def test_png_is_read_back_and_redacted(spark, tmp_path):
     rgb = np.random.default_rng(3).integers(1, 256, (20, 30, 3)).astype(np.uint8)
     (tmp_path / "in").mkdir()
