@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crf
-from ..functions.image import names
+from ..functions.image import groups_of, names
 from . import documents, gbdt, images, regions, text
 
 
 def classify(pictures: DataFrame, model: gbdt.Model, longest: int = 512) -> DataFrame:
-    """(id, width, height, rgb) as (id, one chance a label)."""
-    return gbdt.score(images.features(pictures, longest=longest), model, names()).select("id", *model.trees)
+    """(id, width, height, rgb) as (id, one chance a label). Only groups of features that the trees look at are computed."""
+    groups = groups_of(model.features() or {0})
+    return gbdt.score(images.features(pictures, groups, longest), model, names()).select("id", *model.trees)
 
 
 def _placed(found: DataFrame) -> DataFrame:

@@ -81,6 +81,10 @@ class Model:
         n = len(raw) // len(labels)
         return cls({x: [Tree.parse(t) for t in raw[i * n : (i + 1) * n]] for i, x in enumerate(labels)})
 
+    def features(self) -> set[int]:
+        """The places of the features that some tree looks at."""
+        return {int(f) for v in self.trees.values() for t in v for f in t.feature if f >= 0}
+
     def dump(self) -> str:
         return json.dumps({k: [[t.dump()] for t in v] for k, v in self.trees.items()})
 
@@ -89,7 +93,7 @@ class Model:
 
 
 def score(df: DataFrame, model: Model, columns: list[str], logits: bool = False, expressions: bool | None = None) -> DataFrame:
-    """df with a column a label: the sigmoid of the summed leaves, or the sum itself."""
+    """df with a column a label: the sigmoid of the summed leaves, or the sum itself. Only columns that some tree looks at are read."""
     if expressions is None:
         expressions = max(sum(len(t.feature) for t in v) for v in model.trees.values()) <= EXPRESSION_NODES
     if expressions:
@@ -98,13 +102,17 @@ def score(df: DataFrame, model: Model, columns: list[str], logits: bool = False,
             z = sum((t.column(columns) for t in trees[1:]), trees[0].column(columns)) if trees else F.lit(0.0)
             out = out.withColumn(label, z if logits else 1 / (1 + F.exp(-z)))
         return out
-    labels = list(model.trees)
+    labels, used = list(model.trees), sorted(model.features()) or [0]
+
     @F.pandas_udf(", ".join(f"`{x}` double" for x in labels))
     def run(*series: pd.Series) -> pd.DataFrame:
-        z = model.logits(np.stack([s.to_numpy(float) for s in series], 1))
+        x = np.zeros((len(series[0]), len(columns)))
+        for k, s in zip(used, series, strict=True):
+            x[:, k] = s.to_numpy(float)
+        z = model.logits(x)
         return pd.DataFrame({k: v if logits else 1 / (1 + np.exp(-v)) for k, v in z.items()})
 
-    return df.withColumn("_scores", run(*[F.col(c).cast("double") for c in columns])).select(*df.columns, *[F.col("_scores")[x].alias(x) for x in labels])
+    return df.withColumn("_scores", run(*[F.col(columns[k]).cast("double") for k in used])).select(*df.columns, *[F.col("_scores")[x].alias(x) for x in labels])
 
 
 def predictions(df: DataFrame, labels: list[str], threshold: float = 0.5) -> DataFrame:

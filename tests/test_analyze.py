@@ -28,6 +28,18 @@ def test_analysis_of_two_recognisers(spark):
     assert {r.id: len(r.regions) for r in one.collect()} == {"0": 2, "1": 0, "2": 0} and documents.violations(one).count() == 0
 
 
+def test_only_groups_that_trees_look_at_are_computed(spark, monkeypatch):
+    """Scores are those over all 81 features, by expressions and in batches, of one group of seven."""
+    asked, whole = [], images.features
+    pics = images.pattern_images(spark.range(5), 24)
+    want = {r.id: (r.is_document, r.is_paper) for r in gbdt.score(whole(pics), MODEL, im.names()).collect()}
+    monkeypatch.setattr(images, "features", lambda df, groups=tuple(im.GROUPS), longest=None: asked.append(groups) or whole(df, groups, longest))
+    for nodes in (gbdt.EXPRESSION_NODES, 0):
+        monkeypatch.setattr(gbdt, "EXPRESSION_NODES", nodes)
+        assert {r.id: (r.is_document, r.is_paper) for r in analyze.classify(pics, MODEL).collect()} == want
+    assert asked == [("color",)] * 2 and im.groups_of({18, 19, 80}) == ("color", "edges", "document")
+
+
 def test_shell(spark, tmp_path):
     (tmp_path / "pics").mkdir()
     (tmp_path / "pics/a.png").write_bytes(im.png(np.full((20, 20, 3), 200, np.uint8)))
