@@ -31,7 +31,7 @@ def pii_hits(df: DataFrame, key: str, text: str = "text", model: crf.Model | Non
     find = _scanner(model) if folded else lambda texts: map(pii.raw_hits, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs.slices(whole, 1, TAGGED_BYTES)):
             at, seq, hits = [], [], []
             for k, found in enumerate(find(batch.column(1).to_pylist())):
                 for n, h in enumerate(found):
@@ -122,6 +122,8 @@ def emissions(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.join(weights, "feature").groupBy("key", "i", "label").agg(F.sum("w").alias("score"))
 
 
+#: Bytes of text that are tagged at once: a byte of text takes some eighty of arrays.
+TAGGED_BYTES = 1 << 20
 #: Bytes of text whose tokens' features are made at once: a token has some forty names.
 NAMED_BYTES = 64 << 10
 
@@ -165,7 +167,7 @@ def tag_tokens(df: DataFrame, key: str, model: crf.Model, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(model.labels, pa.string())
         for batch in batches:
-            for part in runs.slices(batch, 1):
+            for part in runs.slices(batch, 1, TAGGED_BYTES):
                 r = runs.Runs(part.column(1), runs.NOT_BLANK)
                 path = crf.viterbi_all(model.emit(r.said, r.bounds), r.bounds, model.transitions)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r.row)), pa.array(r.place(), pa.int32()), r.said.cast(pa.string()), names.take(pa.array(path))], [key, "i", "word", "label"])

@@ -130,6 +130,43 @@ def test_feature_names_are_counted_in_slices(spark):
     assert crf.count_features(pa.array(["the"] * 1000, pa.string()), np.array([0, 0, 999, 1000]))["w:the"] == 1000
 
 
+def test_looks_of_tokens_against_loops():
+    """Tokens of ASCII characters are looked at by one translation, others a character at a time: both say the same."""
+    for t in ["", "A", "AB1", "Ab", "aB", "12", "1a", "-,", "A-", "é", "ÀB", "Éa", "日", "²", "½", "٣1", "İs", "a日", ".", "Xy,", "ST."]:
+        each = (all(c.isupper() for c in t), t[:1].isupper() and all(c.islower() for c in t[1:]), all("0" <= c <= "9" for c in t))
+        some = (any("0" <= c <= "9" for c in t), any(c.isalpha() for c in t), bool(t) and not any(c.isalnum() for c in t))
+        assert tuple(map(bool, crf._looks(t)))[:5] == (each + some)[:5] and (not t or crf._looks(t)[5] == some[2])
+        assert crf.shape(t) == "".join("A" if c.isupper() else "a" if c.islower() else "0" if "0" <= c <= "9" else "-" for c in t[:10])
+
+
+def test_texts_are_tagged_in_slices(spark):
+    """A batch of more text than a slice is tagged as each of its texts alone, and what a model doesn't weigh has no names made."""
+    from scrivane.plans.catalog import TAGGER
+
+    said = ["see Ann Banks at 12 Oak Street now", "x", "", "pay 12345678 Oak St"]
+    df = spark.range(0, 60, 1, 1).select("id", F.when(F.col("id") % 5 == 4, F.repeat(F.lit("word 12 Oak "), 10_000)).otherwise(F.element_at(F.array(*map(F.lit, said)), (F.col("id") % 4 + 1).cast("int"))).alias("text"))
+    assert df.agg(F.sum(F.length("text"))).first()[0] > text.TAGGED_BYTES
+    rows = {}
+    for r in text.tag_tokens(df, "id", TAGGER).orderBy("id", "i").collect():
+        rows.setdefault(r.id, []).append(r.label)
+    hits = {}
+    for r in text.pii_hits(df, "id", model=TAGGER).orderBy("id", "seq").collect():
+        hits.setdefault(r.id, []).append((r.kind, r.text, r.start, r.end))
+    for r in df.collect():
+        words = [w for w, _, _ in crf.tokenize(r.text)]
+        assert rows.get(r.id, []) == [TAGGER.labels[k] for k in crf.viterbi(TAGGER.emissions(words), TAGGER.transitions)]
+        assert hits.get(r.id, []) == pii.scan(r.text, crf.decode(TAGGER, r.text))
+
+
+def test_customers_texts_are_spread(spark, tmp_path):
+    """The customers' small file is one split; their texts are made and scanned by as many tasks as there are cores."""
+    from scrivane.plans import catalog
+
+    spark.range(1, 400, 1, 1).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    assert catalog._customers(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    assert catalog.crf_scan(spark, str(tmp_path)).select("c_custkey").distinct().count() == 399
+
+
 @pytest.mark.parametrize(("said", "name"), [("Bill to Cindy Banks", "Cindy Banks"), ("Buyer Christian Banks III", "Christian Banks"), ("Cindy Banks", "Cindy Banks"), ("Sarah", "Sarah"), ("Bill to", None), ("Invoice Number 12345", None)])
 def test_leading_name(said, name):
     assert crf.leading_name(said) == name
