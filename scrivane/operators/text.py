@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,6 +123,24 @@ def emissions(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.join(weights, "feature").groupBy("key", "i", "label").agg(F.sum("w").alias("score"))
 
 
+def token_emissions(tokens: DataFrame, features: str, weights: Iterable[tuple[str, str, float]]) -> DataFrame:
+    """emissions() of tokens whose features are an array in one row: the columns but `features`, with a row a label and its score.
+
+    Weights (feature, label, w) are few, as they are looked up in a literal one after the other; nothing is joined, grouped or shuffled, so a task
+    keeps one token.
+    """
+    of: dict[str, list[Column]] = defaultdict(list)
+    for feature, label, w in weights:
+        of[feature].append(F.struct(F.lit(label).alias("label"), F.lit(float(w)).alias("w")))
+    known = F.create_map(*[c for name, entries in of.items() for c in (F.lit(name), F.array(*entries))])
+    found = F.flatten(F.transform(F.filter(features, lambda f: f.isin(list(of))), lambda f: F.element_at(known, f)))
+    rest = [c for c in tokens.columns if c != features]
+    some = tokens.where(F.arrays_overlap(features, F.array(*map(F.lit, of)))).select(*rest, found.alias("_found"))
+    summed = lambda x: F.aggregate(F.filter("_found", lambda e: e["label"] == x), F.lit(0.0), lambda total, e: total + e["w"])
+    labels = F.array_distinct(F.transform("_found", lambda e: e["label"]))
+    return some.select(*rest, F.inline(F.transform(labels, lambda x: F.struct(x.alias("label"), summed(x).alias("score")))))
+
+
 #: Bytes of text that are tagged at once: a byte of text takes some eighty of arrays.
 TAGGED_BYTES = 1 << 20
 #: Bytes of text whose tokens' features are made at once: a token has some forty names.

@@ -139,6 +139,18 @@ def test_looks_of_tokens_against_loops():
         assert crf.shape(t) == "".join("A" if c.isupper() else "a" if c.islower() else "0" if "0" <= c <= "9" else "-" for c in t[:10])
 
 
+def test_emissions_within_a_row_are_those_of_the_join(spark):
+    """Scores are those of the join and its grouping, also with features that occur twice; no token is kept beyond its row."""
+    weights = [("a", "X", 1.0), ("a", "Y", -0.5), ("b", "X", 0.25), ("c", "Z", 2.0)]
+    rows = [(1, 0, ["a", "b", "q"]), (1, 1, ["q"]), (2, 0, ["c", "c", None, "a"]), (3, 0, []), (4, 0, None), (5, 7, ["b"])]
+    df = spark.createDataFrame(rows, "key int, i int, features array<string>")
+    one = text.token_emissions(df, "features", weights)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.replace("aggregate(", "") and "Exchange" not in plan and "Join" not in plan
+    joined = text.emissions(df.select("key", "i", F.explode("features").alias("feature")), spark.createDataFrame(weights, "feature string, label string, w double"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, joined.collect())) and one.count() == 6
+
+
 def test_texts_are_tagged_in_slices(spark):
     """A batch of more text than a slice is tagged as each of its texts alone, and what a model doesn't weigh has no names made."""
     from scrivane.plans.catalog import TAGGER
