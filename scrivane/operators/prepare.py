@@ -133,14 +133,15 @@ def synthetic_images(spark: SparkSession, sets: dict[str, tuple[int, tuple[int,
 def refined_labels(tokens: DataFrame, key: str) -> DataFrame:
     """Token tags as sequence labels. tokens: (key, i, token, tag); adds `label`.
 
-    Runs of the seller's address and of payment details are found by gaps and islands. A run is cut at its first street number (or after
+    Runs of the seller's address and of payment details are numbered by the changes of tag before them, in the order in which they then are windows. A run is cut at its first street number (or after
     its first street suffix, in seller runs): words before are a name. Payment runs without any sign of an address get only
     plain kinds.
     """
-    core = F.lower(F.regexp_replace("token", "[,.]+$", ""))
-    w, v = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key, "tag").orderBy("i")
-    df = tokens.withColumn("_run", F.row_number().over(w) - F.row_number().over(v)).withColumn("_core", core)
-    run = Window.partitionBy(key, "tag", "_run")
+    core = F.lower(F.rtrim("token", F.lit(",.")))
+    w = Window.partitionBy(key).orderBy("i")
+    changed = (~F.col("tag").eqNullSafe(F.lag("tag").over(w))).cast("int")
+    df = tokens.withColumn("_change", changed).withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_core", core)
+    run = Window.partitionBy(key, "_run")
     number = F.substring("_core", 1, 1).rlike("[0-9]") & F.length("_core").between(1, 5)
     bare_number = F.substring("token", 1, 1).rlike("[0-9]") & F.length("token").between(1, 5)
     suffix = F.col("_core").isin(sorted(crf.SUFFIXES))
@@ -161,7 +162,7 @@ def refined_labels(tokens: DataFrame, key: str) -> DataFrame:
     plain = F.coalesce(kind, account)
     payment = F.when(~F.col("_signed"), plain).when(before, F.coalesce(plain, F.when(word, "NAME"))).otherwise(F.coalesce(plain, F.lit("ADDRESS")))
     label = F.when(F.col("tag") == SELLER, seller).when(F.col("tag") == PAYMENT, F.coalesce(payment, short_account))
-    return df.withColumn("label", F.coalesce(label, F.lit("O"))).drop("_run", "_core", "_cut", "_signed")
+    return df.withColumn("label", F.coalesce(label, F.lit("O"))).drop("_change", "_run", "_core", "_cut", "_signed")
 
 
 def drop_unlabelled(tokens: DataFrame, key: str) -> DataFrame:
