@@ -47,29 +47,31 @@ def iou(a: Column, b: Column) -> Column:
     return F.when((w > 0) & (h > 0), shared / (size(a) + size(b) - shared)).otherwise(0.0)
 
 
-def best_overlaps(first: DataFrame, second: DataFrame, key: str = "doc_id", least: float = MATCH) -> DataFrame:
-    """For each region of `second` the region of `first` that it overlaps most, if by at least `least`; the earlier wins ties.
+def best_overlaps(first: DataFrame, second: DataFrame, key: str = "doc_id", least: float = MATCH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each region of `second` the region of `first` that it overlaps most, if by at least `least`; the earlier wins ties. keep: columns of
+    `second` that stay, as b_ and their name.
 
     Both have (key, pos, bbox, confidence, text). An equi-join on the document with the overlap as a filter: pairs that don't touch go
     before any grouping, and max_by keeps one row a region with partial aggregation.
     """
     a = first.select(key, F.col("pos").alias("ti"), F.col("bbox").alias("a"), F.col("confidence").alias("a_conf"))
-    b = second.select(key, F.col("pos").alias("gi"), F.col("bbox").alias("b"), F.col("confidence").alias("b_conf"))
+    b = second.select(key, F.col("pos").alias("gi"), F.col("bbox").alias("b"), F.col("confidence").alias("b_conf"), *[F.col(c).alias(f"b_{c}") for c in keep])
     touch = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
     pairs = a.join(b, key).where(touch).withColumn("iou", iou(F.col("a"), F.col("b")))
-    best = pairs.groupBy(key, "gi").agg(F.max_by(F.struct("ti", "iou", "a_conf", "b_conf"), F.struct("iou", -F.col("ti"))).alias("m"))
+    best = pairs.groupBy(key, "gi").agg(F.max_by(F.struct("ti", "iou", "a_conf", "b_conf", *[f"b_{c}" for c in keep]), F.struct("iou", -F.col("ti"))).alias("m"))
     return best.where(F.col("m.iou") >= least).select(key, "gi", "m.*")
 
 
-def merge_decisions(matches: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per matched region of `first`: which of `second` replaces it (the last with strictly greater confidence) or, if none, which lost first."""
+def merge_decisions(matches: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per matched region of `first`: which of `second` replaces it (the last with strictly greater confidence) or, if none, which lost first; `all` that
+    match it."""
     won = F.col("b_conf") > F.col("a_conf")
-    row = F.struct("gi", "iou", "a_conf", "b_conf")
+    row = F.struct("gi", "iou", "a_conf", "b_conf", *[f"b_{c}" for c in keep])
     out = matches.groupBy(key, "ti").agg(
         F.max(F.when(won, row)).alias("winner"), F.min(row).alias("first_match"), F.min(F.when(won, F.col("gi"))).alias("first_win"), F.sort_array(F.collect_list("gi")).alias("all")
     )
     seen = F.when(F.col("first_win").isNull(), F.size("all")).otherwise(F.size(F.filter("all", lambda g: g <= F.col("first_win"))))
-    return out.select(key, "ti", F.col("winner").isNotNull().alias("replaced"), F.coalesce("winner", "first_match").alias("d"), seen.alias("merged_pairs"))
+    return out.select(key, "ti", F.col("winner").isNotNull().alias("replaced"), F.coalesce("winner", "first_match").alias("d"), seen.alias("merged_pairs"), "all")
 
 
 def reason(d: Column, replaced: Column) -> Column:
@@ -79,20 +81,22 @@ def reason(d: Column, replaced: Column) -> Column:
 
 
 def merge_regions(first: DataFrame, second: DataFrame, key: str = "doc_id", least: float = MATCH) -> DataFrame:
-    """Fused regions (key, pos, source, text, bbox, confidence, reason): `first` in order with winners in place, then the unmatched of `second`."""
-    matches = best_overlaps(first, second, key, least)
-    decided = merge_decisions(matches, key)
-    cols = ["text", "bbox", "confidence"]
-    b = second.select(key, F.col("pos").alias("gi"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    kept = first.join(decided.withColumnRenamed("ti", "pos"), [key, "pos"], "left").withColumn("gi", F.when(F.col("replaced"), F.col("d.gi"))).join(b, [key, "gi"], "left")
-    one = kept.select(
-        key, F.struct(F.lit(0), F.col("pos")).alias("place"), F.when(F.col("replaced"), "b").otherwise("a").alias("source"),
-        *[F.when(F.col("replaced"), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in cols], F.when(F.col("d").isNotNull(), reason(F.col("d"), F.col("replaced"))).alias("reason"),
-    )
-    rest = second.join(matches.select(key, F.col("gi").alias("pos")), [key, "pos"], "left_anti")
-    two = rest.select(key, F.struct(F.lit(1), F.col("pos")).alias("place"), F.lit("b").alias("source"), *cols, F.lit(None).cast("string").alias("reason"))
-    out = one.unionByName(two)
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1).drop("place")
+    """Fused regions (key, pos, source, text, bbox, confidence, reason): `first` in order with winners in place, then the unmatched of `second`.
+
+    Overlaps are found once. Regions of both and what was decided about them meet in one shuffle by document, in the order of the result.
+    """
+    keep, cols = ("text", "bbox"), ("text", "bbox", "confidence")
+    decided = merge_decisions(best_overlaps(first, second, key, least, keep), key, keep)
+    fate = F.struct("replaced", "d").alias("fate")
+    about = F.concat(F.array(F.struct(F.lit(0).alias("part"), F.col("ti").alias("pos"), fate)), F.transform("all", lambda g: F.struct(F.lit(1).alias("part"), g.alias("pos"), fate)))
+    one, two = (df.select(key, F.lit(part).alias("part"), "pos", F.struct(*cols).alias("own")) for part, df in enumerate((first, second)))
+    rows = one.unionByName(two).unionByName(decided.select(key, F.inline(about)), allowMissingColumns=True).repartition(F.col(key))
+    rows = rows.groupBy(key, "part", "pos").agg(F.first("own", True).alias("own"), F.first("fate", True).alias("fate")).where("part = 0 OR fate IS NULL")
+    won, d = F.coalesce(F.col("fate.replaced"), F.lit(False)), F.col("fate.d")
+    said = [F.when(won, d[f"b_{c}"]).otherwise(F.col(f"own.{c}")).alias(c) for c in keep] + [F.when(won, d["b_conf"]).otherwise(F.col("own.confidence")).alias("confidence")]
+    source = F.when(won | (F.col("part") == 1), "b").otherwise("a").alias("source")
+    place = (F.row_number().over(Window.partitionBy(key).orderBy("part", "pos")) - 1).alias("pos")
+    return rows.select(key, place, source, *said, F.when(d.isNotNull(), reason(d, won)).alias("reason"))
 
 
 def merge_stats(first: DataFrame, second: DataFrame, key: str = "doc_id", least: float = MATCH) -> DataFrame:

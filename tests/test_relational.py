@@ -355,3 +355,32 @@ def test_pages_of_orders_are_built_without_grouping_nested_rows(spark, tmp_path)
                     want |= {(o, f"{parent}-w{w}", t, round(min(max(r[6] * 2000, 0), 100), 6), "PT_TABLE" if flag == "A" else "PT_UNKNOWN", parent) for w, t in ((0, flag), (2, status))}
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(want) == 2 * len(rows) and set(got) == want
+
+
+def test_merged_regions_against_loops(spark, tmp_path):
+    """Regions of orders fused as by loops over pairs; lines are shuffled for the overlaps and for the result, and nothing else is."""
+    rows = small_lines(spark, tmp_path)
+    df = catalog.region_merge(spark, str(tmp_path))
+    assert plan_of(df).count("Exchange hashpartitioning") <= 5
+    want = set()
+    for o in {r[0] for r in rows}:
+        lines = sorted((r for r in rows if r[0] == o), key=lambda r: (r[3], r[1], r[2], r[4], r[5]))
+        box = lambda n, r, dx, sure, said: (10 * n + dx, r[1] % 3 * 4.0, 10 * n + dx + 4 + r[4] / 4, r[1] % 3 * 4.0 + 8, float(int(sure * 1000)), f"{said}{n}")
+        first = [box(n, r, 0, r[6], "a") for n, r in enumerate(lines, 1)]
+        second = [box(n, r, r[2] % 7, r[7], "b") for n, r in enumerate(lines, 1)]
+        out, free = [("a", a[5], a[4], a[0]) for a in first], []
+        for b in second:
+            near = []
+            for k, a in enumerate(first):
+                w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+                if w > 0 and h > 0:
+                    near.append((-w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h), k))
+            if near and -min(near)[0] >= regions.MATCH:
+                k = min(near)[1]
+                if b[4] > first[k][4]:
+                    out[k] = ("b", b[5], b[4], b[0])
+            else:
+                free.append(("b", b[5], b[4], b[0]))
+        want |= {(o, pos, *r) for pos, r in enumerate(out + free)}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
