@@ -384,3 +384,12 @@ def test_merged_regions_against_loops(spark, tmp_path):
         want |= {(o, pos, *r) for pos, r in enumerate(out + free)}
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_runs_of_tags_take_two_orders(spark):
+    """Tokens are sorted once by place and once by run; a tag that comes again, also a null one, begins a run of its own."""
+    tags = [prepare.SELLER, prepare.SELLER, None, None, prepare.SELLER, 0, prepare.SELLER]
+    df = spark.createDataFrame([(1, 2 * i, w, t) for i, (w, t) in enumerate(zip("Ann 12 x y Bob z Cid".split(), tags, strict=True))], "doc long, i int, token string, tag int")
+    got = prepare.refined_labels(df, "doc")
+    assert plan_of(got).count("Sort [") == 2 and got.columns == ["doc", "i", "token", "tag", "label"]
+    assert [r.label for r in got.orderBy("i").collect()] == ["NAME", "ADDRESS", "O", "O", "NAME", "O", "NAME"]
